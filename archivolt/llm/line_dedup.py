@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archivolt.llm.common import BLANKS, ascii_lower, drop_stored, stored, table, texts
 
@@ -87,7 +88,7 @@ def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_cha
     return reduce(DataFrame.union, found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
     out = []
     for t, gone in zip(text, dropped):
