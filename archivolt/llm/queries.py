@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPERATORS = {
+    "op1_simhash_near_dedup": "simhash",
     "op6_exact_dedup": "exact_dedup",
     "op7_line_dedup": "line_dedup",
 }
