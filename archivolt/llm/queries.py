@@ -8,6 +8,8 @@ _OPERATORS = {
     "op1_simhash_near_dedup": "simhash",
     "op6_exact_dedup": "exact_dedup",
     "op7_line_dedup": "line_dedup",
+    "op9_quality_classifier": "quality_classifier",
+    "op10_quality_rules": "quality_rules",
 }
 
 
