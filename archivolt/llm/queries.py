@@ -6,6 +6,7 @@ from importlib import import_module
 
 _OPERATORS = {
     "op1_simhash_near_dedup": "simhash",
+    "op5_pii": "pii",
     "op6_exact_dedup": "exact_dedup",
     "op7_line_dedup": "line_dedup",
     "op9_quality_classifier": "quality_classifier",
