@@ -6,9 +6,11 @@ from importlib import import_module
 
 _OPERATORS = {
     "op1_simhash_near_dedup": "simhash",
+    "op4_packing": "packing",
     "op5_pii": "pii",
     "op6_exact_dedup": "exact_dedup",
     "op7_line_dedup": "line_dedup",
+    "op8_byte_bpe": "byte_bpe",
     "op9_quality_classifier": "quality_classifier",
     "op10_quality_rules": "quality_rules",
 }
