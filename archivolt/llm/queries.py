@@ -6,6 +6,7 @@ from importlib import import_module
 
 _OPERATORS = {
     "op1_simhash_near_dedup": "simhash",
+    "op2_suffix_array_dedup": "suffix_dedup",
     "op3_url_filter": "url_filter",
     "op4_packing": "packing",
     "op5_pii": "pii",
