@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from archivolt.plans import aggregates
+
+_MODULES = (aggregates,)
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: text for m in _MODULES for name, text in m.ORACLES.items() if text}
