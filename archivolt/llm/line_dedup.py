@@ -15,13 +15,13 @@ _HASH = ("h1", "h2")
 
 
 def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, line_no, h1, h2) of each line whose key (stripped, A-Z lowered) has at least `min_chars` code points."""
-    lines = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, row, line_no, h1, h2) of each line whose key (stripped, A-Z lowered) has at least `min_chars` code points."""
+    lines = texts(docs).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     key = ascii_lower(F.btrim("line", F.lit(BLANKS)))
     return (
-        lines.select("doc_id", "line_no", key.alias("key"))
+        lines.select("doc_id", "row", "line_no", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "line_no", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
+        .select("doc_id", "row", "line_no", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
 
 
@@ -53,7 +53,7 @@ class LineRuns:
 
 
 def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_chars: int = 10) -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier document (smaller doc_id) already holds.
+    """(doc_id, row, line_no) of every line that an earlier document (smaller doc_id) already holds; row: the text's hash.
 
     Documents come in `n_batches` batches by ascending doc_id. A batch's hashes, one owner (smallest doc_id) each after
     partial aggregation, are merge-joined with the runs: those that the runs lack form the batch's own run; the batch's
@@ -82,7 +82,7 @@ def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_cha
             decided = seen.where("first IS NOT NULL OR owner < last").select(
                 *_HASH, F.coalesce("first", "owner").alias("owner")
             )
-        found.append(batch.join(decided, list(_HASH)).where("doc_id <> owner").select("doc_id", "line_no"))
+        found.append(batch.join(decided, list(_HASH)).where("doc_id <> owner").select("doc_id", "row", "line_no"))
         if k < len(edges) - 2:
             runs.add(stored(new.select(*_HASH, "owner").sortWithinPartitions(*_HASH), "line-run-l0"))
     return reduce(DataFrame.union, found)
@@ -106,17 +106,17 @@ def drop_repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, mi
     A key (line stripped of blanks, A-Z lowered) of at least `min_chars` code points that two or more documents hold
     loses all its lines but those in the smallest doc_id that holds it. The other lines stay, joined by a newline.
     A null text counts as one empty line and comes back empty. A document with a null doc_id keeps all lines and is no
-    owner. Rows that repeat a doc_id are one document: a line is dropped by its number in any of them. All other
-    columns are passed through. An empty table gives an empty one.
+    owner. Rows that repeat a doc_id are parts of one document: none loses a line to another. All other columns are
+    passed through. An empty table gives an empty one.
     """
     drops = (
         repeated_lines(docs, n_batches, fan_in, min_chars)
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
         .agg(F.collect_set("line_no").alias("__dropped"))
-        .withColumnRenamed("doc_id", "__id")
     )
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = docs.withColumn("text", body).join(drops, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
+    both = docs.withColumn("text", body).join(drops, same, "left").drop("__id", "__row")
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
     some = F.col("__dropped").isNotNull()
     out = both.withColumns(
