@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from archivolt.plans import aggregates, joins, scalars
+from archivolt.plans import aggregates, classes, joins, scalars
 
-_MODULES = (aggregates, joins, scalars)
+_MODULES = (aggregates, joins, scalars, classes)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: text for m in _MODULES for name, text in m.ORACLES.items() if text}

@@ -164,14 +164,14 @@ h AS (SELECT s.p_partkey, t.p_partkey AS hit, 0 AS step FROM s JOIN t ON s.p_nam
 UNION ALL SELECT s.p_partkey, t.p_partkey, 1 FROM s JOIN t ON s.p_name = t.p_name AND s.p_brand = t.p_brand
 UNION ALL SELECT s.p_partkey, t.p_partkey, 2 FROM s JOIN t ON s.p_brand = t.p_brand AND s.p_type = t.p_type),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY step, hit) AS rn FROM h)
-SELECT s.p_partkey, r.hit, CAST(r.step AS INT) AS step FROM s LEFT JOIN r ON s.p_partkey = r.p_partkey AND rn = 1""")
+SELECT s.p_partkey, coalesce(r.hit, -1) AS hit, CAST(coalesce(r.step, -1) AS INT) AS step FROM s LEFT JOIN r ON s.p_partkey = r.p_partkey AND rn = 1""")
 def fallback_key_join(spark, sf):
     parts = read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type")
     rows, other = parts.where("p_partkey < 200"), parts.where("p_partkey >= 200").withColumnRenamed("p_partkey", "hit")
     keys = (["p_name", "p_brand", "p_type"], ["p_name", "p_brand"], ["p_brand", "p_type"])
     least = lambda k: other.groupBy(*k).agg(F.min("hit").alias("hit"))  # noqa: E731  the first hit is all that a key needs
     steps = [rows.join(least(k), k).select("p_partkey", "hit") for k in keys]
-    return J.fallback_join(rows.select("p_partkey"), "p_partkey", steps, [F.asc("hit")])
+    return J.fallback_join(rows.select("p_partkey"), "p_partkey", steps, [F.asc("hit")]).na.fill(-1, ["hit", "step"])
 
 
 @query("""SELECT c_custkey, CAST(coalesce(sum(CAST(floor(o_totalprice / 100) AS INT)), 0) AS BIGINT) AS words

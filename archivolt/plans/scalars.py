@@ -84,15 +84,15 @@ def date_fallback_chain(spark, sf):
 @query(r"""WITH t AS (SELECT doc_id, 'Someone Dies at ' || (doc_id % 130) AS h, left(text, 200) AS a FROM documents WHERE doc_id % 3 = 0
 UNION ALL SELECT doc_id, 'Someone, ' || (doc_id % 130) || ', of note', left(text, 200) FROM documents WHERE doc_id % 3 = 1
 UNION ALL SELECT doc_id, 'Someone', 'He was ' || (10 + doc_id % 120) || ' and old' FROM documents WHERE doc_id % 3 = 2)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 130 WHEN doc_id % 3 = 1 AND doc_id % 130 BETWEEN 18 AND 120 THEN doc_id % 130
+SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 130 WHEN doc_id % 3 = 1 AND doc_id % 130 BETWEEN 18 AND 120 THEN doc_id % 130
   WHEN doc_id % 3 = 2 AND 10 + doc_id % 120 BETWEEN 18 AND 120 AND 10 + doc_id % 120 < 100 THEN 10 + doc_id % 120
-  WHEN doc_id % 3 = 2 AND 10 + doc_id % 120 BETWEEN 100 AND 120 THEN 10 + doc_id % 120 END::INT AS age FROM t""")
+  WHEN doc_id % 3 = 2 AND 10 + doc_id % 120 BETWEEN 100 AND 120 THEN 10 + doc_id % 120 END, -1)::INT AS age FROM t""")
 def age_extract(spark, sf):
     k = F.col("doc_id")
     n = (k % 130).cast("string")
     head = F.when(k % 3 == 0, F.concat(F.lit("Someone Dies at "), n)).when(k % 3 == 1, F.concat(F.lit("Someone, "), n, F.lit(", of note"))).otherwise("Someone")
     body = F.when(k % 3 == 2, F.concat(F.lit("He was "), (10 + k % 120).cast("string"), F.lit(" and old"))).otherwise("")
-    return read(spark, sf, "documents", "doc_id").select("doc_id", X.age_of(head, body).alias("age"))
+    return read(spark, sf, "documents", "doc_id").select("doc_id", F.coalesce(X.age_of(head, body), F.lit(-1)).alias("age"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, string_split(lower(text), ' ') AS w FROM documents),
