@@ -30,16 +30,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='archivolt-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='archivolt-')}")
+    return (found or _own[0]).rstrip("/")
+
+
+#: Tables written, and a folder of our own where the session names none (local runs).
+_written: list[str] = []
+_own: list[str] = []
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """`df` written as a table in the shared folder and read back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,13 +54,23 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes the files behind a table made by `stored` that no later plan reads."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         while folder.rsplit("/", 1)[1].count("=") == 1:
             folder = folder.rsplit("/", 1)[0]
         if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that `stored` wrote in this process: to be called when the results are saved, as frames that
+    operators returned still read them."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def ascii_lower(col):
