@@ -190,3 +190,16 @@ def majority(df: DataFrame, key: str, value: str, least: int = 3, share: float =
     w = W.partitionBy(key)
     top = counts.withColumn("__all", F.sum("n").over(w))
     return top.where((F.col("__all") >= least) & (F.col("n") >= share * F.col("__all"))).select(key, value)
+
+
+def feature_report(df: DataFrame, flag: Column, author: str, year: str, day: str, tie: str, authors: int = 15, recent: int = 50) -> DataFrame:
+    """A feature's report in one long table (part, key, n): its records by year, its top authors, its latest records. df
+    has one row for each record and author; the flag marks the feature's rows."""
+    own = df.where(flag)
+    records_ = own.groupBy(tie).agg(F.first(year).alias(year), F.first(day).alias(day))
+    years = records_.groupBy(F.col(year).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("year").alias("part"), "key", "n")
+    top = own.groupBy(F.col(author).alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(authors)
+    last = records_.orderBy(F.desc(day), tie).limit(recent)
+    return years.unionByName(top.select(F.lit("author").alias("part"), "key", "n")).unionByName(
+        last.select(F.lit("recent").alias("part"), F.col(tie).cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+    )

@@ -87,3 +87,16 @@ def rescaled_parts(spark, sf):
     blog = rows.groupBy("section").agg(F.sum(F.when(F.col("material") == "O", F.col("word_count").cast("long"))).alias("blog"))
     out = C.rescale(year.join(blog, "section"), "words", "words_annual", ["blog"])
     return out.select("section", "words", "words_annual", "blog_scaled")
+
+
+@query(sql("author headline record", """,
+own AS (SELECT article_id, author, yr, pub_date FROM headline JOIN author USING (article_id) JOIN record USING (article_id) WHERE starts_with(headline, 'red ')),
+r AS (SELECT DISTINCT article_id, yr, pub_date FROM own)
+SELECT 'year' AS part, CAST(yr AS VARCHAR) AS key, count(*) AS n FROM r GROUP BY yr
+UNION ALL SELECT * FROM (SELECT 'author', author, count(*) AS n FROM own GROUP BY author ORDER BY n DESC, author LIMIT 15)
+UNION ALL SELECT * FROM (SELECT 'recent', CAST(article_id AS VARCHAR), 1 FROM r ORDER BY pub_date DESC, article_id LIMIT 50)"""))
+def feature_report(spark, sf):
+    from archivolt.plans.views import article_author
+
+    rows = article_author(spark, sf).join(headlines(spark, sf), "article_id").join(records(spark, sf), "article_id")
+    return M.feature_report(rows, F.col("headline").startswith("red "), "author", "yr", "pub_date", "article_id")

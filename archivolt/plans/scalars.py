@@ -238,3 +238,29 @@ def stream_dedup(spark, sf):
     twice = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
     kept = S.drain(S.without_repeats(twice, ["event_id"], "ts"), f"dedup_{uuid.uuid4().hex}", "append", _shared(spark))
     return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d FROM events), w AS (SELECT d - CAST(k AS INT) AS s FROM e, range(7) r(k))
+SELECT strftime(s, '%Y-%m-%d') AS "first", count(*) AS n FROM w GROUP BY s""")
+def stream_sliding_weeks(spark, sf):
+    """Sliding windows of seven days, one beginning each day."""
+    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.drain(S.sliding_counts(events, "ts"), f"sliding_{uuid.uuid4().hex}", "complete", _shared(spark))
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("first"), "n")
+
+
+@query("""WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+c AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS chain FROM l)
+SELECT user_id, count(*) AS n FROM c GROUP BY user_id, chain""")
+def stream_sessions_6h(spark, sf):
+    """A user's events within six hours of each other, by session windows."""
+    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.drain(S.sessions(events, "ts", "user_id", "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete", _shared(spark))
+    return out.select("user_id", "n")
+
+
+@query("""SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_monthly_counts(spark, sf):
+    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.drain(S.monthly_counts(events, "ts", ["event_type"]), f"monthly_{uuid.uuid4().hex}", "complete", _shared(spark))
+    return out.select(F.date_format("month", "yyyy-MM").alias("month"), "event_type", "n")

@@ -94,3 +94,9 @@ def as_document(df: DataFrame, name: str = "document") -> DataFrame:
     """A small frame as one JSON text, rows in order of all columns."""
     rows = F.sort_array(F.collect_list(F.struct(*df.columns)))
     return df.agg(F.to_json(rows).alias(name))
+
+
+def year_of_file(path: str | Column) -> Column:
+    """The year in a file name like records_2019.json or 2019_05.json; the folder's name doesn't count."""
+    col = F.col(path) if isinstance(path, str) else path
+    return F.nullif(F.regexp_extract(col, r"(\d{4})[^/]*$", 1), F.lit("")).cast("int")

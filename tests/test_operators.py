@@ -133,3 +133,9 @@ def test_streams_with_late_data(spark, tmp_path):
     assert rows(chains.select("k", "n")) == [("a", 6), ("b", 1)]
     S.replace_slices(stream.withColumn("m", F.month("ts")), f"{tmp_path}/t", "m", f"{tmp_path}/c4").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/t").where("m = 1").count() == 1
+
+
+def test_year_of_file(spark):
+    paths = [("file:///a/2018/records_2019.json",), ("b/2020_05.json",), ("none.json",)]
+    got = [r.y for r in spark.createDataFrame(paths, "p string").select(A.year_of_file("p").alias("y")).collect()]
+    assert got == [2019, 2020, None]
