@@ -37,6 +37,12 @@ ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
 _BLOCK = 256
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once: Spark evaluates a shared sub-expression anew at each use inside lambdas
+    and conditions, but a lambda's variable only once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _offsets(lengths: Column) -> Column:
     """Sums before each element. Blocks keep the copying of growing arrays at n * _BLOCK instead of n * n."""
 
@@ -44,32 +50,39 @@ def _offsets(lengths: Column) -> Column:
         seed = F.array(start.cast("long"))
         return F.aggregate(values, seed, lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
 
+    def join(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))
+        inner = lambda x, start: F.slice(scan(x, start), 1, F.size(x))
+        return F.flatten(F.zip_with(blocks, F.slice(scan(sums, F.lit(0)), 1, F.size(blocks)), inner))
+
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
         lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)),
     )
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))
-    starts = scan(sums, F.lit(0))
-    return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda x, s: F.slice(scan(x, s), 1, F.size(x))))
+    return _let(blocks, join)
 
 
 def _found(text: Column, pattern: str, gate: Column) -> Column:
     """Array of {start, end, match, before}: leftmost non-overlapping matches, in code points. The gaps that split()
     leaves between the matches give their places and their left context (up to 24 code points, back to the last match)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    ends = _offsets(F.transform(pairs, lambda p: (F.char_length(p["m"]) + F.char_length(p["g"])).cast("long")))
-    spans = F.zip_with(
-        pairs,
-        ends,
-        lambda p, at: F.struct(
-            (at + F.char_length(p["g"])).alias("start"),
-            (at + F.char_length(p["g"]) + F.char_length(p["m"])).alias("end"),
-            p["m"].alias("match"),
-            F.lower(F.right(p["g"], F.lit(24))).alias("before"),
-        ),
-    )
+    def places(pairs: Column) -> Column:
+        size = lambda p: (F.char_length(p["m"]) + F.char_length(p["g"])).cast("long")
+        return F.zip_with(
+            pairs,
+            _let(F.transform(pairs, size), _offsets),
+            lambda p, at: F.struct(
+                (at + F.char_length(p["g"])).alias("start"),
+                (at + F.char_length(p["g"]) + F.char_length(p["m"])).alias("end"),
+                p["m"].alias("match"),
+                F.lower(F.right(p["g"], F.lit(24))).alias("before"),
+            ),
+        )
+
+    def paired(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        return _let(F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), places)
+
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
     none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string>>")
     return F.when(gate & text.rlike(pattern), spans).otherwise(none)
 
@@ -79,13 +92,20 @@ def _digits(match: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
+    """The sum over the digits, given last first, of which every second counts double (less 9 where that is over 9)."""
+
     def weigh(i: Column) -> Column:
-        d = F.ascii(F.substring(F.reverse(digits), i + 1, F.lit(1))) - 48
+        d = F.ascii(F.substring(digits, i + 1, F.lit(1))) - 48
         return F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
 
     return F.aggregate(F.sequence(F.lit(0), F.char_length(digits) - 1), F.lit(0), lambda a, i: a + weigh(i)) % 10 == 0
 
 
+def _valid_card(match: Column) -> Column:
+    checked = lambda d: F.when(F.char_length(d).between(14, 19), _luhn(d)).otherwise(False)
+    return _let(F.reverse(_digits(match)), checked)
+
+
 def _valid_ip(match: Column) -> Column:
     def small(part: Column) -> Column:
         bare = F.ltrim(part, F.lit("0"))
@@ -139,10 +159,7 @@ def candidates(text: Column) -> tuple[Column, Column]:
     found = {
         "email": _found(text, EMAIL, text.contains("@")),
         "ip": F.filter(_found(text, IP, digit), lambda s: _valid_ip(s["match"])),
-        "card": F.filter(
-            _found(text, CARD, digit),
-            lambda s: F.when(F.char_length(_digits(s["match"])).between(14, 19), _luhn(_digits(s["match"]))).otherwise(False),
-        ),
+        "card": F.filter(_found(text, CARD, digit), lambda s: _valid_card(s["match"])),
         "phone": F.filter(
             _found(text, PHONE, digit & text.contains("+")), lambda s: F.char_length(_digits(s["match"])).between(10, 15)
         ),
