@@ -242,20 +242,24 @@ def _score(model: dict, span: Column) -> Column:
     return total
 
 
+def _detected(docs: DataFrame) -> DataFrame:
+    model = train(docs)
+    bare = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
+    more = F.filter("__more", lambda s: _score(model, s) > 0)
+    spans = F.sort_array(F.concat(F.transform("__base", bare), F.transform(more, bare)))
+    base = F.sort_array(F.transform("__base", bare))
+    return with_candidates(docs).withColumns({"__spans": spans, "__base": base}).drop("__more")
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """`docs` with `base` and `spans`: arrays of {start, rank, kind, end} in code points, by start and then kind.
 
     base holds the valid matches of the four base patterns; spans has these and the candidates (secrets, bare numbers)
     that the classifier gives more than even odds. Two scans and one exchange of pattern counts; documents never move.
-    A null or empty text has no spans. Rows are independent, so null or repeated ids don't matter.
+    A null or empty text has no spans. Rows are independent, so null or repeated ids don't matter. Columns named base
+    and spans are replaced.
     """
-    model = train(docs)
-    bare = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
-    found = with_candidates(docs)
-    base = F.sort_array(F.transform("__base", bare))
-    more = F.filter("__more", lambda s: _score(model, s) > 0)
-    spans = F.sort_array(F.concat(F.transform("__base", bare), F.transform(more, bare)))
-    return found.withColumns({"base": base, "spans": spans}).drop("__base", "__more")
+    return _detected(docs.drop("base", "spans")).withColumnsRenamed({"__base": "base", "__spans": "spans"})
 
 
 def listed(spans: str) -> Column:
@@ -265,7 +269,7 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span in `text` replaced by its kind in brackets; of overlapping spans the first one is named
     and all are covered. A null text stays null."""
-    found = detect(docs.withColumn("__text", F.col("text").cast("string")))
+    found = _detected(docs.withColumn("__text", F.col("text").cast("string")))
     text = F.col("__text")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
 
@@ -278,8 +282,8 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     tail = lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text)))
-    new = F.when(F.size("spans") > 0, F.aggregate("spans", state, step, tail)).otherwise(text)
-    return found.withColumn("text", new).drop("__text", "base", "spans")
+    new = F.when(F.size("__spans") > 0, F.aggregate("__spans", state, step, tail)).otherwise(text)
+    return found.withColumn("text", new).drop("__text", "__base", "__spans")
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -75,6 +75,8 @@ def test_em_learns_reliabilities():
 def test_redact(spark):
     rows = [(1, "mail a.b@c.dd or 1.2.3.4 now", 5), (2, None, 6), (2, "clean text", 7), (None, "x +1 (743) 555-3824", 8)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")
-    got = {r.text for r in redact(docs.drop("spans")).collect()}
+    out = redact(docs)
+    assert out.columns == docs.columns and {r.spans for r in out.collect()} == {5, 6, 7, 8}
+    got = {r.text for r in out.collect()}
     assert got == {"mail [EMAIL] or [IP] now", None, "clean text", "x [PHONE]"}
     assert detect(docs.limit(0)).collect() == []

@@ -67,3 +67,16 @@ def test_stages_match_brute_force(spark, sf_dir):
 
 def test_run_gives_the_same_pieces(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).where("length <= 0 OR offset + length > 2048").count() == 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf_dir):
+    text = "These are some ten words or more of plain text, so the rules keep it as it is."
+    rows = [(1, text, 5, "a", "x", 7), (2, text + " Write to a.b@c.dd now.", 6, "b", "y", 8), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int, spans string, kept string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert {(r.n_lines, r.spans, r.kept) for r in out.collect()} <= {(5, "a", "x"), (6, "b", "y"), (None, None, None)}
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r.n_chars for r in kept.collect()} <= {7, 8}
+    assert corpus_pipeline.line_dedup(spark, docs.limit(0), sf_dir).collect() == []
