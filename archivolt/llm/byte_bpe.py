@@ -261,13 +261,13 @@ def codec(path: str, library: bool = False) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, library)
 
 
-def blocks(batch: pa.RecordBatch, column: str = "body") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about BLOCK bytes of text each; a longer text is a slice of its own."""
+def blocks(batch: pa.RecordBatch, column: str = "body", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` (BLOCK) bytes of text each; a longer text is a slice of its own."""
     body = batch.column(column)
     ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]
     at = 0
     while at < len(body):
-        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + BLOCK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + (size or BLOCK), "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

@@ -18,6 +18,8 @@ from archivolt.llm.common import stored, table, texts
 LENGTH = 400
 #: Bytes of the grams whose least hash picks the anchors of a window.
 GRAM = 200
+#: Bytes of text whose anchors are found together; about a hundred bytes of memory each.
+BLOCK = 1 << 20
 #: Entries that a sorted run is made of before it is sent.
 RUN = 20_000
 #: Distinct contexts of one gram from which its group is split by what stands next to the gram.
@@ -231,7 +233,7 @@ def repeats_around(merged: Iterator[tuple[int, Entry]], around: int) -> tuple[np
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     around = length - gram
     for batch in batches:
-        for part in blocks(batch):
+        for part in blocks(batch, size=BLOCK):
             body = part.column("body")
             edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
             raw = memoryview(body.buffers()[2] or b"")[edges[0] : edges[-1]]
@@ -348,7 +350,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     grams = found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
     ).where("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alone"))
-    again = stored(found.join(grams, "gram"), "repeated-anchors")
+    # as a table of its own: a join on the aggregate itself would share its partitions, which can't be split at a hot gram
+    again = stored(found.join(stored(grams, "grams"), "gram"), "repeated-anchors")
     kinds = (
         again.where("NOT alone").groupBy("gram", "context")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "n_bytes", "place")).alias("at"))
