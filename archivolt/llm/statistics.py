@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, monotone: di
     """A forest for labels.quality from at most `max_rows` labelled documents that aren't held out.
 
     The rows are those with the least XXH64 of the id, so they don't depend on the layout; `max_rows` bounds the
-    broadcast and what reaches the driver (len(FEATURES) doubles a row). Without any labelled row the score is 0.5.
+    broadcast and what reaches the driver (len(FEATURES) doubles a row; one row for an id that repeats). Without any labelled row the score is 0.5.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, monotone: di
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "quality", features_of(body).alias("x"))
+        .select("doc_id", F.struct("quality", features_of(body).alias("x")).alias("row"))
+        .groupBy("doc_id")
+        .agg(F.min("row").alias("row"))
+        .select("doc_id", "row.*")
         .toPandas()
         .sort_values("doc_id")
     )
