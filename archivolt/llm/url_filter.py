@@ -20,8 +20,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
-def list_keys(url: Column, max_segments: int = 2) -> Column:
-    """Array of {key, rank}: the host and its parent domains down to two labels, and its prefixes of path segments."""
+def list_keys(url: Column, max_segments: int | None = 2) -> Column:
+    """Array of {key, rank}: the host and its parent domains down to two labels, and its prefixes of path segments, of at
+    most `max_segments` (None: all)."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
@@ -30,7 +31,7 @@ def list_keys(url: Column, max_segments: int = 2) -> Column:
         lambda i: F.struct(F.array_join(F.slice(labels, i, n - i + 1), ".").alias("key"), (n - i + 1).alias("rank")),
     )
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
-    deep = F.least(F.size(segments), F.lit(max_segments))
+    deep = F.size(segments) if max_segments is None else F.least(F.size(segments), F.lit(max_segments))
     paths = F.transform(
         F.when((deep >= 1) & (n >= 2), F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
@@ -53,7 +54,7 @@ def validity(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """`captures` with verdict ("block", "allow", or "none" where no entry holds), list_key and listed_since.
 
-    Every capture is judged by the entries in force at its own time. Its keys (domains and path prefixes) meet the
+    Every capture is judged by the entries in force at its own time. Its keys (domains and path prefixes of any depth) meet the
     list's validity intervals in an as-of join on the key: of a key's intervals at most one holds at a time. The most
     specific key that has one decides. Captures of one URL at one time are judged once and the verdict is joined back,
     so every row stays; the joins are equi-joins that adaptive execution can split at a hot domain, and nothing is
@@ -61,7 +62,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     """
     rows = captures.drop("verdict", "list_key", "listed_since")
     asked = rows.select(F.col(url_col).alias("__url"), F.col(time_col).alias("__at")).where("__url IS NOT NULL AND __at IS NOT NULL")
-    keyed = asked.distinct().select("__url", "__at", F.explode(list_keys(F.col("__url"))).alias("k")).select("__url", "__at", "k.*")
+    keyed = asked.distinct().select("__url", "__at", F.explode(list_keys(F.col("__url"), None)).alias("k")).select("__url", "__at", "k.*")
     spans = validity(entries).withColumnRenamed("key", "list_key")
     holds = (F.col("key") == F.col("list_key")) & (F.col("since") <= F.col("__at"))
     holds &= F.col("until").isNull() | (F.col("__at") < F.col("until"))
