@@ -81,14 +81,24 @@ SELECT item_id, doc_id, CAST(o AS INT) AS "offset", inside, CASE WHEN inside THE
 WHERE rn = 1 AND (inside OR n >= 2 OR score = 1.0)""")
 def band_match_top1(spark, sf):
     """Each item's best document within three days: containment first, then shared tokens, then the earliest."""
+    return _band_top1(spark, sf, F.lower(F.left("text", F.lit(400))), F.left(F.lower("text"), F.lit(30)))
+
+
+@query()
+def band_match_top1_all(spark, sf):
+    """As `band_match_top1`, with the whole texts of both sides. No SQL: its pairs by day are too many for a nested loop."""
+    return _band_top1(spark, sf, F.lower("text"), F.lower("text"))
+
+
+def _band_top1(spark, sf, body, wanted):
+    """`body` of documents and `wanted` of items are the texts for containment; the items' bags are of their whole texts."""
     day = lambda c: F.date_add(F.to_date(F.lit("2024-01-01")), (F.col(c) % 20).cast("int"))
-    items = read(spark, sf, "benchmark").select("item_id", F.lower("text").alias("t"), X.token_bag("text", ascii_only=True).alias("bag"), day("item_id").alias("d"))
-    head = F.lower(F.left("text", F.lit(400)))
-    docs = read(spark, sf, "documents", "doc_id", "text").select("doc_id", head.alias("h"), X.token_bag(head, ascii_only=True).alias("other"), day("doc_id").alias("dd"))
+    items = read(spark, sf, "benchmark").select("item_id", wanted.alias("t"), X.token_bag("text", ascii_only=True).alias("bag"), day("item_id").alias("d"))
+    docs = read(spark, sf, "documents", "doc_id", "text").select("doc_id", body.alias("h"), X.token_bag(body, ascii_only=True).alias("other"), day("doc_id").alias("dd"))
     pairs = J.band_join(items, docs, "d", "dd", 3)
     n = F.size(F.array_intersect("bag", "other"))
     scored = pairs.select(
-        "item_id", "doc_id", "offset", F.col("h").contains(F.left("t", F.lit(30))).alias("inside"), n.alias("n"),
+        "item_id", "doc_id", "offset", F.col("h").contains(F.col("t")).alias("inside"), n.alias("n"),
         (n / F.least(F.greatest(F.size("other"), F.lit(4)), F.lit(8))).alias("score"),
     ).where("inside OR n > 0")
     order = F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(-F.col("score")), "offset", "doc_id")
