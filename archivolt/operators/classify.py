@@ -100,15 +100,15 @@ def attach_republished(df: DataFrame, key: str, order: list[Column], url: str =
     """Republications of one key go to its best original by `order`; without an original, to the oldest of them. They
     leave the table and stand in the `later` array of the row that stays; other originals stay as they are."""
     w = W.partitionBy(key)
-    originals = F.count_if(~F.col(flag)).over(w)
-    rank = F.row_number().over(w.orderBy(F.col(flag), *order))
-    oldest = F.row_number().over(w.orderBy(day, url))
-    rows = df.withColumns({"__o": originals, "__r": rank, "__d": oldest})
-    rows = rows.withColumn("__first", F.when(F.col("__o") > 0, F.col("__r") == 1).otherwise(F.col("__d") == 1))
+    best = w.orderBy(F.col(flag), *order)
+    rows = df.withColumns({"__none": F.min(flag).over(best), "__r": F.row_number().over(best), "__d": F.row_number().over(w.orderBy(day, url))})
+    rows = rows.withColumn("__first", F.when(~F.col("__none"), F.col("__r") == 1).otherwise(F.col("__d") == 1))
     gone = F.col(flag) & ~F.col("__first")
-    folded = F.sort_array(F.collect_list(F.when(gone, F.struct(F.col(day).alias("day"), F.col(url).alias("url")))).over(w))
-    rows = rows.withColumn("later", F.when(F.col("__first"), folded).otherwise(F.array().cast(f"array<struct<day:{dict(df.dtypes)[day]},url:string>>")))
-    return rows.where(~gone).drop("__o", "__r", "__d", "__first")
+    folded = F.sort_array(F.collect_list(F.struct(F.col(day).alias("day"), F.col(url).alias("url"))))
+    later = rows.where(gone).groupBy(F.col(key).alias("__key")).agg(folded.alias("__later"))
+    nothing = F.array().cast(f"array<struct<day:{dict(df.dtypes)[day]},url:string>>")
+    kept = rows.where(~gone).join(later, F.col("__first") & F.col(key).eqNullSafe(F.col("__key")), "left")
+    return kept.withColumn("later", F.coalesce("__later", nothing)).drop("__none", "__r", "__d", "__first", "__key", "__later")
 
 
 def serving(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -59,7 +59,22 @@ f AS (SELECT *, CASE WHEN o > 0 THEN r = 1 ELSE d = 1 END AS first FROM w),
 l AS (SELECT name, count(*) FILTER (rep AND NOT first) AS n FROM f GROUP BY name)
 SELECT id, CASE WHEN first THEN n ELSE 0 END AS n_later FROM f JOIN l USING (name) WHERE NOT (rep AND NOT first)""")
 def republication_merge(spark, sf):
-    rows = read(spark, sf, "events").where("event_id % 40 = 0").select(
+    return _merged(read(spark, sf, "events").where("event_id % 40 = 0"))
+
+
+@query("""WITH d AS (SELECT user_id AS name, event_id AS id, event_type = 'error' AS rep, ts AS day, value FROM events),
+w AS (SELECT *, count(*) FILTER (NOT rep) OVER (PARTITION BY name) AS o, row_number() OVER (PARTITION BY name ORDER BY rep, -value, id) AS r,
+  row_number() OVER (PARTITION BY name ORDER BY day, CAST(id AS VARCHAR)) AS d FROM d),
+f AS (SELECT *, CASE WHEN o > 0 THEN r = 1 ELSE d = 1 END AS first FROM w),
+l AS (SELECT name, count(*) FILTER (rep AND NOT first) AS n FROM f GROUP BY name)
+SELECT id, CASE WHEN first THEN n ELSE 0 END AS n_later FROM f JOIN l USING (name) WHERE NOT (rep AND NOT first)""")
+def republication_merge_all(spark, sf):
+    """As `republication_merge`, over all events."""
+    return _merged(read(spark, sf, "events"))
+
+
+def _merged(events):
+    rows = events.select(
         F.col("user_id").alias("name"), F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("republished"),
         F.col("ts").alias("day"), "value", F.col("event_id").cast("string").alias("url"),
     )

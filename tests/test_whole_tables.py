@@ -13,3 +13,8 @@ def test_band_match_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = QUERIES["band_match_top1_all"](spark, str(tmp_path)).collect()
     assert [(r.item_id, r.doc_id, r.inside, r.score) for r in got] == [(1, 1, True, 1.0)]
+
+
+def test_every_event_is_merged(spark, sf_dir):
+    got = QUERIES["republication_merge_all"](spark, sf_dir).selectExpr("count(*) + sum(n_later)").first()[0]
+    assert got == read(spark, sf_dir, "events").count()
