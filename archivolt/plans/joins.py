@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from archivolt.functions import text as X
 from archivolt.operators import marts as M
 from archivolt.operators import matching as J
+from archivolt.operators.marts import ranked
 from archivolt.plans.views import article_author, article_subject, articles, headlines, read, records, sql
 
 QUERIES, ORACLES = {}, {}
@@ -184,6 +185,21 @@ def fallback_key_join(spark, sf):
     return J.fallback_join(rows.select("p_partkey"), "p_partkey", steps, [F.asc("hit")]).na.fill(-1, ["hit", "step"])
 
 
+@query("""WITH h AS (SELECT s.p_partkey, t.p_partkey AS hit, 0 AS step FROM part s JOIN part t ON s.p_name = t.p_name AND s.p_brand = t.p_brand AND s.p_type = t.p_type AND s.p_partkey <> t.p_partkey
+UNION ALL SELECT s.p_partkey, t.p_partkey, 1 FROM part s JOIN part t ON s.p_name = t.p_name AND s.p_brand = t.p_brand AND s.p_partkey <> t.p_partkey
+UNION ALL SELECT s.p_partkey, t.p_partkey, 2 FROM part s JOIN part t ON s.p_brand = t.p_brand AND s.p_type = t.p_type AND s.p_partkey <> t.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY step, hit) AS rn FROM h)
+SELECT s.p_partkey, coalesce(r.hit, -1) AS hit, CAST(coalesce(r.step, -1) AS INT) AS step FROM part s LEFT JOIN r ON s.p_partkey = r.p_partkey AND rn = 1""")
+def fallback_key_join_all(spark, sf):
+    """As `fallback_key_join`, every part against all others."""
+    parts = read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type")
+    other = parts.withColumnRenamed("p_partkey", "hit")
+    keys = (["p_name", "p_brand", "p_type"], ["p_name", "p_brand"], ["p_brand", "p_type"])
+    two = lambda k: ranked(other, k, [F.asc("hit")], 2, "__r").select(*k, "hit")  # noqa: E731  one of them may be the part itself
+    steps = [parts.join(two(k), k).where("hit <> p_partkey").select("p_partkey", "hit") for k in keys]
+    return J.fallback_join(parts.select("p_partkey"), "p_partkey", steps, [F.asc("hit")]).na.fill(-1, ["hit", "step"])
+
+
 @query("""SELECT c_custkey, CAST(coalesce(sum(CAST(floor(o_totalprice / 100) AS INT)), 0) AS BIGINT) AS words
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey""")
 def default_left_join(spark, sf):

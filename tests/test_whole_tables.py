@@ -1,5 +1,7 @@
 """The queries of whole tables; their twins are compared in test_queries."""
 
+import pytest
+
 from archivolt.plans.catalogue import QUERIES
 from archivolt.plans.joins import read
 
@@ -15,6 +17,14 @@ def test_band_match_reads_whole_texts(spark, tmp_path):
     assert [(r.item_id, r.doc_id, r.inside, r.score) for r in got] == [(1, 1, True, 1.0)]
 
 
+@pytest.mark.parametrize("name, table, key, found", [
+    ("fallback_key_join_all", "part", "p_partkey", "p_partkey"),
+])
+def test_every_row_has_its_result(spark, sf_dir, name, table, key, found):
+    got = QUERIES[name](spark, sf_dir).select(found).collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in read(spark, sf_dir, table, key).collect())
+
+
 def test_every_event_is_merged(spark, sf_dir):
     got = QUERIES["republication_merge_all"](spark, sf_dir).selectExpr("count(*) + sum(n_later)").first()[0]
     assert got == read(spark, sf_dir, "events").count()
