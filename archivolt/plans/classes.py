@@ -19,6 +19,16 @@ def query(text: str | None = None):
     return add
 
 
+def _reclassified(rows):
+    k = F.col("article_id")
+    section = F.when(F.col("section") == "1-URGENT", "Corrections").when(F.col("section") == "2-HIGH", "New York").otherwise(F.col("section"))
+    headline = F.when(k % 11 == 0, "Primary Election Results").when(k % 7 == 0, "Winning Lottery Numbers").otherwise("News")
+    material = F.when(k % 13 == 0, "Obituary").when(k % 5 == 0, "Quote").otherwise("News")
+    authors = F.when(k % 2 == 1, F.array(F.lit("Jo Roe"))).otherwise(F.array(F.lit("The Wire")))
+    signed = rows.select(k, section.alias("section"), headline.alias("headline"), material.alias("material"), authors.alias("authors"))
+    return C.reclassify(signed, ["The Wire"]).select(k, "section", "is_lottery", "is_election")
+
+
 @query(sql("record", r"""
 SELECT article_id, CASE WHEN article_id % 13 = 0 THEN 'Obituaries'
   WHEN section = 'Corrections' AND article_id % 5 = 0 THEN 'Today''s Paper' WHEN section = 'New York' AND article_id % 7 = 0 THEN 'Today''s Paper'
@@ -29,13 +39,18 @@ FROM (SELECT article_id, CASE WHEN section = '1-URGENT' THEN 'Corrections' WHEN
 def ordered_reclassification(spark, sf):
     """The ordered rules over records that carry their signs by rules of the id (records with two headlines are left out)."""
     k = F.col("article_id")
-    rows = records(spark, sf).where(~((k % 11 == 0) & (k % 7 == 0)) & ~((k % 5 == 0) & (k % 11 == 0)))
-    section = F.when(F.col("section") == "1-URGENT", "Corrections").when(F.col("section") == "2-HIGH", "New York").otherwise(F.col("section"))
-    headline = F.when(k % 11 == 0, "Primary Election Results").when(k % 7 == 0, "Winning Lottery Numbers").otherwise("News")
-    material = F.when(k % 13 == 0, "Obituary").when(k % 5 == 0, "Quote").otherwise("News")
-    authors = F.when(k % 2 == 1, F.array(F.lit("Jo Roe"))).otherwise(F.array(F.lit("The Wire")))
-    signed = rows.select(k, section.alias("section"), headline.alias("headline"), material.alias("material"), authors.alias("authors"))
-    return C.reclassify(signed, ["The Wire"]).select(k, "section", "is_lottery", "is_election")
+    return _reclassified(records(spark, sf).where(~((k % 11 == 0) & (k % 7 == 0)) & ~((k % 5 == 0) & (k % 11 == 0))))
+
+
+@query(sql("record", r"""
+SELECT article_id, CASE WHEN article_id % 13 = 0 THEN 'Obituaries'
+  WHEN section = 'Corrections' AND article_id % 5 = 0 THEN 'Today''s Paper' WHEN section = 'New York' AND article_id % 7 = 0 AND article_id % 11 <> 0 THEN 'Today''s Paper'
+  WHEN article_id % 11 = 0 AND article_id % 2 = 0 THEN 'Today''s Paper' ELSE section END AS section,
+  section = 'New York' AND article_id % 7 = 0 AND article_id % 11 <> 0 AS is_lottery, article_id % 11 = 0 AND article_id % 2 = 0 AS is_election
+FROM (SELECT article_id, CASE WHEN section = '1-URGENT' THEN 'Corrections' WHEN section = '2-HIGH' THEN 'New York' ELSE section END AS section FROM record)"""))
+def ordered_reclassification_all(spark, sf):
+    """As `ordered_reclassification`, over all records: where two signs meet, an election headline goes before a lottery one."""
+    return _reclassified(records(spark, sf))
 
 
 @query("""WITH p AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'Correction' WHEN 1 THEN 'Quote' WHEN 2 THEN 'News' ELSE NULL END AS m, page_id % 3 AS s FROM pages)

@@ -18,7 +18,7 @@ def test_band_match_reads_whole_texts(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name, table, key, found", [
-    ("fallback_key_join_all", "part", "p_partkey", "p_partkey"),
+    ("fallback_key_join_all", "part", "p_partkey", "p_partkey"), ("ordered_reclassification_all", "orders", "o_orderkey", "article_id"),
 ])
 def test_every_row_has_its_result(spark, sf_dir, name, table, key, found):
     got = QUERIES[name](spark, sf_dir).select(found).collect()
