@@ -119,6 +119,22 @@ def rescaled_parts(spark, sf):
     return out.select("section", "words", "words_annual", "blog_scaled")
 
 
+@query(sql("record", """,
+y AS (SELECT section, yr, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(word_count) FILTER (material = 'O') AS BIGINT) AS blog, min(pub_date) AS a, max(pub_date) AS b FROM record GROUP BY 1, 2),
+e AS (SELECT *, min(a) OVER (PARTITION BY section) AS first, max(b) OVER (PARTITION BY section) AS last FROM y),
+d AS (SELECT *, CASE WHEN year(first) = year(last) THEN date_diff('day', first, last) + 1 WHEN yr = year(first) THEN date_diff('day', first, make_date(yr, 12, 31)) + 1
+  WHEN yr = year(last) THEN date_diff('day', make_date(yr, 1, 1), last) + 1 END AS days FROM e),
+s AS (SELECT *, CASE WHEN days IS NULL THEN words ELSE CAST(round_even(words * 365 / days, 0) AS BIGINT) END AS words_annual FROM d)
+SELECT section, yr, words, words_annual, CASE WHEN words > 0 AND blog > 0 THEN CAST(round_even(words_annual * blog / words, 0) AS BIGINT) ELSE 0 END AS blog_scaled FROM s"""))
+def rescaled_parts_all(spark, sf):
+    """As `rescaled_parts`, over all years: the edge years of a section are annualised, inner ones stay."""
+    rows = records(spark, sf)
+    year = M.annualised(rows, "section", "pub_date", "word_count")
+    blog = rows.groupBy("section", "yr").agg(F.sum(F.when(F.col("material") == "O", F.col("word_count").cast("long"))).alias("blog"))
+    out = C.rescale(year.join(blog, ["section", "yr"]), "words", "words_annual", ["blog"])
+    return out.select("section", "yr", "words", "words_annual", "blog_scaled")
+
+
 @query(sql("author headline record", """,
 own AS (SELECT article_id, author, yr, pub_date FROM headline JOIN author USING (article_id) JOIN record USING (article_id) WHERE starts_with(headline, 'red ')),
 r AS (SELECT DISTINCT article_id, yr, pub_date FROM own)

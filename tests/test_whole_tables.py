@@ -28,3 +28,8 @@ def test_every_row_has_its_result(spark, sf_dir, name, table, key, found):
 def test_every_event_is_merged(spark, sf_dir):
     got = QUERIES["republication_merge_all"](spark, sf_dir).selectExpr("count(*) + sum(n_later)").first()[0]
     assert got == read(spark, sf_dir, "events").count()
+
+
+def test_every_year_is_rescaled(spark, sf_dir):
+    years = {r.yr for r in QUERIES["rescaled_parts_all"](spark, sf_dir).collect()}
+    assert years == {r[0] for r in read(spark, sf_dir, "orders").selectExpr("year(o_orderdate)").collect()}
