@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import os
+import re
 import sys
 import unicodedata
 from bisect import bisect_right
@@ -15,9 +17,9 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from archivolt.llm.common import table, texts
 
@@ -110,14 +112,25 @@ class MergeReplay:
         }
 
     def greedy(self, word: bytes) -> list[int]:
-        """One word by the rule itself: always merge the leftmost pair of the least rank."""
-        part = [self.single[b] for b in word]
-        while len(part) > 1:
-            best = min((self.merged.get(p, 1 << 30), i) for i, p in enumerate(zip(part, part[1:])))
-            if best[0] == 1 << 30:
-                break
-            part[best[1] : best[1] + 2] = [best[0]]
-        return part
+        """One word by the rule itself: always merge the leftmost pair of the least rank, found in a queue."""
+        get, n = self.merged.get, len(word)
+        symbol = [*map(self.single.__getitem__, word), -1]  # the last is never part of a pair
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        queue = [(rank, i) for i, rank in enumerate(map(get, zip(symbol, symbol[1:]))) if rank is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            if symbol[i] < 0 or get((symbol[i], symbol[after[i]])) != rank:
+                continue
+            j = after[i]
+            symbol[i], symbol[j] = rank, -2
+            after[i] = after[j]
+            before[after[j]] = i
+            for at in (before[i], i):
+                new = get((symbol[at], symbol[after[at]])) if at >= 0 else None
+                if new is not None:
+                    heapq.heappush(queue, (new, at))
+        return [x for x in symbol if x >= 0]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -183,14 +196,16 @@ class MergeReplay:
 
 
 class Codec:
-    """Encodes blocks of texts and decodes ids. New words are merged by `replay`, or by the tokenizer library."""
+    """Encodes blocks of texts and decodes ids. New words are merged by `replay`, or by a tokenizer of the library. added:
+    tokens that are found in texts before these are cut into words, and their ids."""
 
-    def __init__(self, ranks: dict[bytes, int], library: bool = False):
+    def __init__(self, ranks: dict[bytes, int], library: Tokenizer | None = None, added: dict[bytes, int] | None = None):
         self.replay = MergeReplay(ranks)
-        self.library = library and tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.library, self.added = library, added or {}
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.known: dict[bytes, list[int]] = {}
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
+        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1 + len(self.added))
+        for t, r in {**ranks, **self.added}.items():
             self.pieces[r] = t
         self.lengths = np.fromiter(map(len, self.pieces), np.int64)
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
@@ -206,10 +221,33 @@ class Codec:
         return [known[w] for w in words]
 
     def _by_library(self, words: list[bytes]) -> list[list[int]]:
-        return [self.library.encode_ordinary(w.decode()) for w in words]  # a pre-token by itself is one pre-token
+        coded = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [c.ids for c in coded]  # a pre-token by itself is one pre-token
 
     def encode(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)."""
+        if self.pattern and any(map(self.pattern.search, bodies.to_pylist())):
+            return self._around_added(bodies)
+        return self._plain(bodies)
+
+    def _around_added(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`: what stands between added tokens is a text of its own."""
+        pieces, then = [], []  # then: the added token after a piece, or -1 at the end of a text
+        for body in bodies.to_pylist():
+            at = 0
+            for m in self.pattern.finditer(body):
+                pieces.append(body[at : m.start()])
+                then.append(self.added[m[0]])
+                at = m.end()
+            pieces.append(body[at:])
+            then.append(-1)
+        ids, counts = self._plain(pa.array(pieces, pa.binary()))
+        then = np.array(then)
+        inner = then >= 0
+        ids = np.insert(ids, np.cumsum(counts)[inner], then[inner])
+        return ids, np.diff(np.cumsum(counts + inner)[~inner], prepend=0)
+
+    def _plain(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
         base, sizes = ends[0], np.diff(ends)
         whole = bodies.buffers()[2]
@@ -249,16 +287,19 @@ def _printable() -> dict[str, int]:
 
 @cache
 def codec(path: str, library: bool = False) -> Codec:
-    """The codec of a rank file, or of a byte-level vocabulary in JSON, once per Python worker."""
+    """The codec of a rank file, or of a byte-level vocabulary in JSON, once per Python worker. library: new words of a JSON
+    vocabulary are merged by the tokenizers library."""
     if path.endswith(".json"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         byte = _printable()
-        special = {t["content"] for t in model["added_tokens"]}
+        added = {t["content"]: t["id"] for t in model["added_tokens"]}
         vocabulary = model["model"]["vocab"].items()
-        return Codec({bytes(byte[c] for c in t): i for t, i in vocabulary if t not in special}, library)
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary if t not in added}
+        return Codec(ranks, Tokenizer.from_file(path) if library else None, {t.encode(): i for t, i in added.items()})
     with open(path, "rb") as f:
-        return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, library)
+        return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
 def blocks(batch: pa.RecordBatch, column: str = "body", size: int | None = None) -> Iterator[pa.RecordBatch]:

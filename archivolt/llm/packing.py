@@ -162,11 +162,13 @@ def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col:
     """One row per piece: doc_id, start, length, tokens (binary, little-endian unsigned 32-bit ids), doc_tokens,
     sequence_id, offset.
 
-    A document is the ids of its whole text and then END_ID. Documents stay in the order of their partition, and each
+    A document is the ids that the tokenizers library gives its whole text (each distinct word of a block goes through it
+    once; an added token such as <|endoftext|> in a text is its one id, as there) and then END_ID. Documents stay in the order of their partition, and each
     partition is packed by itself in chunks of at least CHUNK ids of whole documents: no exchange, memory bounded by
     the chunk (or the longest document), and a lost task gives the same rows again. sequence_id holds the partition in
     its high bits. A null or empty text is the one id END_ID. Null and repeated ids pass through; an empty table gives
-    an empty result. `path`: a rank file or JSON vocabulary, local to each executor.
+    an empty result. `path`: a JSON vocabulary, local to each
+    executor.
     """
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = body.schema["doc_id"].dataType.simpleString()

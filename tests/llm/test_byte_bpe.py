@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from archivolt.llm import byte_bpe
 from archivolt.llm.byte_bpe import RANKS, codec, decode, op8_byte_bpe, round_trip
@@ -25,13 +27,32 @@ def test_matches_library_on_odd_texts(library):
     random.seed(7)
     alphabet = [*" \n\t'sStremvld09.,!é　 ñ½Ⅷ中\U0001f600\x1c\x85", "'ll", "'re", "'ve", "  ", " '"]
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 40))) for _ in range(3000)]
-    texts += ["", "a" * 3000, "'" * 50, " " * 40 + "x", "the cat's 'll we'll", "x" * 20_000, "<|endoftext|>"]
+    texts += ["", "a" * 3000, "'" * 50, " " * 40 + "x", "the cat's 'll we'll", "x" * 20_000]
+    texts += ["ab0" * 4000]  # one long word that has to be redone would take hours by search
     for own in (codec(RANKS), codec(public_tokenizers.path("byte_bpe_50k.json"), True)):
         got, ids, counts = ids_of(texts, own)
         assert got == [library.encode_ordinary(t) for t in texts]
         assert own.decode(ids, counts).to_pylist() == [t.encode() for t in texts]
 
 
+def test_added_tokens_are_the_library_s(library):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    end, own, tokenizer = "<|endoftext|>", codec(path, True), Tokenizer.from_file(path)
+    texts = [f"a {end} b", end, end * 2, f" {end}", f"{end} ", f"it{end}'s  {end}  x", "<|endoftext |>", f"<{end}>", "", f"é{end}\n"]
+    got, ids, counts = ids_of(texts, own)
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.decode(ids, counts).to_pylist() == [t.encode() for t in texts]
+    plain = codec(RANKS)
+    assert ids_of(texts, plain)[0] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_greedy_takes_no_square_of_a_word():
+    word = bytes(np.random.default_rng(1).integers(97, 123, 60_000).astype(np.uint8))
+    began = time.time()
+    ids = codec(RANKS).replay.greedy(word)
+    assert b"".join(codec(RANKS).pieces[i] for i in ids) == word and time.time() - began < 10
+
+
 def test_words_that_the_index_must_redo():
     ranks = {bytes([b]): b for b in range(256)}
     ranks |= {b"ab": 300, b"abc": 299, b"cd": 301, b"bcd": 256}  # ab is merged late, then abc outranks it

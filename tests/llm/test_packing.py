@@ -35,6 +35,16 @@ def test_query_is_a_packing_of_the_library_ids(spark, sf_dir):
     assert padding < 0.01 * sum(map(len, whole.values()))
 
 
+def test_added_token_within_texts(spark):
+    end = "<|endoftext|>"
+    texts = {1: f"a {end} b", 2: end + end, 3: f"words before{end}", 4: f"{end}words after"}
+    got = {}
+    for r in sorted(pack(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.tokens, "<u4").tolist())
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+
+
 def brute_cost(places, costs, window):
     best = {0: 0.0}
     for j, cost in zip(places, costs):
