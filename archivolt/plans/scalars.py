@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from archivolt.operators import marts as M
 from archivolt.operators import quality as Q
 from archivolt.plans.views import headlines, read, records, sql
 from archivolt.sources import archive as A
+from archivolt.sources.shared import new_folder
 from archivolt.streaming import streams as S
 
 QUERIES, ORACLES = {}, {}
@@ -201,22 +201,12 @@ def quality_gaps(spark, sf):
     return Q.gaps(needed, present, "o_orderkey", "day", F.lit("2002-01-01").cast("date"))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="archivolt-")
-
-
-def _shared(spark) -> str:
-    """The folder that the driver and executors share, or a temporary one in local runs."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_folder()}"
-    return f"{root.rstrip('/')}/archivolt-{uuid.uuid4().hex}"
-
-
 @query("""SELECT yr, count(*) AS n, CAST(sum(word_count) AS BIGINT) AS words FROM (SELECT CAST(year(o_orderdate) AS INT) AS yr,
   CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE CAST(floor(o_totalprice / 100) AS INT) END AS word_count FROM orders) GROUP BY yr""")
 def packed_roundtrip(spark, sf):
     """Written by year, read back, and checked to hold the same rows before it is used."""
     rows = records(spark, sf)
-    path = _shared(spark)
+    path = new_folder(spark, "archivolt")
     A.write_by_year(rows, path)
     again = spark.read.schema(rows.schema).parquet(path)
     if not A.round_trips(rows, again):
@@ -229,7 +219,7 @@ def stream_daily_counts(spark, sf):
     """All days but the last, which may go on. The stream puts out every day once it is drained: closing days as it runs
     would drop what later files hold of them."""
     events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.daily_counts(events, "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}", "complete", _shared(spark))
+    out = S.drain(S.daily_counts(events, "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
     return out.crossJoin(out.agg(F.max("day").alias("last"))).where("day < last").drop("last")
 
 
@@ -238,7 +228,7 @@ def stream_dedup(spark, sf):
     """Every event twice in the stream, once in the result."""
     events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     twice = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
-    kept = S.drain(S.without_repeats(twice, ["event_id"], "ts"), f"dedup_{uuid.uuid4().hex}", "append", _shared(spark))
+    kept = S.drain(S.without_repeats(twice, ["event_id"], "ts"), f"dedup_{uuid.uuid4().hex}", "append", new_folder(spark, "archivolt"))
     return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -247,7 +237,7 @@ SELECT strftime(s, '%Y-%m-%d') AS "first", count(*) AS n FROM w GROUP BY s""")
 def stream_sliding_weeks(spark, sf):
     """Sliding windows of seven days, one beginning each day."""
     events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.sliding_counts(events, "ts"), f"sliding_{uuid.uuid4().hex}", "complete", _shared(spark))
+    out = S.drain(S.sliding_counts(events, "ts"), f"sliding_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("first"), "n")
 
 
@@ -257,12 +247,12 @@ SELECT user_id, count(*) AS n FROM c GROUP BY user_id, chain""")
 def stream_sessions_6h(spark, sf):
     """A user's events within six hours of each other, by session windows."""
     events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.sessions(events, "ts", "user_id", "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete", _shared(spark))
+    out = S.drain(S.sessions(events, "ts", "user_id", "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
     return out.select("user_id", "n")
 
 
 @query("""SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_monthly_counts(spark, sf):
     events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.monthly_counts(events, "ts", ["event_type"]), f"monthly_{uuid.uuid4().hex}", "complete", _shared(spark))
+    out = S.drain(S.monthly_counts(events, "ts", ["event_type"]), f"monthly_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
     return out.select(F.date_format("month", "yyyy-MM").alias("month"), "event_type", "n")
