@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import atexit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt.sources.shared import delete, new_folder
+
 #: The characters of `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,50 +28,36 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='archivolt-')}")
-    return (found or _own[0]).rstrip("/")
-
-
-#: Tables written, and a folder of our own where the session names none (local runs).
-_written: list[str] = []
-_own: list[str] = []
+#: Tables written by this process and not yet deleted.
+_written: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """`df` written as a table in the shared folder and read back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark, name)
+    _written[path] = spark
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a table made by `stored` that no later plan reads."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        while folder.rsplit("/", 1)[1].count("=") == 1:
-            folder = folder.rsplit("/", 1)[0]
-        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            _delete(spark, folder)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table that `stored` gave and that no later plan reads."""
+    path = df._stored_at
+    delete(_written.pop(path), path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that `stored` wrote in this process: to be called when the results are saved, as frames that
-    operators returned still read them."""
+@atexit.register
+def release() -> None:
+    """Deletes every table that `stored` wrote in this process and that is still there: to be called when the results are
+    saved, as frames that operators returned still read them. It is done at the end of the process too."""
     while _written:
-        _delete(spark, _written.pop())
+        path, spark = _written.popitem()
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
 
 
 def ascii_lower(col):

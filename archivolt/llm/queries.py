@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from archivolt.llm.byte_bpe import op8_byte_bpe
+from archivolt.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from archivolt.llm.line_dedup import OP7_SQL, op7_line_dedup
+from archivolt.llm.packing import op4_packing
+from archivolt.llm.pii import op5_pii
+from archivolt.llm.quality_classifier import op9_quality_classifier
+from archivolt.llm.quality_rules import op10_quality_rules
+from archivolt.llm.simhash import op1_simhash_near_dedup
+from archivolt.llm.suffix_dedup import op2_suffix_array_dedup
+from archivolt.llm.url_filter import OP3_SQL, op3_url_filter
 
-_OPERATORS = {
-    "op1_simhash_near_dedup": "simhash",
-    "op2_suffix_array_dedup": "suffix_dedup",
-    "op3_url_filter": "url_filter",
-    "op4_packing": "packing",
-    "op5_pii": "pii",
-    "op6_exact_dedup": "exact_dedup",
-    "op7_line_dedup": "line_dedup",
-    "op8_byte_bpe": "byte_bpe",
-    "op9_quality_classifier": "quality_classifier",
-    "op10_quality_rules": "quality_rules",
-}
+_QUERIES = (
+    op1_simhash_near_dedup, op2_suffix_array_dedup, op3_url_filter, op4_packing, op5_pii, op6_exact_dedup, op7_line_dedup,
+    op8_byte_bpe, op9_quality_classifier, op10_quality_rules,
+)
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"archivolt.llm.{module}"), name) for name, module in _OPERATORS.items()}
+    return {query.__name__: query for query in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    found = {}
-    for name, module in _OPERATORS.items():
-        sql = getattr(import_module(f"archivolt.llm.{module}"), f"{name.split('_')[0].upper()}_SQL", None)
-        if sql:
-            found[name] = sql
-    return found
+    return {"op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
