@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import BLANKS, ascii_lower, drop_stored, stored, table, texts
+from archivolt.llm.common import BLANKS, ascii_lower, stored, table, texts
+from archivolt.sources.shared import delete, new_folder
 
 _HASH = ("h1", "h2")
 
@@ -25,20 +28,48 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of sorted buckets of one file each tell the planner their order, so merge joins don't sort them again."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
-    """Levels of sorted runs (hash, owner), as tables in the shared folder.
+    """Levels of sorted runs (hash, owner): tables in the shared folder, bucketed by hash and sorted in each bucket, so that
+    joins between them and with a batch merge bucket by bucket without any exchange.
 
     A run is what one batch added. `fan_in` runs of a level are merged into one of the next, so a batch reads at most
-    `fan_in` - 1 runs for each of log(batches) levels. Runs never share a hash, so a merge is a plain union.
+    `fan_in` - 1 runs for each of log(batches) levels. Runs never share a hash.
     """
 
-    def __init__(self, fan_in: int = 2):
-        self.fan_in = fan_in
+    def __init__(self, spark: SparkSession, fan_in: int = 2):
+        self.spark, self.fan_in = spark, fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.tables: dict[int, tuple[str, str]] = {}
+
+    def write(self, rows: DataFrame, name: str) -> DataFrame:
+        """`rows` as a sorted run. Rows that come from an aggregate or join by hash are dealt by bucket already."""
+        path = new_folder(self.spark, name)
+        table_ = path.rsplit("/", 1)[1].replace("-", "_")
+        rows.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).option("compression", "zstd").saveAsTable(table_)
+        out = self.spark.table(table_)
+        self.tables[id(out)] = table_, path
+        return out
+
+    def drop(self, run: DataFrame) -> None:
+        table_, path = self.tables.pop(id(run))
+        self.spark.sql(f"DROP TABLE {table_}")
+        delete(self.spark, path)
 
-    def all(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return reduce(DataFrame.union, runs) if runs else None
+    def all(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def add(self, run: DataFrame, level: int = 0) -> None:
         while len(self.levels) <= level:
@@ -46,45 +77,59 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
             runs, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.union, runs).sortWithinPartitions(*_HASH)
-            self.add(stored(merged, f"line-run-l{level + 1}"), level + 1)
+            merged = self.write(reduce(_merge, (r.select(*_HASH, "owner") for r in runs)), f"line-run-l{level + 1}")
             for old in runs:
-                drop_stored(old)
+                self.drop(old)
+            self.add(merged, level + 1)
+
+
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sorted runs as one: a full merge join, in which no hash finds a partner."""
+    both = a.join(b.withColumnRenamed("owner", "__owner"), list(_HASH), "full")
+    return both.select(*_HASH, F.coalesce("owner", "__owner").alias("owner"))
+
+
+def _cuts(lines: DataFrame, n_batches: int, sample: int = 1000) -> list:
+    """Ids that part `lines` in about equal batches, from the at most `sample` ids of least hash. Where they fall decides how
+    even the batches are, never the result."""
+    ids = lines.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).orderBy("doc_id").collect()
+    return sorted({ids[k * len(ids) // n_batches].doc_id for k in range(1, n_batches)}) if ids else []
 
 
 def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_chars: int = 10) -> DataFrame:
     """(doc_id, row, line_no) of every line that an earlier document (smaller doc_id) already holds; row: the text's hash.
 
     Documents come in `n_batches` batches by ascending doc_id. A batch's hashes, one owner (smallest doc_id) each after
-    partial aggregation, are merge-joined with the runs: those that the runs lack form the batch's own run; the batch's
-    lines whose owner is another document are reported. As batches ascend, an owner never changes once it is in a run.
-    Equal keys are taken as those with equal 128 hash bits.
+    partial aggregation, are written as a sorted run of their own. It is merge-joined with each of the levels' runs: what
+    they hold has its owner there; what none of them holds (merge anti joins) is new and becomes the batch's run. The
+    batch's lines whose owner is another document are reported. As batches ascend, an owner never changes once it is in a
+    run. Equal keys are taken as those with equal 128 hash bits.
     """
+    spark = docs.sparkSession
     lines = stored(line_hashes(docs, min_chars).where("doc_id IS NOT NULL"), "line-hashes")
-    cuts = lines.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if n_batches > 1 else []
-    edges = [None, *sorted(set(cuts)), None]
-    runs, found = LineRuns(fan_in), []
-    for k, (low, high) in enumerate(zip(edges, edges[1:])):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        owners = batch.groupBy(*_HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        known = runs.all()
-        if known is None:
-            new = owners
-            decided = owners.where("owner < last").select(*_HASH, "owner")
-        else:
-            old = known.withColumnRenamed("owner", "first")
-            seen = stored(owners.join(old, list(_HASH), "left"), "line-batch")
-            new = seen.where("first IS NULL").select(*_HASH, "owner", "last")
-            decided = seen.where("first IS NOT NULL OR owner < last").select(
-                *_HASH, F.coalesce("first", "owner").alias("owner")
-            )
-        found.append(batch.join(decided, list(_HASH)).where("doc_id <> owner").select("doc_id", "row", "line_no"))
-        if k < len(edges) - 2:
-            runs.add(stored(new.select(*_HASH, "owner").sortWithinPartitions(*_HASH), "line-run-l0"))
+    edges = [None, *(_cuts(lines, n_batches) if n_batches > 1 else []), None]
+    runs, found = LineRuns(spark, fan_in), []
+    with _in_order(spark):
+        for k, (low, high) in enumerate(zip(edges, edges[1:])):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > F.lit(low))
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= F.lit(high))
+            owners = batch.groupBy(*_HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+            own, known = runs.write(owners, "line-batch"), runs.all()
+            new = reduce(lambda rows, run: rows.join(run, list(_HASH), "left_anti"), known, own)
+            old = [own.select(*_HASH).join(run.select(*_HASH, "owner"), list(_HASH)) for run in known]
+            decided = reduce(DataFrame.union, old, new.where("owner < last").select(*_HASH, "owner"))
+            # a plain table: a join that shares the buckets' partitions could not be split at a hot line
+            decided = stored(decided, "line-owners")
+            found.append(batch.join(decided, list(_HASH)).where("doc_id <> owner").select("doc_id", "row", "line_no"))
+            if k < len(edges) - 2:
+                runs.add(runs.write(new.select(*_HASH, "owner"), "line-run-l0") if known else own)
+            if known or k == len(edges) - 2:
+                runs.drop(own)
+    for run in runs.all():
+        runs.drop(run)
     return reduce(DataFrame.union, found)
 
 
@@ -106,8 +151,9 @@ def drop_repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, mi
     A key (line stripped of blanks, A-Z lowered) of at least `min_chars` code points that two or more documents hold
     loses all its lines but those in the smallest doc_id that holds it. The other lines stay, joined by a newline.
     A null text counts as one empty line and comes back empty. A document with a null doc_id keeps all lines and is no
-    owner. Rows that repeat a doc_id are parts of one document: none loses a line to another. All other columns are
-    passed through. An empty table gives an empty one.
+    owner. Rows that repeat a doc_id are parts of one document: none loses a line to another. Ids are of any type that has
+    an order. All other columns are passed through. An empty table gives an empty one. A long text is split in one piece,
+    in memory of a few times its size.
     """
     drops = (
         repeated_lines(docs, n_batches, fan_in, min_chars)

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from archivolt.llm.line_dedup import OP7_SQL, drop_repeated_lines, op7_line_dedup
+from archivolt.llm.line_dedup import OP7_SQL, LineRuns, _in_order, drop_repeated_lines, op7_line_dedup
 from tests.llm.test_pipeline import brute_lines
 
 
@@ -35,3 +35,30 @@ def test_edges(spark):
     got = {(r.doc_id, r.text[:20]) for r in drop_repeated_lines(docs).collect()}
     assert got == {(None, "a line of text\nx"), (1, "a line of text"), (2, "y"), (2, "z"), (3, "w" * 20)}
     assert drop_repeated_lines(docs.limit(0)).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"d{k:02}", f"line number {k % 7} of text\nmine {k} alone here") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.text for r in drop_repeated_lines(docs, 5).collect()}
+    assert got == brute_lines(dict(rows))
+
+
+def test_runs_stay_sorted_and_merge_without_exchange(spark):
+    runs = LineRuns(spark)
+    rows = [spark.range(k, 2000, 2).selectExpr("id * 7919 % 2003 AS h1", "id AS h2", "id AS owner") for k in (0, 1)]
+    a, b = (runs.write(r.repartition(runs.buckets, "h1", "h2"), "run") for r in rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with _in_order(spark):
+            anti = a.join(b, ["h1", "h2"], "left_anti")
+            plan = anti._jdf.queryExecution().executedPlan().toString()
+            assert anti.count() == 1000 and "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+            runs.add(a)
+            runs.add(b)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (merged,) = runs.all()
+    assert sorted(r.owner for r in merged.collect()) == list(range(2000))
+    runs.drop(merged)
