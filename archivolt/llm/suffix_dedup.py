@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.byte_bpe import blocks
-from archivolt.llm.common import stored, table, texts
+from archivolt.llm.common import drop_stored, stored, table, texts
 
 LENGTH = 400
+#: Bytes of the shorter strings that make a passage, and the words that a stretch of them has at least.
+PASSAGE, PASSAGE_WORDS = 300, 50
 #: Bytes of the grams whose least hash picks the anchors of a window.
-GRAM = 200
+GRAM = 150
 #: Bytes of text whose anchors are found together; about a hundred bytes of memory each.
 BLOCK = 1 << 20
 #: Entries that a sorted run is made of before it is sent.
 RUN = 20_000
+#: Merged entries that are compared together; a gram's entries are never parted.
+CHUNK = 5_000
 #: Distinct contexts of one gram from which its group is split by what stands next to the gram.
 HOT_GROUP = 5_000
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -63,7 +67,7 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, gram hashes) of the anchors: the grams of least hash in some window of `length` bytes of one document.
 
     Whether a place is an anchor for a window depends on the window's bytes alone, so equal windows have their anchors
@@ -104,9 +108,10 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n
 
 
-# A run is sorted by key = gram hash (8 bytes, big-endian) + what follows the gram; each entry carries the reversed bytes
-# before the gram, its context's hash and whether that context stands in two places or more.
-Entry = tuple[bytes, bytes, int, bool]
+# A run is sorted by key: the suffix at an anchor, at most LENGTH bytes of it. Each entry carries the reversed bytes before
+# the anchor, the hashes of its gram and its context (its address for the answer) and whether that context stands in two
+# places or more.
+Entry = tuple[bytes, bytes, int, int, bool]
 
 
 def front_code(entries: list[Entry]) -> bytes:
@@ -119,7 +124,7 @@ def front_code(entries: list[Entry]) -> bytes:
     head = np.array([len(entries)], "<u4")
     columns = (
         np.array(shared, "<u2"), np.array([len(r) for r in rests], "<u2"), np.array([len(e[1]) for e in entries], "<u2"),
-        np.array([e[2] for e in entries], "<i8"), np.array([e[3] for e in entries], "u1"),
+        np.array([e[2] for e in entries], "<i8"), np.array([e[3] for e in entries], "<i8"), np.array([e[4] for e in entries], "u1"),
     )
     return b"".join([head.tobytes(), *(c.tobytes() for c in columns), *rests, *(e[1] for e in entries)])
 
@@ -128,13 +133,13 @@ def decode_run(blob: bytes) -> Iterator[tuple[int, Entry]]:
     """(prefix shared with the entry before, entry) of a run in order."""
     n = int(np.frombuffer(blob, "<u4", 1)[0])
     at, columns = 4, []
-    for kind in ("<u2", "<u2", "<u2", "<i8", "u1"):
+    for kind in ("<u2", "<u2", "<u2", "<i8", "<i8", "u1"):
         columns.append(np.frombuffer(blob, kind, n, at))
         at += columns[-1].nbytes
     left_at, key = at + int(columns[1].sum()), b""
-    for h, size, left, context, many in zip(*(c.tolist() for c in columns)):
+    for h, size, left, gram, context, many in zip(*(c.tolist() for c in columns)):
         key = key[:h] + blob[at : at + size]
-        yield h, (key, blob[left_at : left_at + left], context, bool(many))
+        yield h, (key, blob[left_at : left_at + left], gram, context, bool(many))
         at, left_at = at + size, left_at + left
 
 
@@ -184,53 +189,67 @@ def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, E
             node //= 2
 
 
-def repeats_around(merged: Iterator[tuple[int, Entry]], around: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, context hash, least, most) of each single context that shares a window with another context of its
-    gram; least and most: bytes before the gram in such windows, of which `around` bytes lie outside the gram.
+def in_groups(merged: Iterator[tuple[int, Entry]], gram: int, chunk: int | None = None) -> Iterator[list[tuple[int, Entry]]]:
+    """The merged entries in lists of about `chunk`, cut only where the next entry has another gram. The shared prefixes tell
+    that without a look at the keys."""
+    part: list[tuple[int, Entry]] = []
+    for h, entry in merged:
+        if h < gram and len(part) >= (chunk or CHUNK):
+            yield part
+            part = []
+        part.append((h, entry))
+    if part:
+        yield part
 
-    The shared prefixes cut the merged order into classes of equal bytes after the gram, for any number of bytes; a sort
-    by the bytes before it gives the same for those. For each split of `around` bytes, contexts in one class on both
-    sides share that window.
+
+def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) of each merged entry: the bytes before the gram in the windows of `length` bytes around it that stand
+    elsewhere too; -2 where there is none, -1 where all do.
+
+    The shared prefixes cut the merged order into classes of equal bytes from the anchor on, for any number of bytes; a sort
+    by the bytes before it gives the same for those. For each split of a window, contexts in one class on both sides share it.
     """
-    prefix, grams, contexts, many, after, left = [], [], [], [], [], []
-    for h, (key, before, context, n) in merged:
-        prefix.append(h - 8)
-        grams.append(key[:8])
-        contexts.append(context)
-        many.append(n)
-        after.append(len(key) - 8)
-        left.append(before)
-    m = len(prefix)
-    gram = np.frombuffer(b"".join(grams), ">i8").astype(np.int64)
-    after_, prefix_, many_ = np.array(after), np.array(prefix), np.array(many, bool)
-    before_ = np.array([len(x) for x in left], np.int64)
-    wide = np.array([g + x for g, x in zip(grams, left)], f"S{around + 8}")
-    order = np.argsort(before_, kind="stable")
+    m, around = len(part), length - gram
+    least, most = np.full(m, -2), np.full(m, -2)
+    prefix = np.array([h for h, _ in part]) - gram
+    prefix[0] = -1
+    after = np.array([len(e[0]) for _, e in part]) - gram
+    left = [e[1][:around] for _, e in part]
+    before = np.array([len(x) for x in left])
+    many = np.array([e[4] for _, e in part], bool)
+    most[many & (np.minimum(before, around) + np.minimum(after, around) >= around)] = -1
+    group = np.cumsum(prefix < 0)
+    size, single = np.bincount(group), np.bincount(group, ~many)
+    open_ = np.flatnonzero((size[group] > 1) & (single[group] > 0))  # others have nobody to share with, or no need to
+    if not len(open_):
+        return least, most
+    # within open groups the prefix to the entry before is untouched, as whole groups stay or go
+    prefix, after, before, many, group = prefix[open_], after[open_], before[open_], many[open_], group[open_]
+    wide = np.array([int(g).to_bytes(8, "big") + left[i] for g, i in zip(group, open_)], f"S{around + 8}")
+    order = np.argsort(before, kind="stable")
     order = order[np.argsort(wide[order], kind="stable")]
-    rows = np.ascontiguousarray(wide[order]).view(np.uint8).reshape(m, around + 8)
-    same = np.zeros(m, np.int64)
-    if m > 1:
-        differs = rows[1:] != rows[:-1]
-        first = np.where(differs.any(1), differs.argmax(1), around + 8) - 8
-        same[1:] = np.minimum(first, np.minimum(before_[order][1:], before_[order][:-1]))
-    same[0] = -1
-    prefix_[0] = -1
-    least, most = np.full(m, -1), np.full(m, -1)
-    by_left = np.empty(m, np.int64)
+    k = len(open_)
+    rows = np.ascontiguousarray(wide[order]).view(np.uint8).reshape(k, around + 8)
+    differs = rows[1:] != rows[:-1]
+    first = np.where(differs.any(1), differs.argmax(1), around + 8) - 8
+    same = np.append(-1, np.minimum(first, np.minimum(before[order][1:], before[order][:-1])))
+    low, high = np.full(k, -2), np.full(k, -2)
+    by_left = np.empty(k, np.int64)
     for t in range(around + 1):
         by_left[order] = np.cumsum(same < t)
-        key = np.cumsum(prefix_ < around - t) * (m + 1) + by_left
-        fits = np.flatnonzero((before_ >= t) & (after_ >= around - t))
+        key = np.cumsum(prefix < around - t) * (k + 1) + by_left
+        fits = np.flatnonzero((before >= t) & (after >= around - t))
         at = fits[np.argsort(key[fits], kind="stable")]
         twin = key[at][1:] == key[at][:-1]
         hit = np.union1d(at[1:][twin], at[:-1][twin])
-        most[hit] = t
-        least[hit] = np.where(least[hit] < 0, t, least[hit])
-    found = np.flatnonzero((most >= 0) & ~many_)
-    return gram[found], np.array(contexts, np.int64)[found], least[found], most[found]
+        high[hit] = t
+        low[hit] = np.where(low[hit] < 0, t, low[hit])
+    some = ~many & (high >= 0)
+    least[open_[some]], most[open_[some]] = low[some], high[some]
+    return least, most
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int) -> Iterator[pa.RecordBatch]:
     around = length - gram
     for batch in batches:
         for part in blocks(batch, size=BLOCK):
@@ -238,7 +257,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
             raw = memoryview(body.buffers()[2] or b"")[edges[0] : edges[-1]]
             ends = edges[1:] - edges[0]
-            places, grams = anchors(np.frombuffer(raw, np.uint8), ends, length, gram)
+            places, grams = anchors(np.frombuffer(raw, np.uint8), ends, passage, gram)
             doc = np.searchsorted(ends, places, "right")
             begin = (np.append(0, ends[:-1]))[doc]
             low, high = np.maximum(begin, places - around), np.minimum(ends[doc], places + length)
@@ -256,8 +275,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    around = length - gram
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    around, least = length - gram, passage - gram
     waiting: list[tuple[int, Entry]] = []
 
     def send() -> Iterator[pa.RecordBatch]:
@@ -272,15 +291,13 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: in
         for body, marks in zip(batch.column("body"), batch.column("marks")):
             text = body.as_py()
             for mark in marks.as_py():
-                a, g, context = mark["place"], mark["gram"], mark["context"]
-                after = text[a + gram : a + length]
+                a, g = mark["place"], mark["gram"]
+                key = text[a : a + length]
                 before = text[max(0, a - around) : a][::-1]
-                entry = (g.to_bytes(8, "big", signed=True) + after, before, context, mark["n"] > 1)
-                if mark["hot"]:
-                    half = around // 2
-                    sides = after[:half], b"<" + before[: around - half]
-                    for bucket in {xxhash.xxh3_64_intdigest(x, g % 2**64) % buckets for x in sides}:  # never twice in one
-                        waiting.append((bucket, entry))
+                entry = (key, before, g, mark["context"], mark["n"] > 1)
+                if mark["hot"]:  # a window has half of what surrounds the gram on one of its sides
+                    sides = key[: gram + least // 2], b"<" + before[: least - least // 2]
+                    waiting.extend((b, entry) for b in {xxhash.xxh3_64_intdigest(x, g % 2**64) % buckets for x in sides})
                 else:
                     waiting.append((g % buckets, entry))
             if len(waiting) >= RUN:
@@ -289,100 +306,118 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: in
         yield from send()
 
 
-def _merged(pdf: pd.DataFrame, around: int) -> pd.DataFrame:
-    found = repeats_around(merge_runs([decode_run(r) for r in pdf.run]), around)
-    return pd.DataFrame(dict(zip(("gram", "context", "least", "most"), found)))
+_FOUND = "gram bigint, context bigint, least int, most int, passage_least int, passage_most int"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    around = length - gram
+def _merged(pdf: pd.DataFrame, length: int, gram: int, passage: int) -> pd.DataFrame:
+    """The answer for each context of a bucket: the windows of `length` and of `passage` bytes that it shares."""
+    columns: list[list[np.ndarray]] = []
+    for part in in_groups(merge_runs([decode_run(r) for r in pdf.run]), gram):
+        whole = *shared_windows(part, gram, length), *shared_windows(part, gram, passage)
+        some = np.flatnonzero((whole[1] > -2) | (whole[3] > -2))
+        address = (np.array([e[k] for _, e in part], np.int64)[some] for k in (2, 3))
+        columns.append([*address, *(w[some] for w in whole)])
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*columns))} if columns else {n: [] for n in names})
+
+
+def _covered(size: int, place: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, gram: int) -> list[int]:
+    """The edges (start, end, start, ...) of the stretches that windows of `length` bytes around the anchors cover."""
+    some = most > -2
+    place, least, most = place[some], least[some], most[some]
+    low = np.where(most < 0, np.maximum(place - (length - gram), 0), place - most)
+    high = np.where(most < 0, np.minimum(place + length, size), place - least + length)
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, low, 1)
+    np.add.at(change, high, -1)
+    return np.flatnonzero(np.diff(np.cumsum(change)[:-1] > 0, prepend=False, append=False)).tolist()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for body, marks in zip(batch.column("body"), batch.column("spans")):
-            text, ends = body.as_py(), []
+            text, ends, n_words = body.as_py(), [], 0
             if marks.is_valid and len(marks):
-                place, least, most = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "least", "most"))
-                full = most < 0  # the whole context stands elsewhere too
-                low = np.where(full, np.maximum(place - around, 0), place - most)
-                high = np.where(full, np.minimum(place + length, len(text)), place - least + length)
-                change = np.zeros(len(text) + 1, np.int64)
-                np.add.at(change, low, 1)
-                np.add.at(change, high, -1)
-                gone = np.cumsum(change)[:-1] > 0
-                ends = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+                place, *ranges = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in _SPAN)
+                ends = _covered(len(text), place, *ranges[:2], length, gram)
+                near = _covered(len(text), place, *ranges[2:], passage, gram)
+                counts = [len(text[a:b].split()) for a, b in zip(near[::2], near[1::2])]
+                n_words = sum(n for n in counts if n >= words)
             keep = b"".join(text[a:b] for a, b in zip([0, *ends[1::2]], [*ends[::2], len(text)]))
-            out.append((len(text), len(text) - len(keep), len(ends) // 2, keep))
-        n, removed, spans, kept = zip(*out) if out else ((), (), (), ())
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((len(text), len(text) - len(keep), len(ends) // 2, n_words, keep))
+        *numbers, kept = zip(*out) if out else ((),) * 5
+        columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept"])
+
 
+_SPAN = ("place", "least", "most", "passage_least", "passage_most")
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept: the UTF-8 bytes that are left.
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_passage_words, kept) of every document; kept: the UTF-8 bytes that are left.
 
     A byte goes if some `length`-byte string of the input that covers it also starts anywhere else, in the same
-    document or another; matches never cross documents.
+    document or another; matches never cross documents. n_passage_words tells of shorter repeats, which stay: the words in
+    stretches of at least `words` words that `passage`-byte strings cover which also start elsewhere
+    (gram < passage <= length; a passage of 50 words often has fewer than 400 bytes).
 
     1. Anchors: a window's least gram hash picks the same place in equal windows, so the suffixes at anchors are enough.
        Their rows hold no text, only the hashes of the gram and of the context (all that windows around it can reach).
-    2. Grams that stand in one place are dropped. Where all contexts of a gram are one, they repeat in full. Of each
-       other context one representative remains, so copies don't multiply.
-    3. Representatives fetch their text by document. Each task sorts its suffixes (gram, then what follows) into
-       front-coded runs, which are exchanged by gram; a gram with over HOT_GROUP contexts is split by the bytes on
-       either side that any of its windows must share at least on one side.
-    4. A loser tree merges the runs without comparing a known prefix again; the shared prefixes, with a sort of the
-       bytes before the gram, give the windows of each context that another one has.
-    5. Spans go back to their documents by hash joins that adaptive execution can split.
-
-    Equal contexts are those with 128 equal hash bits. A null text is empty. Rows that repeat an id and text count as
-    places of their own (so a long repeated row goes whole); null ids pass through. An empty table gives an empty one.
+    2. Grams that stand in one place are dropped. Of each context of the others one representative remains, with the
+       number of its places, so copies don't multiply before they are sent.
+    3. Representatives fetch their text by document. Each task sorts its suffixes by their bytes into front-coded runs,
+       which are exchanged by gram; a gram with over HOT_GROUP contexts is split by the bytes on either side that any of
+       its windows must share at least on one side.
+    4. A loser tree merges the runs without comparing a known prefix again, and gives the entries a gram at a time; the
+       shared prefixes, with a sort of the bytes before the anchor, give the windows of each context that stand elsewhere.
+       All that is removed comes from these answers.
+    5. The answers go back to all places of their contexts by hash joins that adaptive execution can split.
+
+    A context's representative stands for those with 128 equal hash bits; different contexts are compared by bytes. A null
+    text is empty. Rows that repeat an id and text count as places of their own (so a long repeated row goes whole); null
+    ids pass through. An empty table gives an empty one. A long text is read in one piece: about a hundred bytes of a
+    Python worker's memory for each of its bytes.
     """
-    around = length - gram
     rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     rows = rows.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("row"), F.octet_length("body").alias("n_bytes"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = stored(
-        rows.where(F.col("n_bytes") >= length).select("body", "row", "n_bytes").mapInArrow(
-            lambda b: _anchor_rows(b, length, gram), "row bigint, n_bytes int, place int, gram bigint, context bigint"
+        rows.where(F.col("n_bytes") >= passage).select("body", "row", "n_bytes").mapInArrow(
+            lambda b: _anchor_rows(b, length, gram, passage), "row bigint, n_bytes int, place int, gram bigint, context bigint"
         ),
         "anchors",
     )
-    grams = found.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
-    ).where("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alone"))
+    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     # as a table of its own: a join on the aggregate itself would share its partitions, which can't be split at a hot gram
-    again = stored(found.join(stored(grams, "grams"), "gram"), "repeated-anchors")
-    kinds = (
-        again.where("NOT alone").groupBy("gram", "context")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "n_bytes", "place")).alias("at"))
-    )
+    grams = stored(grams, "grams")
+    again = stored(found.join(grams, "gram"), "repeated-anchors")
+    drop_stored(found)
+    drop_stored(grams)
+    kinds = again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "n_bytes", "place")).alias("at"))
     kinds = stored(kinds, "contexts")
-    sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n_contexts"), F.min("n").alias("n_least"))
-    # contexts that all stand in several places repeat in full and have nothing to find
-    open_ = sizes.where("n_least = 1").select("gram", (F.col("n_contexts") > HOT_GROUP).alias("hot"))
-    marks = (
-        kinds.join(open_, "gram")
-        .groupBy("at.row", "at.n_bytes")
-        .agg(F.collect_list(F.struct("at.place", "gram", "context", "n", "hot")).alias("marks"))
-    )
+    sizes = kinds.groupBy("gram").agg((F.count(F.lit(1)) > HOT_GROUP).alias("hot"))
+    mark = F.struct("at.place", "gram", "context", "n", "hot")
+    marks = kinds.join(sizes, "gram").groupBy("at.row", "at.n_bytes").agg(F.collect_list(mark).alias("marks"))
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = rows.join(marks, ["row", "n_bytes"]).mapInArrow(
-        lambda b: _runs(b, length, gram, buckets), "bucket int, run binary"
-    )
-    windows = runs.groupBy("bucket").applyInPandas(
-        lambda pdf: _merged(pdf, around), "gram bigint, context bigint, least int, most int"
+        lambda b: _runs(b, length, gram, passage, buckets), "bucket int, run binary"
     )
-    windows = windows.groupBy("gram", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    whole = kinds.where("n > 1").select("gram", "context", F.lit(-1).alias("least"), F.lit(-1).alias("most"))
-    spans = again.where("alone").select("row", "n_bytes", "place", F.lit(-1).alias("least"), F.lit(-1).alias("most"))
-    some = again.where("NOT alone").join(windows.unionByName(whole), ["gram", "context"])
-    spans = spans.unionByName(some.select("row", "n_bytes", "place", "least", "most"))
-    by_doc = spans.groupBy("row", "n_bytes").agg(F.collect_list(F.struct("place", "least", "most")).alias("spans"))
+    windows = runs.groupBy("bucket").applyInPandas(lambda pdf: _merged(pdf, length, gram, passage), _FOUND)
+    least = (F.min(F.when(F.col(c) > -2, F.col(c))).alias(c) for c in ("least", "passage_least"))
+    windows = windows.groupBy("gram", "context").agg(*least, *(F.max(c).alias(c) for c in ("most", "passage_most")))
+    spans = again.join(windows.fillna(-2), ["gram", "context"])
+    by_doc = spans.groupBy("row", "n_bytes").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
     return rows.join(by_doc, ["row", "n_bytes"], "left").select("doc_id", "body", "spans").mapInArrow(
-        lambda b: _cut(b, length, gram), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        lambda b: _cut(b, length, gram, passage, words),
+        f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, n_passage_words bigint, kept binary",
     )
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_passage_words: the words in repeated passages of 50 words and 300 bytes or more."""
     out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

@@ -3,25 +3,33 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from archivolt.llm import suffix_dedup
 from archivolt.llm.suffix_dedup import anchors, decode_run, front_code, merge_runs, op2_suffix_array_dedup, remove_repeats
 
 
-def brute(texts, length):
-    """[(n_bytes, n_removed, n_spans, kept)] by counting every window."""
+def brute(texts, length, passage, words):
+    """[(n_bytes, n_removed, n_spans, n_passage_words, kept)] by counting every window."""
     bodies = [(t or "").encode() for t in texts]
-    count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+
+    def covered(size):
+        count = Counter(b[i : i + size] for b in bodies for i in range(len(b) - size + 1))
+        for b in bodies:
+            gone = np.zeros(len(b) + 1, bool)
+            for i in range(len(b) - size + 1):
+                if count[b[i : i + size]] > 1:
+                    gone[i : i + size] = True
+            yield gone[: len(b)]
+
     out = []
-    for b in bodies:
-        gone = np.zeros(len(b) + 1, bool)
-        for i in range(len(b) - length + 1):
-            if count[b[i : i + length]] > 1:
-                gone[i : i + length] = True
+    for b, gone, near in zip(bodies, covered(length), covered(passage)):
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = int((np.diff(gone[: len(b)].astype(int), prepend=0) == 1).sum())
-        out.append((len(b), len(b) - len(kept), spans, kept))
+        edges = np.flatnonzero(np.diff(near, prepend=False, append=False)).tolist()
+        n_words = [len(b[x:y].split()) for x, y in zip(edges[::2], edges[1::2])]
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        out.append((len(b), len(b) - len(kept), spans, sum(n for n in n_words if n >= words), kept))
     return out
 
 
@@ -44,18 +52,35 @@ def made(seed):
 @pytest.mark.parametrize(("seed", "hot"), [(1, 5000), (2, 1)])
 def test_matches_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_GROUP", hot)
-    monkeypatch.setattr(suffix_dedup, "RUN", 7)
     texts = made(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, 20, 10).collect()}
-    assert got == dict(enumerate(brute(texts, 20)))
+    got = {r.doc_id: (*r[1:5], bytes(r.kept)) for r in remove_repeats(docs, 20, 6, 12, 2).collect()}
+    assert got == dict(enumerate(brute(texts, 20, 12, 2)))
 
 
 def test_query_matches_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    want = brute([r.text for r in rows], 400)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_suffix_array_dedup(spark, sf_dir).collect()}
-    assert got == {r.doc_id: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, want)}
+    want = brute([r.text for r in rows], 400, 300, 50)
+    got = {r.doc_id: (*r[1:4], r.n_passage_words, r.kept_sha256) for r in op2_suffix_array_dedup(spark, sf_dir).collect()}
+    assert got == {r.doc_id: (*w[:4], hashlib.sha256(w[4]).hexdigest()) for r, w in zip(rows, want)}
+
+
+def test_everything_removed_comes_from_the_merged_runs(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "passage " * 20) for k in range(3)], "doc_id bigint, text string")
+    assert {r.n_removed for r in remove_repeats(docs, 20, 6, 12, 2).collect()} == {160}
+    monkeypatch.setattr(suffix_dedup, "_merged", lambda pdf, *sizes: pd.DataFrame({c.split()[0]: [] for c in suffix_dedup._FOUND.split(", ")}))
+    assert {r.n_removed for r in remove_repeats(docs, 20, 6, 12, 2).collect()} == {0}
+
+
+def test_a_passage_of_fifty_words_under_the_length_is_reported_and_stays(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    passage = text(60)
+    rows = [(1, f"{text(40)} {passage} {text(30)}"), (2, f"{text(10)} {passage}"), (3, text(90))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert 300 < len(passage) < 400
+    got = {r.doc_id: (r.n_removed, r.n_passage_words >= 60) for r in remove_repeats(docs).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, False)}
 
 
 def test_anchors_fall_alike_in_equal_windows():
@@ -73,18 +98,32 @@ def test_anchors_fall_alike_in_equal_windows():
 
 def test_loser_tree_merges_front_coded_runs():
     rng = random.Random(4)
-    entries = [(bytes(8) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))), b"x" * rng.randint(0, 3), i, i % 2 == 0) for i in range(300)]
+    entries = [(bytes(8) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))), b"x" * rng.randint(0, 3), -i, i, i % 2 == 0) for i in range(300)]
     for k in (1, 3, 8):
         runs = [sorted(entries[i::k]) for i in range(k)]
         coded = [front_code(r) for r in runs]
         assert [[e for _, e in decode_run(c)] for c in coded] == runs
         merged = list(merge_runs([decode_run(c) for c in coded]))
         keys = [e[0] for _, e in merged]
-        assert keys == sorted(e[0] for e in entries) and {e[2] for _, e in merged} == set(range(300))
+        assert keys == sorted(e[0] for e in entries) and {e[3] for _, e in merged} == set(range(300))
         for (_, a), (h, b) in zip(merged, merged[1:]):
             assert h == suffix_dedup.common_prefix(a[0], b[0])
 
 
+def test_chunks_never_part_a_gram():
+    rng = random.Random(6)
+    keys = sorted(bytes(rng.choices(b"ab", k=12)) for _ in range(200))
+    entries = [(k, bytes(rng.choices(b"ab", k=rng.randint(0, 8))), 0, i, False) for i, k in enumerate(keys)]
+    merged = list(merge_runs([decode_run(front_code(entries[i::5])) for i in range(5)]))
+    whole = list(suffix_dedup.in_groups(iter(merged), 4, 10**6))
+    parts = list(suffix_dedup.in_groups(iter(merged), 4, 3))
+    assert len(whole) == 1 and len(parts) > 5 and [e for p in parts for e in p] == merged
+    want = suffix_dedup.shared_windows(whole[0], 4, 12)
+    got = [suffix_dedup.shared_windows(p, 4, 12) for p in parts]
+    assert all((np.concatenate(g) == w).all() for g, w in zip(zip(*got), want))
+    assert (want[1] >= 0).any() and (want[1] == -2).any()
+
+
 def test_edges(spark):
     long = "".join(random.Random(9).choices("abcdef ", k=1000))
     rows = [(1, None, 0), (2, "", 0), (3, long, 0), (3, long, 1), (None, "x" + long[:300], 2)]
