@@ -97,18 +97,23 @@ def correction_pages(df: DataFrame) -> DataFrame:
 
 
 def attach_republished(df: DataFrame, key: str, order: list[Column], url: str = "url", day: str = "day", flag: str = "republished") -> DataFrame:
-    """Republications of one key go to its best original by `order`; without an original, to the oldest of them. They
-    leave the table and stand in the `later` array of the row that stays; other originals stay as they are."""
-    w = W.partitionBy(key)
-    best = w.orderBy(F.col(flag), *order)
-    rows = df.withColumns({"__none": F.min(flag).over(best), "__r": F.row_number().over(best), "__d": F.row_number().over(w.orderBy(day, url))})
-    rows = rows.withColumn("__first", F.when(~F.col("__none"), F.col("__r") == 1).otherwise(F.col("__d") == 1))
-    gone = F.col(flag) & ~F.col("__first")
-    folded = F.sort_array(F.collect_list(F.struct(F.col(day).alias("day"), F.col(url).alias("url"))))
-    later = rows.where(gone).groupBy(F.col(key).alias("__key")).agg(folded.alias("__later"))
+    """Republications of one key go to its best original by `order` (values that ascend); without an original, to the oldest of them. They
+    leave the table and stand in the `later` array of the row that stays; other originals stay as they are. A key's rows
+    are aggregated, not ordered: the best original, the oldest republication, and a list of the republications, which is
+    the result's own."""
+    stay, at = F.struct(F.col(day).alias("day"), F.col(url).alias("url")), "__k"
+    ranked = F.struct(F.col(flag), *order, stay)
+    again = F.when(F.col(flag), stay)
+    groups = df.groupBy(F.col(key).alias(at)).agg(
+        F.min(flag).alias("__none"), F.min_by(stay, ranked).alias("__best"), F.min(stay).alias("__oldest"),
+        F.sort_array(F.collect_list(again)).alias("__again"),
+    )
+    heads = groups.select(at, F.when(F.col("__none"), F.col("__oldest")).otherwise(F.col("__best")).alias("__head"), "__again")
+    rows = df.join(heads, F.col(key).eqNullSafe(F.col(at)))
+    first = (F.col(day) == F.col("__head.day")) & (F.col(url) == F.col("__head.url"))
     nothing = F.array().cast(f"array<struct<day:{dict(df.dtypes)[day]},url:string>>")
-    kept = rows.where(~gone).join(later, F.col("__first") & F.col(key).eqNullSafe(F.col("__key")), "left")
-    return kept.withColumn("later", F.coalesce("__later", nothing)).drop("__none", "__r", "__d", "__first", "__key", "__later")
+    later = F.when(first, F.filter("__again", lambda r: r != F.col("__head"))).otherwise(nothing)
+    return rows.where(~F.col(flag) | first).withColumn("later", later).drop(at, "__head", "__again")
 
 
 def serving(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -54,101 +54,163 @@ def closure(pairs: DataFrame, key: str, value: str, hops: int = 3) -> DataFrame:
 
 def duplicates(df: DataFrame, keys: list[str], size: str, url: str, tie: str, ratio: float = 0.9) -> DataFrame:
     """`df` with is_duplicate: rows of a group (non-empty keys, all sizes at least `ratio` of the largest, which is over 0)
-    other than the one with the shortest url."""
-    w = W.partitionBy(*keys)
+    other than the one with the shortest url. Groups are aggregated before the shuffle and joined back, so a hot key is one
+    row there, and adaptive execution may split its rows."""
     named = reduce(Column.__and__, (F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys))
-    low, high = F.min(size).over(w), F.max(size).over(w)
-    first = F.row_number().over(w.orderBy(F.char_length(url), F.col(tie)))
-    group = named & (F.count(F.lit(1)).over(w) > 1) & (high > 0) & (low >= ratio * high)
-    return df.withColumn("is_duplicate", group & (first > 1))
+    first = F.min(F.struct(F.char_length(url), F.col(tie).alias("tie")))["tie"].alias("__first")
+    groups = df.where(named).groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(
+        F.min(size).alias("__low"), F.max(size).alias("__high"), F.count(F.lit(1)).alias("__n"), first
+    )
+    groups = groups.where((F.col("__n") > 1) & (F.col("__high") > 0) & (F.col("__low") >= ratio * F.col("__high")))
+    same = reduce(Column.__and__, (F.col(k) == F.col(f"__{k}") for k in keys))
+    joined = df.join(groups.drop("__low", "__high", "__n"), same, "left")
+    flag = F.coalesce(F.col("__first").isNotNull() & (F.col(tie) != F.col("__first")), F.lit(False))
+    return joined.withColumn("is_duplicate", flag).drop("__first", *(f"__{k}" for k in keys))
 
 
-def chains(df: DataFrame, key: str, time: Column, gap: Column, tie: str) -> DataFrame:
+def chains(df: DataFrame, key: str, time: Column, gap: Column, tie: str, width: str = "30 days") -> DataFrame:
     """`df` with `chain`, the number of its run of rows of one key whose times follow within the gap (a gap as long is
-    within). gap: a condition on `__before` and `__now`, true where a new chain begins."""
-    w = W.partitionBy(key).orderBy("__now", tie)
-    marked = df.withColumn("__now", time).withColumn("__before", F.lag("__now").over(w))
-    new = F.when(F.col("__before").isNull() | gap, 1).otherwise(0)
-    return marked.withColumn("chain", F.sum(new).over(w)).drop("__now", "__before")
+    within). gap: a condition on `__before` and `__now`, true where a new chain begins.
+
+    A key's rows are dealt out by pieces of time of `width`, so that no task sorts a whole key: chains are numbered within a
+    piece, and a row for each piece tells the next ones how many chains came before and when the last row was.
+    """
+    piece = ["__key", "__piece"]
+    rows = df.withColumns({"__now": time, "__key": F.col(key)}).withColumn("__piece", F.window("__now", width)["start"])
+    rows = rows.withColumn("__before", F.lag("__now").over(W.partitionBy(*piece).orderBy("__now", tie)))
+    rows = rows.withColumn("__new", F.when(F.col("__before").isNotNull() & gap, 1).otherwise(0))
+    ends = rows.groupBy(*piece).agg(F.min("__now").alias("__now"), F.max("__now").alias("__last"), F.sum("__new").alias("__inner"))
+    by_key = W.partitionBy("__key").orderBy("__piece")
+    ends = ends.withColumn("__before", F.lag("__last").over(by_key))
+    ends = ends.withColumn("__own", F.when(F.col("__before").isNull() | gap, 1).otherwise(0))
+    earlier = F.sum(F.col("__own") + F.col("__inner")).over(by_key) - F.col("__inner")
+    ends = ends.select(*(F.col(c).alias(f"{c}_") for c in piece), earlier.alias("__earlier"))
+    joined = rows.join(ends, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in piece)))
+    inner = F.sum("__new").over(W.partitionBy(*piece).orderBy("__now", tie).rowsBetween(W.unboundedPreceding, 0))
+    return joined.withColumn("chain", F.col("__earlier") + inner).select(*df.columns, "chain")
 
 
 def roll_up(df: DataFrame, keys: list[str], order: list[str], keep: list[str], fold: str) -> DataFrame:
-    """One row for each key: the first by `order`, with the later rows' `fold` column in an array in that order."""
-    sort = F.sort_array(F.collect_list(F.struct(*order, *(c for c in {*keep, fold} if c not in order))))
-    out = df.groupBy(*keys).agg(sort.alias("__a"))
-    return out.select(
-        *keys,
-        *(F.col("__a")[0][c].alias(c) for c in keep),
-        F.transform(F.slice("__a", 2, F.greatest(F.size("__a") - 1, F.lit(0))), lambda r: r[fold]).alias("later"),
-    )
+    """One row for each key: the first by `order`, with the later rows' `fold` column in an array in that order. The first
+    row is found by an aggregate; only the order and `fold` of the later rows are gathered, as the result holds them."""
+    first = F.min_by(F.struct(*keep), F.struct(*order))
+    later = F.sort_array(F.collect_list(F.struct(*order, F.col(fold).alias("__fold"))))
+    out = df.groupBy(*keys).agg(first.alias("__first"), later.alias("__later"))
+    folded = F.transform(F.slice("__later", F.lit(2), F.size("__later")), lambda r: r["__fold"])
+    return out.select(*keys, *(F.col(f"__first.{c}").alias(c) for c in keep), folded.alias("later"))
 
 
-def _compatible(a: str, b: str, count_a: int, count_b: int, limit: int) -> bool:
-    """Whether two full names with equal first and last names can be one person."""
-    if a.lower() == b.lower():
-        return True
-    x, y = (" ".join(n.split()[1:-1]).lower() for n in (a, b))
-    if x and y:
-        short, long = sorted((x, y), key=len)
-        return x == y or (len(short) <= 2 and long.startswith(short.rstrip(".")))
-    return (count_b if not y else count_a) <= limit
+def _stands_for(head: Column, one: Column, limit: int) -> Column:
+    """Whether the name `one` can be the person of `head`. Their first and last words are alike already, so the middles
+    decide: equal, one the initial of the other, or one missing in a name of few records."""
+    x, y = head["middle"], one["middle"]
+    initial = lambda a, b: (F.char_length(a) <= 2) & b.startswith(F.rtrim(a, F.lit(".")))
+    both = (x != "") & (y != "")
+    rare = F.when(x == "", head["n"]).otherwise(one["n"]) <= limit
+    return (x == y) | F.when(both, initial(x, y) | initial(y, x)).otherwise(rare)
 
 
 def name_variants(counts: DataFrame, name: str = "name", n: str = "n", limit: int = 10) -> DataFrame:
-    """(name, canonical): each variant of a person's name with the most frequent compatible one.
+    """(name, canonical): each variant of a person's name with the one that it goes under.
 
-    Names are grouped by first and last word; within a group, by falling count (ties by name), each merges into what the
-    first compatible earlier name stands for. A name without a middle part merges only if it has at most `limit` records.
-    The greedy order is sequential, so a group runs in one call; it holds distinct names, not records. Groups of one name
-    never reach Python.
+    Names meet by their first and last words in lower case. They are folded by falling count (ties by name): each goes under
+    the first name so far that stands for itself and can be the same person, or else stands for itself. A name without a
+    middle part goes only if it has at most `limit` records. The fold is an aggregate over the variants of one first and
+    last name, which are distinct names, not records.
     """
     words = F.split(F.trim(name), r"\s+")
-    keyed = counts.where(F.size(words) >= 2).select(
-        F.col(name).alias("name"), F.col(n).alias("n"),
-        F.lower(words[0]).alias("first"), F.lower(F.element_at(words, -1)).alias("last"),
-    )
-    several = keyed.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("first", "last"))).where("c > 1").drop("c")
+    middle = F.lower(F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " "))
+    variant = F.struct((-F.col(n)).alias("order"), F.col(name).alias("name"), F.col(n).cast("long").alias("n"), middle.alias("middle"))
+    meet = [F.lower(words[0]).alias("first"), F.lower(F.element_at(words, -1)).alias("last")]
+    groups = counts.where(F.size(words) >= 2).groupBy(*meet).agg(F.sort_array(F.collect_list(variant)).alias("v"))
+    none = F.array().cast("array<struct<name:string,n:bigint,middle:string,under:string>>")
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(group.name, group.n), key=lambda r: (-r[1], r[0]))
-        count, stands = dict(rows), {}
-        for i, (one, many) in enumerate(rows):
-            stands[one] = one
-            for other, _ in rows[:i]:
-                target = stands[other]
-                if _compatible(one, target, many, count[target], limit):
-                    stands[one] = target
-                    break
-        return pd.DataFrame({"name": list(stands), "canonical": list(stands.values())})
+    def fold(done: Column, one: Column) -> Column:
+        fits = F.filter(done, lambda d: (d["name"] == d["under"]) & _stands_for(d, one, limit))
+        under = F.coalesce(F.get(fits, F.lit(0))["name"], one["name"])
+        return F.concat(done, F.array(F.struct(one["name"].alias("name"), one["n"].alias("n"), one["middle"].alias("middle"), under.alias("under"))))
 
-    merged = several.groupBy("first", "last").applyInPandas(merge, "name string, canonical string")
-    return counts.select(F.col(name).alias("name")).join(merged, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
+    found = groups.where(F.size("v") > 1).select(F.explode(F.aggregate("v", none, fold)).alias("d")).where("d.name <> d.under")
+    moved = found.select(F.col("d.name").alias("__name"), F.col("d.under").alias("canonical"))
+    out = counts.select(F.col(name).alias("name")).join(moved, F.col("name") == F.col("__name"), "left")
+    return out.select("name", F.coalesce("canonical", "name").alias("canonical"))
 
 
-#: Generations that tell two people apart.
-GENERATIONS = ("Jr", "Sr", "II", "III", "IV", "Jr.", "Sr.")
+#: What ends a given name and tells two generations apart.
+GENERATIONS = ("Jr", "Sr", "II", "III", "IV", "V", "2nd", "3rd")
 
 
 def person_prefixes(totals: DataFrame, most: int = 50, times: int = 15) -> DataFrame:
     """(name, into): entities "Last, First" absorbed by a longer "Last, First Middle". totals: (name, n, seq), where seq
-    orders the entities. Absorbed totals count for later comparisons, and an absorbed entity can still absorb."""
-    keyed = totals.where(F.col("name").contains(",")).withColumn("last", F.trim(F.substring_index("name", ",", 1)))
-    several = keyed.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("last"))).where("c > 1").drop("c")
-
-    def absorb(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["seq", "name"])
-        names, total = group.name.tolist(), dict(zip(group.name, group.n.astype(int)))
-        given = {x: x.split(",", 1)[1].strip() for x in names}
+    orders the entities. Absorbed totals count for later comparisons, and an absorbed entity can still absorb.
+
+    Who can absorb whom is a join on last name and first given word, which the shorter given name shares with the longer.
+    Its links are then followed in the order of the entities, within one such pair of words at a time.
+    """
+    given = F.trim(F.substr("name", F.instr("name", ",") + 1))
+    keyed = totals.where(F.col("name").contains(",")).select(
+        "name", F.col("n").cast("long").alias("n"), "seq", given.alias("given"),
+        F.trim(F.substring_index("name", ",", 1)).alias("last"), F.substring_index(given, " ", 1).alias("word"),
+    )
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("name", "n", "seq", "given")]
+    short, long = keyed.select("last", "word", *side("short")), keyed.select("last", "word", *side("long"))
+    extends = F.col("given_long").startswith(F.concat("given_short", F.lit(" ")))
+    other = F.substring_index("given_long", " ", -1).isin(*GENERATIONS)
+    links = short.join(long, ["last", "word"]).where(extends & ~other).drop("given_short", "given_long")
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        total = dict(zip(group.name_short, group.n_short)) | dict(zip(group.name_long, group.n_long))
+        ends = group[["seq_short", "seq_long"]]
         into = {}
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                short, long = (a, b) if len(given[a]) < len(given[b]) else (b, a)
-                longer = given[long]
-                if not longer.startswith(given[short] + " ") or longer.split()[-1] in GENERATIONS:
-                    continue
-                if total[short] <= most and total[long] >= times * total[short]:
-                    total[long] += total[short]
-                    into[short] = long
+        for link in group.assign(a=ends.min(axis=1), b=ends.max(axis=1)).sort_values(["a", "b"]).itertuples():
+            small, large = total[link.name_short], total[link.name_long]
+            if small <= most and large >= times * small:
+                total[link.name_long] = large + small
+                into[link.name_short] = link.name_long
         return pd.DataFrame({"name": list(into), "into": list(into.values())}, dtype=object)
 
-    return several.groupBy("last").applyInPandas(absorb, "name string, into string")
+    return links.groupBy("last", "word").applyInPandas(follow, "name string, into string")
+
+
+def _inner_word(title: Column) -> Column:
+    """The longest word of a title that is neither its first nor its last one: a whole word of every text that holds the
+    title. Null where there is none."""
+    words = F.regexp_extract_all(title, F.lit(r"(?U)\w+"), F.lit(0))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+
+
+def best_match(items: DataFrame, pool: DataFrame, days: int = 3, least_title: int = 6, least_shared: int = 2) -> DataFrame:
+    """Each item's best partner at most `days` days away: (item, partner, offset, inside, n, score).
+
+    items: (item, day, words, title), pool: (partner, day, words, title); words: arrays of distinct words. A partner whose
+    title holds the item's whole title, of at least `least_title` characters, comes first, with score 1. Then comes the
+    highest score, which is the n shared words over the partner's number of words, held to 4 to 8; then the least offset
+    and the least partner. The best one is accepted if a title is inside, n is at least `least_shared`, or the score is 1.
+
+    Words meet by day and word, as rows without texts, of which only counts are gathered. Titles meet by day and the longest
+    inner word of the item's title; only pairs that have it in common are read in full. An item whose title has no inner
+    word is read against all titles of its days.
+    """
+    near = F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("offset")
+    asked = items.select("item", near, "day", "words", "title").withColumn("day", F.date_add("day", F.col("offset")))
+    words = asked.select("item", "offset", "day", F.explode("words").alias("word"))
+    size = F.least(F.greatest(F.size("words"), F.lit(4)), F.lit(8)).alias("size")
+    known = pool.select("partner", "day", size, F.explode("words").alias("word"))
+    shared = words.join(known, ["day", "word"]).groupBy("item", "partner", "offset").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    shared = shared.select("item", "partner", "offset", F.lit(False).alias("inside"), "n", (F.col("n") / F.col("size")).alias("score"))
+
+    titled = asked.where(F.char_length("title") >= least_title).select("item", "offset", "day", _inner_word(F.col("title")).alias("word"))
+    in_titles = F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")
+    met = titled.where("word IS NOT NULL").join(pool.select("partner", "day", in_titles), ["day", "word"])
+    met = met.select("item", "partner", "offset").unionByName(
+        titled.where("word IS NULL").join(pool.select("partner", "day"), "day").select("item", "partner", "offset")
+    )
+    whole = met.join(items.select("item", "title"), "item").join(pool.select("partner", F.col("title").alias("text")), "partner")
+    inside = whole.where(F.col("text").contains(F.col("title"))).select(
+        "item", "partner", "offset", F.lit(True).alias("inside"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("score")
+    )
+    order = F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(-F.col("score")), "offset", "partner")
+    best = F.min_by(F.struct("partner", "offset", "inside", "n", "score"), order)
+    out = shared.unionByName(inside).groupBy("item").agg(best.alias("b")).select("item", "b.*")
+    return out.where(F.col("inside") | (F.col("n") >= least_shared) | (F.col("score") == 1))

@@ -29,27 +29,15 @@ def _reclassified(rows):
     return C.reclassify(signed, ["The Wire"]).select(k, "section", "is_lottery", "is_election")
 
 
-@query(sql("record", r"""
-SELECT article_id, CASE WHEN article_id % 13 = 0 THEN 'Obituaries'
-  WHEN section = 'Corrections' AND article_id % 5 = 0 THEN 'Today''s Paper' WHEN section = 'New York' AND article_id % 7 = 0 THEN 'Today''s Paper'
-  WHEN article_id % 11 = 0 AND article_id % 2 = 0 THEN 'Today''s Paper' ELSE section END AS section,
-  section = 'New York' AND article_id % 7 = 0 AND article_id % 11 <> 0 AS is_lottery, article_id % 11 = 0 AND article_id % 2 = 0 AS is_election
-FROM (SELECT article_id, CASE WHEN section = '1-URGENT' THEN 'Corrections' WHEN section = '2-HIGH' THEN 'New York' ELSE section END AS section FROM record
-  WHERE NOT (article_id % 11 = 0 AND article_id % 7 = 0) AND NOT (article_id % 5 = 0 AND article_id % 11 = 0))"""))
-def ordered_reclassification(spark, sf):
-    """The ordered rules over records that carry their signs by rules of the id (records with two headlines are left out)."""
-    k = F.col("article_id")
-    return _reclassified(records(spark, sf).where(~((k % 11 == 0) & (k % 7 == 0)) & ~((k % 5 == 0) & (k % 11 == 0))))
-
-
 @query(sql("record", r"""
 SELECT article_id, CASE WHEN article_id % 13 = 0 THEN 'Obituaries'
   WHEN section = 'Corrections' AND article_id % 5 = 0 THEN 'Today''s Paper' WHEN section = 'New York' AND article_id % 7 = 0 AND article_id % 11 <> 0 THEN 'Today''s Paper'
   WHEN article_id % 11 = 0 AND article_id % 2 = 0 THEN 'Today''s Paper' ELSE section END AS section,
   section = 'New York' AND article_id % 7 = 0 AND article_id % 11 <> 0 AS is_lottery, article_id % 11 = 0 AND article_id % 2 = 0 AS is_election
 FROM (SELECT article_id, CASE WHEN section = '1-URGENT' THEN 'Corrections' WHEN section = '2-HIGH' THEN 'New York' ELSE section END AS section FROM record)"""))
-def ordered_reclassification_all(spark, sf):
-    """As `ordered_reclassification`, over all records: where two signs meet, an election headline goes before a lottery one."""
+def ordered_reclassification(spark, sf):
+    """The ordered rules over records that carry their signs by rules of the id; where two headlines meet, the election one
+    goes before the lottery one."""
     return _reclassified(records(spark, sf))
 
 
@@ -67,33 +55,19 @@ def correction_page_urls(spark, sf):
     return C.correction_pages(rows).select("url", "day")
 
 
-@query("""WITH d AS (SELECT user_id AS name, event_id AS id, event_type = 'error' AS rep, ts AS day, value FROM events WHERE event_id % 40 = 0),
-w AS (SELECT *, count(*) FILTER (NOT rep) OVER (PARTITION BY name) AS o, row_number() OVER (PARTITION BY name ORDER BY rep, -value, id) AS r,
-  row_number() OVER (PARTITION BY name ORDER BY day, CAST(id AS VARCHAR)) AS d FROM d),
-f AS (SELECT *, CASE WHEN o > 0 THEN r = 1 ELSE d = 1 END AS first FROM w),
-l AS (SELECT name, count(*) FILTER (rep AND NOT first) AS n FROM f GROUP BY name)
-SELECT id, CASE WHEN first THEN n ELSE 0 END AS n_later FROM f JOIN l USING (name) WHERE NOT (rep AND NOT first)""")
-def republication_merge(spark, sf):
-    return _merged(read(spark, sf, "events").where("event_id % 40 = 0"))
-
-
 @query("""WITH d AS (SELECT user_id AS name, event_id AS id, event_type = 'error' AS rep, ts AS day, value FROM events),
 w AS (SELECT *, count(*) FILTER (NOT rep) OVER (PARTITION BY name) AS o, row_number() OVER (PARTITION BY name ORDER BY rep, -value, id) AS r,
   row_number() OVER (PARTITION BY name ORDER BY day, CAST(id AS VARCHAR)) AS d FROM d),
 f AS (SELECT *, CASE WHEN o > 0 THEN r = 1 ELSE d = 1 END AS first FROM w),
 l AS (SELECT name, count(*) FILTER (rep AND NOT first) AS n FROM f GROUP BY name)
 SELECT id, CASE WHEN first THEN n ELSE 0 END AS n_later FROM f JOIN l USING (name) WHERE NOT (rep AND NOT first)""")
-def republication_merge_all(spark, sf):
-    """As `republication_merge`, over all events."""
-    return _merged(read(spark, sf, "events"))
-
-
-def _merged(events):
-    rows = events.select(
+def republication_merge(spark, sf):
+    """Events of one user, errors as republications."""
+    rows = read(spark, sf, "events").select(
         F.col("user_id").alias("name"), F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("republished"),
         F.col("ts").alias("day"), "value", F.col("event_id").cast("string").alias("url"),
     )
-    out = C.attach_republished(rows, "name", [F.desc("value"), F.asc("id")])
+    out = C.attach_republished(rows, "name", [-F.col("value"), F.col("id")])
     return out.select("id", F.size("later").cast("long").alias("n_later"))
 
 
@@ -106,19 +80,6 @@ def tracker_search(spark, sf):
     return C.search(C.serving(rows, {"article_id": "id", "headline": "h", "month": "m", "front": "fp"}), "h", "Ring")
 
 
-@query(sql("record", """,
-y AS (SELECT section, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(word_count) FILTER (material = 'O') AS BIGINT) AS blog, min(pub_date) AS a, max(pub_date) AS b FROM record WHERE yr = 1996 GROUP BY 1),
-s AS (SELECT *, CAST(round_even(words * 365 / (date_diff('day', a, b) + 1), 0) AS BIGINT) AS words_annual FROM y)
-SELECT section, words, words_annual, CASE WHEN words > 0 AND blog > 0 THEN CAST(round_even(words_annual * blog / words, 0) AS BIGINT) ELSE 0 END AS blog_scaled FROM s"""))
-def rescaled_parts(spark, sf):
-    """Parts of a total by the factor that annualised it."""
-    rows = records(spark, sf).where("yr = 1996")
-    year = M.annualised(rows, "section", "pub_date", "word_count")
-    blog = rows.groupBy("section").agg(F.sum(F.when(F.col("material") == "O", F.col("word_count").cast("long"))).alias("blog"))
-    out = C.rescale(year.join(blog, "section"), "words", "words_annual", ["blog"])
-    return out.select("section", "words", "words_annual", "blog_scaled")
-
-
 @query(sql("record", """,
 y AS (SELECT section, yr, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(word_count) FILTER (material = 'O') AS BIGINT) AS blog, min(pub_date) AS a, max(pub_date) AS b FROM record GROUP BY 1, 2),
 e AS (SELECT *, min(a) OVER (PARTITION BY section) AS first, max(b) OVER (PARTITION BY section) AS last FROM y),
@@ -126,8 +87,8 @@ d AS (SELECT *, CASE WHEN year(first) = year(last) THEN date_diff('day', first,
   WHEN yr = year(last) THEN date_diff('day', make_date(yr, 1, 1), last) + 1 END AS days FROM e),
 s AS (SELECT *, CASE WHEN days IS NULL THEN words ELSE CAST(round_even(words * 365 / days, 0) AS BIGINT) END AS words_annual FROM d)
 SELECT section, yr, words, words_annual, CASE WHEN words > 0 AND blog > 0 THEN CAST(round_even(words_annual * blog / words, 0) AS BIGINT) ELSE 0 END AS blog_scaled FROM s"""))
-def rescaled_parts_all(spark, sf):
-    """As `rescaled_parts`, over all years: the edge years of a section are annualised, inner ones stay."""
+def rescaled_parts(spark, sf):
+    """Parts of a total by the factor that annualised it: the edge years of a section are annualised, inner ones stay."""
     rows = records(spark, sf)
     year = M.annualised(rows, "section", "pub_date", "word_count")
     blog = rows.groupBy("section", "yr").agg(F.sum(F.when(F.col("material") == "O", F.col("word_count").cast("long"))).alias("blog"))

@@ -28,7 +28,8 @@ def stratified_sample16(spark, sf):
     return M.ranked(rows, ["yr"], [F.asc("pub_date"), F.asc("article_id")], 16)
 
 
-_DOC_KEY = "left(lower(trim(text)), 40)"
+#: A document's headline: its first line.
+_DOC_KEY = "lower(trim(split_part(text, chr(10), 1)))"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_DOC_KEY} AS k, n_chars AS n, source FROM documents WHERE text IS NOT NULL),
@@ -37,7 +38,8 @@ g AS (SELECT *, min(n) OVER w AS lo, max(n) OVER w AS hi, count(*) OVER w AS c,
 SELECT doc_id, k <> '' AND c > 1 AND hi > 0 AND lo >= 0.9 * hi AND rn > 1 AS is_duplicate FROM g""")
 def dedup_90pct(spark, sf):
     docs = read(spark, sf, "documents", "doc_id", "text", "n_chars", "source").where("text IS NOT NULL")
-    rows = docs.select("doc_id", F.left(F.lower(F.trim("text")), F.lit(40)).alias("k"), "n_chars", "source")
+    headline = F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
+    rows = docs.select("doc_id", headline.alias("k"), "n_chars", "source")
     return J.duplicates(rows, ["k"], "n_chars", "source", "doc_id").select("doc_id", "is_duplicate")
 
 
@@ -67,45 +69,27 @@ def rollup_duplicates(spark, sf):
     return rolled.withColumn("later", F.array_join(F.col("later").cast("array<string>"), ","))
 
 
-_STOP = "('this','that','with','from','have','were','their','which','about')"
+_STOP = "('" + "','".join(X.STOP_WORDS) + "')"
 
 
 @query(f"""WITH b AS (SELECT item_id, lower(text) AS t, DATE '2024-01-01' + CAST(item_id % 20 AS INT) AS d,
   list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP})) AS bag FROM benchmark),
-a AS (SELECT doc_id, lower(left(text, 400)) AS h, DATE '2024-01-01' + CAST(doc_id % 20 AS INT) AS d,
-  list_distinct(list_filter(regexp_extract_all(lower(left(text, 400)), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP})) AS bag FROM documents),
-p AS (SELECT item_id, doc_id, date_diff('day', b.d, a.d) AS o, contains(a.h, left(b.t, 30)) AS inside,
+a AS (SELECT doc_id, lower(text) AS h, DATE '2024-01-01' + CAST(doc_id % 20 AS INT) AS d,
+  list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP})) AS bag FROM documents),
+p AS (SELECT item_id, doc_id, date_diff('day', b.d, a.d) AS o, length(b.t) >= 6 AND contains(a.h, b.t) AS inside,
   len(list_intersect(b.bag, a.bag)) AS n, len(a.bag) AS size FROM b JOIN a ON a.d BETWEEN b.d - 3 AND b.d + 3),
 s AS (SELECT *, n / least(greatest(size, 4), 8) AS score FROM p WHERE inside OR n > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE score END DESC, o, doc_id) AS rn FROM s)
 SELECT item_id, doc_id, CAST(o AS INT) AS "offset", inside, CASE WHEN inside THEN 1.0 ELSE round(score, 6) END AS score FROM r
 WHERE rn = 1 AND (inside OR n >= 2 OR score = 1.0)""")
 def band_match_top1(spark, sf):
-    """Each item's best document within three days: containment first, then shared tokens, then the earliest."""
-    return _band_top1(spark, sf, F.lower(F.left("text", F.lit(400))), F.left(F.lower("text"), F.lit(30)))
-
-
-@query()
-def band_match_top1_all(spark, sf):
-    """As `band_match_top1`, with the whole texts of both sides. No SQL: its pairs by day are too many for a nested loop."""
-    return _band_top1(spark, sf, F.lower("text"), F.lower("text"))
-
-
-def _band_top1(spark, sf, body, wanted):
-    """`body` of documents and `wanted` of items are the texts for containment; the items' bags are of their whole texts."""
-    day = lambda c: F.date_add(F.to_date(F.lit("2024-01-01")), (F.col(c) % 20).cast("int"))
-    items = read(spark, sf, "benchmark").select("item_id", wanted.alias("t"), X.token_bag("text", ascii_only=True).alias("bag"), day("item_id").alias("d"))
-    docs = read(spark, sf, "documents", "doc_id", "text").select("doc_id", body.alias("h"), X.token_bag(body, ascii_only=True).alias("other"), day("doc_id").alias("dd"))
-    pairs = J.band_join(items, docs, "d", "dd", 3)
-    n = F.size(F.array_intersect("bag", "other"))
-    scored = pairs.select(
-        "item_id", "doc_id", "offset", F.col("h").contains(F.col("t")).alias("inside"), n.alias("n"),
-        (n / F.least(F.greatest(F.size("other"), F.lit(4)), F.lit(8))).alias("score"),
-    ).where("inside OR n > 0")
-    order = F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(-F.col("score")), "offset", "doc_id")
-    best = scored.groupBy("item_id").agg(F.min_by(F.struct("doc_id", "offset", "inside", "n", "score"), order).alias("b")).select("item_id", "b.*")
-    kept = best.where("inside OR n >= 2 OR score = 1.0")
-    return kept.select("item_id", "doc_id", "offset", "inside", F.when(F.col("inside"), 1.0).otherwise(F.round("score", 6)).alias("score"))
+    """Each item's best document within three days: its whole text inside the document's first, then shared words."""
+    day = lambda c: F.date_add(F.to_date(F.lit("2024-01-01")), (F.col(c) % 20).cast("int")).alias("day")
+    side = lambda name, c, k: read(spark, sf, name, c, "text").select(
+        F.col(c).alias(k), day(c), X.token_bag("text", ascii_only=True).alias("words"), F.lower("text").alias("title")
+    )
+    best = J.best_match(side("benchmark", "item_id", "item"), side("documents", "doc_id", "partner"))
+    return best.select(F.col("item").alias("item_id"), F.col("partner").alias("doc_id"), "offset", "inside", F.round("score", 6).alias("score"))
 
 
 @query("""WITH d AS (SELECT doc_id, lower(trim(text)) AS t, CAST(2000 + doc_id % 3 AS INT) AS yr FROM documents WHERE length(trim(text)) >= 40),
@@ -114,16 +98,23 @@ p AS (SELECT a.doc_id, b.doc_id AS original, b.yr - a.yr AS off FROM d a JOIN d
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE off WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END, original) AS rn FROM p)
 SELECT doc_id, original, CAST(off AS INT) AS year_offset FROM r WHERE rn = 1""")
 def prefix_year_match(spark, sf):
-    """A republished text with its original: one is the other's prefix, within a year; the same year first, then the one before."""
+    """A republished text with its original: one is the other's prefix, within a year; the same year first, then the one
+    before. Of each distinct text and year the first document is enough, so copies meet as one."""
     docs = read(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.lower(F.trim("text")).alias("t"), (2000 + F.col("doc_id") % 3).cast("int").alias("yr")
     )
-    years = docs.withColumn("key_year", F.explode(F.array(F.col("yr") - 1, F.col("yr"), F.col("yr") + 1)))
-    others = docs.select(F.col("doc_id").alias("original"), F.col("t").alias("u"), F.col("yr").alias("key_year"))
-    pairs = J.prefix_join(years, others, "key_year", "t", "u", 40).where("doc_id > original")
-    off = F.col("key_year") - F.col("yr")
-    best = F.min(F.struct(F.when(off == 0, 0).when(off == -1, 1).otherwise(2).alias("o"), "original", off.alias("year_offset")))
-    return pairs.groupBy("doc_id").agg(best.alias("b")).select("doc_id", "b.original", "b.year_offset")
+    docs = docs.where(F.char_length("t") >= 40)
+    firsts = docs.groupBy("t", "yr").agg(F.min("doc_id").alias("original"))
+    texts = docs.groupBy("t").agg(F.collect_set("yr").alias("years"))  # at most as many as there are years
+    asked = texts.select("t", F.explode("years").alias("yr")).withColumn("off", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    asked = asked.withColumn("key_year", F.col("yr") + F.col("off"))
+    others = firsts.select(F.col("t").alias("u"), F.col("yr").alias("key_year"), "original")
+    pairs = J.prefix_join(asked, others, "key_year", "t", "u", 40)
+    rank = F.when(F.col("off") == 0, 0).when(F.col("off") == -1, 1).otherwise(2)
+    best = pairs.groupBy("t", "yr", "off").agg(F.min("original").alias("original"))
+    choices = best.groupBy("t", "yr").agg(F.sort_array(F.collect_list(F.struct(rank.alias("o"), "original", F.col("off").alias("year_offset")))).alias("c"))
+    found = docs.join(choices, ["t", "yr"]).withColumn("b", F.get(F.filter("c", lambda x: x["original"] < F.col("doc_id")), F.lit(0)))
+    return found.where("b IS NOT NULL").select("doc_id", "b.original", "b.year_offset")
 
 
 @query("""WITH u AS (SELECT page_id % 50 AS k, max(page_id) AS page_id FROM pages GROUP BY 1),
@@ -170,28 +161,13 @@ def split_explode(spark, sf):
     return rows.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("no", "piece"), "p_size").withColumn("no", F.col("no").cast("long"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_partkey < 200), t AS (SELECT * FROM part WHERE p_partkey >= 200),
-h AS (SELECT s.p_partkey, t.p_partkey AS hit, 0 AS step FROM s JOIN t ON s.p_name = t.p_name AND s.p_brand = t.p_brand AND s.p_type = t.p_type
-UNION ALL SELECT s.p_partkey, t.p_partkey, 1 FROM s JOIN t ON s.p_name = t.p_name AND s.p_brand = t.p_brand
-UNION ALL SELECT s.p_partkey, t.p_partkey, 2 FROM s JOIN t ON s.p_brand = t.p_brand AND s.p_type = t.p_type),
-r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY step, hit) AS rn FROM h)
-SELECT s.p_partkey, coalesce(r.hit, -1) AS hit, CAST(coalesce(r.step, -1) AS INT) AS step FROM s LEFT JOIN r ON s.p_partkey = r.p_partkey AND rn = 1""")
-def fallback_key_join(spark, sf):
-    parts = read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type")
-    rows, other = parts.where("p_partkey < 200"), parts.where("p_partkey >= 200").withColumnRenamed("p_partkey", "hit")
-    keys = (["p_name", "p_brand", "p_type"], ["p_name", "p_brand"], ["p_brand", "p_type"])
-    least = lambda k: other.groupBy(*k).agg(F.min("hit").alias("hit"))  # noqa: E731  the first hit is all that a key needs
-    steps = [rows.join(least(k), k).select("p_partkey", "hit") for k in keys]
-    return J.fallback_join(rows.select("p_partkey"), "p_partkey", steps, [F.asc("hit")]).na.fill(-1, ["hit", "step"])
-
-
 @query("""WITH h AS (SELECT s.p_partkey, t.p_partkey AS hit, 0 AS step FROM part s JOIN part t ON s.p_name = t.p_name AND s.p_brand = t.p_brand AND s.p_type = t.p_type AND s.p_partkey <> t.p_partkey
 UNION ALL SELECT s.p_partkey, t.p_partkey, 1 FROM part s JOIN part t ON s.p_name = t.p_name AND s.p_brand = t.p_brand AND s.p_partkey <> t.p_partkey
 UNION ALL SELECT s.p_partkey, t.p_partkey, 2 FROM part s JOIN part t ON s.p_brand = t.p_brand AND s.p_type = t.p_type AND s.p_partkey <> t.p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY step, hit) AS rn FROM h)
 SELECT s.p_partkey, coalesce(r.hit, -1) AS hit, CAST(coalesce(r.step, -1) AS INT) AS step FROM part s LEFT JOIN r ON s.p_partkey = r.p_partkey AND rn = 1""")
-def fallback_key_join_all(spark, sf):
-    """As `fallback_key_join`, every part against all others."""
+def fallback_key_join(spark, sf):
+    """Every part with the first other one by ever weaker keys."""
     parts = read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type")
     other = parts.withColumnRenamed("p_partkey", "hit")
     keys = (["p_name", "p_brand", "p_type"], ["p_name", "p_brand"], ["p_brand", "p_type"])

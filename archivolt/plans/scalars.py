@@ -27,15 +27,32 @@ def query(text: str | None = None):
     return add
 
 
-@query(r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS h, regexp_replace(url, '^[a-zA-Z]+://[^/]+', '') AS p FROM pages),
-c AS (SELECT page_id, starts_with(h, 'blog.') AS blog, starts_with(h, 'm.') AS live, contains(p, '.html') AS pod, p FROM u)
-SELECT page_id, CASE WHEN blog THEN 'blog' WHEN pod THEN 'podcast' ELSE 'standard' END AS kind, live, p AS path FROM c""")
+_URL_SQL = """u AS (SELECT page_id, replace(replace(url, 'm.', 'blog.'), '/post/', CASE WHEN page_id % 5 = 0 THEN '/podcasts/' WHEN page_id % 5 = 1 THEN '/live/' ELSE '/post/' END) AS url,
+  CASE WHEN page_id % 7 = 0 THEN ' The Daily' ELSE 'None' END AS kicker, CASE WHEN page_id % 11 = 0 THEN 'Podcasts' ELSE 'News' END AS section FROM pages)"""
+
+
+def _urls(spark, sf):
+    """Pages whose hosts and paths are rewritten here and there to those of blogs, live pages and podcasts."""
+    k = F.col("page_id")
+    part = F.when(k % 5 == 0, "/podcasts/").when(k % 5 == 1, "/live/").otherwise("/post/")
+    url = F.replace(F.replace(F.col("url"), F.lit("m."), F.lit("blog.")), F.lit("/post/"), part)
+    return read(spark, sf, "pages", "page_id", "url").select(
+        "page_id", url.alias("url"), F.when(k % 7 == 0, " The Daily").otherwise("None").alias("kicker"),
+        F.when(k % 11 == 0, "Podcasts").otherwise("News").alias("section"),
+    )
+
+
+@query(rf"""WITH {_URL_SQL},
+c AS (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS h, regexp_replace(url, '^[a-zA-Z]+://[^/]+', '') AS p FROM u)
+SELECT page_id, p AS path, regexp_matches(h, '(^|\.)(blogs|blog)\.') OR contains(url, '/blogs/') OR contains(url, '/blog/') AS blog,
+  coalesce(string_split(p, '/')[2] = 'live', false) AS live,
+  section = 'Podcasts' OR contains(lower(p), '/podcasts/') OR starts_with(lower(p), '/audio/') OR lower(trim(kicker)) = 'the daily'
+    OR contains(lower(p), 'argument-podcast-') OR contains(lower(p), 'matter-of-opinion-') AS podcast FROM c""")
 def url_class(spark, sf):
-    """URL classes with the stand-in's own signs."""
+    """Blogs, live pages and podcasts by their URLs, sections and kickers."""
     url = F.col("url")
-    path = X.path_of(url)
-    kind = F.when(X.host(url).startswith("blog."), "blog").when(path.contains(".html"), "podcast").otherwise("standard")
-    return read(spark, sf, "pages", "page_id", "url").select("page_id", kind.alias("kind"), X.host(url).startswith("m.").alias("live"), path.alias("path"))
+    podcast = X.is_podcast(F.col("section"), url, F.col("kicker"))
+    return _urls(spark, sf).select("page_id", X.path_of(url).alias("path"), X.is_blog(url).alias("blog"), X.is_live(url).alias("live"), podcast.alias("podcast"))
 
 
 @query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<!--.*?-->', '', 'g'), '(?is)<style\b.*?</style>', '', 'g') AS h FROM pages),
@@ -81,28 +98,56 @@ def date_fallback_chain(spark, sf):
     return _mentions(spark, sf).select("event_id", D.reference_date(text, F.col("day")).cast("string").alias("resolved"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, 'Someone Dies at ' || (doc_id % 130) AS h, left(text, 200) AS a FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id, 'Someone, ' || (doc_id % 130) || ', of note', left(text, 200) FROM documents WHERE doc_id % 3 = 1
-UNION ALL SELECT doc_id, 'Someone', 'He was ' || (10 + doc_id % 120) || ' and old' FROM documents WHERE doc_id % 3 = 2)
-SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 130 WHEN doc_id % 3 = 1 AND doc_id % 130 BETWEEN 18 AND 120 THEN doc_id % 130
-  WHEN doc_id % 3 = 2 AND 10 + doc_id % 120 BETWEEN 18 AND 120 AND 10 + doc_id % 120 < 100 THEN 10 + doc_id % 120
-  WHEN doc_id % 3 = 2 AND 10 + doc_id % 120 BETWEEN 100 AND 120 THEN 10 + doc_id % 120 END, -1)::INT AS age FROM t""")
+_DIES = r"(?i)\b(?:dies|dead|died)(?: [a-z]+)? at (?:age )?(\d{1,3})\b"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Someone Dies at ' || (doc_id % 130) WHEN 1 THEN 'Someone, ' || (doc_id % 130) || ', of note' ELSE 'Someone' END AS h,
+  coalesce(text, '') || CASE WHEN doc_id % 3 = 2 THEN ' He was ' || (10 + doc_id % 120) || ' and old' ELSE '' END AS a FROM documents),
+n AS (SELECT doc_id, nullif(regexp_extract(h, '{_DIES}', 1), '') AS x1, nullif(regexp_extract(a, '{_DIES}', 1), '') AS x2,
+  try_cast(nullif(regexp_extract(h, ', (\d{{2,3}})(?:,|$)', 1), '') AS INT) AS x3, try_cast(nullif(regexp_extract(a, ', (\d{{2,3}})(?:,|$)', 1), '') AS INT) AS x4,
+  try_cast(nullif(regexp_extract(a, '\b(?:was|age|aged) (\d{{2,3}})\b', 1), '') AS INT) AS x5 FROM t)
+SELECT doc_id, coalesce(CAST(x1 AS INT), CAST(x2 AS INT), CASE WHEN x3 BETWEEN 18 AND 120 THEN x3 END, CASE WHEN x4 BETWEEN 18 AND 120 THEN x4 END,
+  CASE WHEN x5 BETWEEN 18 AND 120 THEN x5 END, -1) AS age FROM n""")
 def age_extract(spark, sf):
+    """Ages from headlines made up by the id and from whole texts; a third of the texts end with an age."""
     k = F.col("doc_id")
     n = (k % 130).cast("string")
     head = F.when(k % 3 == 0, F.concat(F.lit("Someone Dies at "), n)).when(k % 3 == 1, F.concat(F.lit("Someone, "), n, F.lit(", of note"))).otherwise("Someone")
-    body = F.when(k % 3 == 2, F.concat(F.lit("He was "), (10 + k % 120).cast("string"), F.lit(" and old"))).otherwise("")
-    return read(spark, sf, "documents", "doc_id").select("doc_id", F.coalesce(X.age_of(head, body), F.lit(-1)).alias("age"))
+    end = F.when(k % 3 == 2, F.concat(F.lit(" He was "), (10 + k % 120).cast("string"), F.lit(" and old"))).otherwise("")
+    body = F.concat(F.coalesce("text", F.lit("")), end)
+    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce(X.age_of(head, body), F.lit(-1)).alias("age"))
+
+
+def _counted(column: str, patterns) -> str:
+    return " + ".join(f"len(regexp_extract_all({column}, '{p}'))" for p in patterns)
+
+
+_KIN = """CASE doc_id % 6 WHEN 0 THEN ' Mr. Roe and Mrs. Poe came. ' WHEN 1 THEN ' the father of two, survived by his wife ' WHEN 2 THEN ' the mother of two and widow of a painter '
+  WHEN 3 THEN ' Duchess Ann left ' WHEN 4 THEN ' Pope Leo left ' ELSE '' END"""
 
 
-@query(r"""WITH t AS (SELECT doc_id, text, string_split(lower(text), ' ') AS w FROM documents),
-c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('he', 'his', 'him'))) AS m, len(list_filter(w, lambda x: x IN ('she', 'her', 'herself'))) AS f,
-  regexp_matches(text, '\b(?:Sir|Lord|King|Prince|Father|Rabbi|Bishop|Cardinal)\s') AS mt, regexp_matches(text, '\b(?:Dame|Lady|Queen|Princess|Sister|Baroness|Countess)\s') AS ft FROM t)
-SELECT doc_id, CASE WHEN mt AND NOT ft THEN 'M' WHEN ft AND NOT mt THEN 'F' WHEN (m > 0 AND f = 0) OR (m >= 2 AND m > 1.5 * f) THEN 'M'
-  WHEN (f > 0 AND m = 0) OR (f >= 2 AND f > 1.5 * m) THEN 'F' END AS gender FROM c""")
+def _either(m: str, f: str, least: int | None) -> str:
+    more = "" if least is None else f" OR {m} > {f}" if least == 0 else f" OR {m} >= {least} AND {m} > 1.5 * {f}"
+    return f"({m} > 0 AND {f} = 0{more})"
+
+
+_STEPS = [("m1", "f1", 0), ("m2", "f2", None), ("m3", "f3", 1), ("m4", "f4", 2)]
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_KIN} || coalesce(text, '') AS x FROM documents), l AS (SELECT *, lower(' ' || x || ' ') AS y FROM t),
+c AS (SELECT doc_id, {_counted("x", [r"\bMr\.?\s+[A-Z]"])} AS m1, {_counted("x", [r"\bMrs\.?\s+[A-Z]", r"\bMs\.?\s+[A-Z]"])} AS f1,
+  {_counted("x", [r"\b(?:" + "|".join(X.MALE_TITLES) + r")\s", r"\bMr\.?\s+[A-Z]"])} AS m2,
+  {_counted("x", [r"\b(?:" + "|".join(X.FEMALE_TITLES) + r")\s", r"\bMrs\.?\s+[A-Z]", r"\bMs\.?\s+[A-Z]"])} AS f2,
+  {_counted("y", X.MALE_KIN)} AS m3, {_counted("y", X.FEMALE_KIN[:4])} + (CASE WHEN contains(y, 'and widow of') THEN 1 ELSE 0 END) AS f3,
+  {_counted("y", [" he ", " his ", " him "])} AS m4, {_counted("y", [" she ", " her ", " herself "])} AS f4 FROM l)
+SELECT doc_id, CASE {" ".join(f"WHEN {_either(m, f, n)} THEN 'M' WHEN {_either(f, m, n)} THEN 'F'" for m, f, n in _STEPS)} END AS gender FROM c""")
 def gender_signals(spark, sf):
-    """Titles, then pronouns; the tables have no kinship and no Mr or Mrs."""
-    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", X.gender_of("text")["gender"].alias("gender"))
+    """Honorifics, titles, kinship and pronouns of whole texts; most texts have signs put before them by the id."""
+    signs = ("Mr. Roe and Mrs. Poe came.", "the father of two, survived by his wife", "the mother of two and widow of a painter", "Duchess Ann left", "Pope Leo left")
+    k = F.col("doc_id") % 6
+    before = F.coalesce(*(F.when(k == i, f" {s} ") for i, s in enumerate(signs)), F.lit(""))
+    text = F.concat(before, F.coalesce("text", F.lit("")))
+    return read(spark, sf, "documents", "doc_id", "text").select("doc_id", X.gender_of(text)["gender"].alias("gender"))
 
 
 @query(sql("author", r""",
@@ -122,7 +167,10 @@ def majority_propagation(spark, sf):
     return rows.join(learned, "first", "left").groupBy("author").agg(F.count_if(value).alias("n_yes"), F.count_if(value.isNull()).alias("n_unknown"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN ('this','that','with','from','have','were','their','which','about'))) AS bag FROM conversations)
+_STOP = "('" + "','".join(X.STOP_WORDS) + "')"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP})) AS bag FROM conversations)
 SELECT a.conv_id, a.turn, len(list_intersect(a.bag, b.bag))::INT AS n_shared, len(a.bag)::INT AS n_tokens FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def token_bag_overlap(spark, sf):
     bags = read(spark, sf, "conversations").select("conv_id", "turn", X.token_bag("text", ascii_only=True).alias("bag"))

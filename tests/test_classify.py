@@ -43,7 +43,7 @@ def test_obituary_gate(spark):
 def test_republished(spark):
     rows = [("a", "1", 1, False), ("a", "2", 9, True), ("a", "3", 5, False), ("b", "4", 7, True), ("b", "5", 3, True), ("c", "6", 1, True)]
     df = spark.createDataFrame(rows, "name string, url string, day int, republished boolean")
-    got = {r.url: [x.url for x in r.later] for r in C.attach_republished(df, "name", [F.asc("day")]).collect()}
+    got = {r.url: [x.url for x in r.later] for r in C.attach_republished(df, "name", [F.col("day")]).collect()}
     assert got == {"1": ["2"], "3": [], "5": ["4"], "6": []}
 
 

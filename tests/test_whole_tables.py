@@ -13,12 +13,12 @@ def test_band_match_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, "The quick brown passage of an item that stands far inside")]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = QUERIES["band_match_top1_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["band_match_top1"](spark, str(tmp_path)).collect()
     assert [(r.item_id, r.doc_id, r.inside, r.score) for r in got] == [(1, 1, True, 1.0)]
 
 
 @pytest.mark.parametrize("name, table, key, found", [
-    ("fallback_key_join_all", "part", "p_partkey", "p_partkey"), ("ordered_reclassification_all", "orders", "o_orderkey", "article_id"),
+    ("fallback_key_join", "part", "p_partkey", "p_partkey"), ("ordered_reclassification", "orders", "o_orderkey", "article_id"),
 ])
 def test_every_row_has_its_result(spark, sf_dir, name, table, key, found):
     got = QUERIES[name](spark, sf_dir).select(found).collect()
@@ -26,10 +26,10 @@ def test_every_row_has_its_result(spark, sf_dir, name, table, key, found):
 
 
 def test_every_event_is_merged(spark, sf_dir):
-    got = QUERIES["republication_merge_all"](spark, sf_dir).selectExpr("count(*) + sum(n_later)").first()[0]
+    got = QUERIES["republication_merge"](spark, sf_dir).selectExpr("count(*) + sum(n_later)").first()[0]
     assert got == read(spark, sf_dir, "events").count()
 
 
 def test_every_year_is_rescaled(spark, sf_dir):
-    years = {r.yr for r in QUERIES["rescaled_parts_all"](spark, sf_dir).collect()}
+    years = {r.yr for r in QUERIES["rescaled_parts"](spark, sf_dir).collect()}
     assert years == {r[0] for r in read(spark, sf_dir, "orders").selectExpr("year(o_orderdate)").collect()}
