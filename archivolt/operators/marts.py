@@ -170,11 +170,20 @@ def distinct_by(df: DataFrame, by: list[str], item: str, least: int = 1) -> Data
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """sorted[min(n - 1, int(q n))] of each key."""
-    w = W.partitionBy(key)
-    rows = df.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
+    """sorted[min(n - 1, int(q n))] of each key. Values are counted first, so that what is put in order for a key are its
+    distinct values, in ranges of their own: each range's size says where it begins."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__c"))
+    totals = counts.groupBy(key).agg(F.sum("__c").alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high"))
+    part = F.floor((F.col(value) - F.col("__low")) * 255 / F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-300)))
+    dealt = counts.join(totals, key).withColumn("__part", part)
+    sizes = dealt.groupBy(key, "__part").agg(F.sum("__c").alias("__size"))
+    begin = (F.sum("__size").over(W.partitionBy(key).orderBy("__part")) - F.col("__size")).alias("__begin")
+    dealt = dealt.join(sizes.select(key, "__part", begin), [key, "__part"])
+    inside = F.sum("__c").over(W.partitionBy(key, "__part").orderBy(value))
+    ends = dealt.withColumn("__end", F.col("__begin") + inside)  # a value has the places from __end - __c to __end - 1
     at = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n")))
-    return rows.groupBy(key).agg(*(F.max(F.when(F.col("__i") == at(q), F.col(value))).alias(c) for c, q in quantiles.items()))
+    here = lambda q: (at(q) < F.col("__end")) & (at(q) >= F.col("__end") - F.col("__c"))
+    return ends.groupBy(key).agg(*(F.max(F.when(here(q), F.col(value))).alias(c) for c, q in quantiles.items()))
 
 
 def quintile(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -262,21 +262,31 @@ def packed_roundtrip(spark, sf):
     return again.groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("word_count").cast("long")).alias("words"))
 
 
+def _events(spark, sf):
+    """(stream of the events, the lateness that covers all of them in whatever order their files come)."""
+    path = f"{sf}/events.parquet"
+    late = S.disorder(spark.read.parquet(path).select(F.col("ts").cast("timestamp")), "ts")
+    return S.table_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp")), late
+
+
+def _drained(spark, stream, mode, keys=()):
+    return S.drain(stream, f"out_{uuid.uuid4().hex}", mode, new_folder(spark, "stream"), keys)
+
+
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY ALL""")
 def stream_daily_counts(spark, sf):
-    """All days but the last, which may go on. The stream puts out every day once it is drained: closing days as it runs
-    would drop what later files hold of them."""
-    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.daily_counts(events, "ts", ["event_type"]), f"daily_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
+    """All days but the last, which may go on."""
+    events, late = _events(spark, sf)
+    out = _drained(spark, S.daily_counts(events, "ts", ["event_type"], late), "update", ["day", "event_type"])
     return out.crossJoin(out.agg(F.max("day").alias("last"))).where("day < last").drop("last")
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY ALL""")
 def stream_dedup(spark, sf):
     """Every event twice in the stream, once in the result."""
-    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events, late = _events(spark, sf)
     twice = events.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
-    kept = S.drain(S.without_repeats(twice, ["event_id"], "ts"), f"dedup_{uuid.uuid4().hex}", "append", new_folder(spark, "archivolt"))
+    kept = _drained(spark, S.without_repeats(twice, ["event_id"], "ts", late), "append")
     return kept.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -284,8 +294,8 @@ def stream_dedup(spark, sf):
 SELECT strftime(s, '%Y-%m-%d') AS "first", count(*) AS n FROM w GROUP BY s""")
 def stream_sliding_weeks(spark, sf):
     """Sliding windows of seven days, one beginning each day."""
-    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.sliding_counts(events, "ts"), f"sliding_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
+    events, late = _events(spark, sf)
+    out = _drained(spark, S.sliding_counts(events, "ts", lateness=late), "update", ["start"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("first"), "n")
 
 
@@ -293,14 +303,14 @@ def stream_sliding_weeks(spark, sf):
 c AS (SELECT *, sum(CASE WHEN b IS NULL OR ts - b > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS chain FROM l)
 SELECT user_id, count(*) AS n FROM c GROUP BY user_id, chain""")
 def stream_sessions_6h(spark, sf):
-    """A user's events within six hours of each other, by session windows."""
-    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.sessions(events, "ts", "user_id", "6 hours"), f"sessions_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
-    return out.select("user_id", "n")
+    """A user's events within six hours of each other, by session windows. Sessions merge as rows come, which streams put out
+    whole ("complete") or once they are closed."""
+    events, late = _events(spark, sf)
+    return _drained(spark, S.sessions(events, "ts", "user_id", "6 hours", late), "complete").select("user_id", "n")
 
 
 @query("""SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_monthly_counts(spark, sf):
-    events = S.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = S.drain(S.monthly_counts(events, "ts", ["event_type"]), f"monthly_{uuid.uuid4().hex}", "complete", new_folder(spark, "archivolt"))
+    events, late = _events(spark, sf)
+    out = _drained(spark, S.monthly_counts(events, "ts", ["event_type"], late), "update", ["month", "event_type"])
     return out.select(F.date_format("month", "yyyy-MM").alias("month"), "event_type", "n")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from archivolt.sources.shared import delete
 
 
 def table_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -56,14 +61,34 @@ def replace_slices(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and gives what it put out, from a table in the checkpoint's folder."""
+def disorder(rows: DataFrame, time: str) -> str:
+    """How late a row of this table can come where its files are read in any order: the whole span of its times, a minute
+    at least. With it as the lateness no row is dropped."""
+    a, b = rows.agg(F.min(time), F.max(time)).first()
+    return f"{max(60, math.ceil((b - a).total_seconds())) if a is not None else 60} seconds"
+
+
+def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, keys: list[str] = ()) -> DataFrame:
+    """Runs a stream over all that is there and gives what it put out, from Parquet in the checkpoint's folder. Each batch
+    has a folder of its own, which running it again replaces. Of "append" all rows count; of "update" the last one of each
+    of the `keys`; of "complete" the last batch, the only one that is kept."""
     spark = stream.sparkSession
-    if mode == "append":
-        path = f"{checkpoint}/{name}-out"
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
-        query.trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}")
+    path, last = f"{checkpoint}/{name}-out", []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={k}")
+        if mode == "complete":
+            for old in {*last} - {k}:
+                delete(spark, f"{path}/batch={old}")
+                last.remove(old)
+        last.append(k)
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}")
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(path)
+    if mode == "update":
+        newest = F.max_by(F.struct(*stream.columns), "batch").alias("row")
+        return out.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(newest).select("row.*")
+    return out.drop("batch")

@@ -127,7 +127,7 @@ def test_streams_with_late_data(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
     kept = S.drain(S.without_repeats(stream, ["id"], "ts", "20 days"), "kept", "append", f"file://{tmp_path}/c1")
     assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 4, 5]  # a batch is held to the watermark of the one before it
-    monthly = S.drain(S.monthly_counts(stream, "ts", ["k"], "62 days"), "monthly", "complete", f"file://{tmp_path}/c2")
+    monthly = S.drain(S.monthly_counts(stream, "ts", ["k"], "62 days"), "monthly", "update", f"file://{tmp_path}/c2", ["month", "k"])
     assert rows(monthly.select("k", "n")) == [("a", 6), ("b", 1)]
     chains = S.drain(S.sessions(stream, "ts", "k", "10 days", "62 days"), "chains", "complete", f"file://{tmp_path}/c3")
     assert rows(chains.select("k", "n")) == [("a", 6), ("b", 1)]
