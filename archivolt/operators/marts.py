@@ -130,20 +130,49 @@ def tenure_rate(df: DataFrame, key: str, date: str, words: str, least_days: int
     return out.select(key, "words", rate.alias("words_per_year"))
 
 
-def likely_multimedia(mart: DataFrame) -> DataFrame:
+def likely_multimedia(
+    mart: DataFrame, zero: float = 0.35, few_words: int = 100, audio: tuple[str, ...] = ("Podcasts",),
+    structural: tuple[str, ...] = ("Crosswords & Games", "Briefing"),
+) -> DataFrame:
     """author_mart rows with `primary` joined: five routes by ratios, unless 20 solo texts show a reporter."""
     n = F.col("n_articles")
-    shared, zero, some = F.col("n_shared") / n, F.col("n_zero") / n, n >= 5
+    shared, wordless, some = F.col("n_shared") / n, F.col("n_zero") / n, n >= 5
     routes = (
-        (some & (shared >= 0.75) & (zero >= 0.35))
-        | ((n >= 20) & (zero >= 0.95))
-        | (some & (shared >= 0.9) & (F.col("avg_words") < 100))
-        | (some & (F.col("primary") == "Podcasts"))
-        | (some & (shared >= 0.9) & F.col("primary").isin("Crosswords & Games", "Briefing"))
+        (some & (shared >= 0.75) & (wordless >= zero))
+        | ((n >= 20) & (wordless >= 0.95))
+        | (some & (shared >= 0.9) & (F.col("avg_words") < few_words))
+        | (some & F.col("primary").isin(*audio))
+        | (some & (shared >= 0.9) & F.col("primary").isin(*structural))
     )
     return mart.withColumn("likely_multimedia", F.coalesce(routes & (F.col("n_solo") < 20), F.lit(False)))
 
 
+def author_periods(credits: DataFrame, period: str, flags: dict[str, Column], author: str = "author") -> DataFrame:
+    """Per author and period (a year or a month): records, shared ones, words (divided as in `author_mart`), and for each
+    flag (blogs, live pages, podcasts) its records and their words."""
+    share = F.floor(F.col("word_count") / F.greatest(F.col("n_authors"), F.lit(1))).cast("long")
+    kinds = [c for name, flag in flags.items() for c in (F.count_if(flag).alias(f"n_{name}"), F.sum(F.when(flag, share).otherwise(0)).alias(f"words_{name}"))]
+    return credits.groupBy(author, period).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_authors") > 1).alias("n_shared"), F.sum(share).alias("words"), *kinds
+    )
+
+
+def yearly_modes(df: DataFrame, key: str, year: str, category: str, k: int = 6) -> DataFrame:
+    """(key, category, n, rank): the categories that lead some year of the key, or all of its years together; up to `k` of
+    them by all their records. Ties by name."""
+    by_year = df.groupBy(key, category, year).agg(F.count(F.lit(1)).alias("n"))
+    leads = ranked(by_year, [key, year], [F.desc("n"), F.asc(category)], 1).select(key, category)
+    whole = by_year.groupBy(key, category).agg(F.sum("n").alias("n"))
+    first = ranked(whole, [key], [F.desc("n"), F.asc(category)], 1).select(key, category)
+    return ranked(whole.join(leads.union(first).distinct(), [key, category]), [key], [F.desc("n"), F.asc(category)], k)
+
+
+def reaggregated(mart: DataFrame, credits: DataFrame, name: str, author: str = "author", **how) -> DataFrame:
+    """An `author_mart` in which one author's row is made anew from the credits, as after a change of bylines."""
+    own = author_mart(credits.where(F.col(author) == name), author, **how)
+    return mart.where(F.col(author) != name).unionByName(own.select(mart.columns))
+
+
 def pair_counts(df: DataFrame, group: str, item: str) -> DataFrame:
     """Ordered pairs of different items within a group and the number of groups they share. The pairs of a group are
     made by two explodes of its own small array (contributors or tags of one record), so no join shuffles the groups."""
@@ -169,6 +198,24 @@ def distinct_by(df: DataFrame, by: list[str], item: str, least: int = 1) -> Data
     return out.where(F.col("n_distinct") >= least)
 
 
+def distinct_trends(df: DataFrame, key: str, year: str, item: str, years: int = 3, peak: int = 0) -> DataFrame:
+    """Distinct items by key and year, of keys with at least `years` years of which one has at least `peak` items."""
+    counts = distinct_by(df, [key, year], item)
+    good = counts.groupBy(key).agg(F.count(F.lit(1)).alias("y"), F.max("n_distinct").alias("p")).where((F.col("y") >= years) & (F.col("p") >= peak))
+    return counts.join(good.select(key), key, "left_semi")
+
+
+def filled_from(main: DataFrame, other: DataFrame, key: str, special: DataFrame) -> DataFrame:
+    """(key, filled): the keys of `main`, and those of `special` that only `other` has."""
+    more = other.select(key).intersect(special.select(key)).exceptAll(main.select(key).distinct())
+    return main.select(key).distinct().withColumn("filled", F.lit(False)).unionByName(more.withColumn("filled", F.lit(True)))
+
+
+def top_counts(df: DataFrame, column: str, k: int = 50) -> DataFrame:
+    """The k most frequent values of a column; ties by value."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
 def nearest_rank(df: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
     """sorted[min(n - 1, int(q n))] of each key. Values are counted first, so that what is put in order for a key are its
     distinct values, in ranges of their own: each range's size says where it begins."""

@@ -172,6 +172,19 @@ def person_prefixes(totals: DataFrame, most: int = 50, times: int = 15) -> DataF
     return links.groupBy("last", "word").applyInPandas(follow, "name string, into string")
 
 
+def match_pool(rows: DataFrame, partner: str, day: str, headline: str, url: str, subjects: str, least: int = 4) -> DataFrame:
+    """`best_match`'s pool of records: the words of headline, path and subjects, and the headline in lower case as title."""
+    text = F.concat_ws(" ", F.col(headline), F.translate(F.col(url), "-/", "  "), F.array_join(subjects, " "))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.char_length(w) >= least))
+    return rows.select(F.col(partner).alias("partner"), F.col(day).alias("day"), words.alias("words"), F.lower(F.coalesce(headline, F.lit(""))).alias("title"))
+
+
+def contained_step(rows: DataFrame, pool: DataFrame, day: str, word: str, text: str) -> DataFrame:
+    """A last step for `fallback_join`: pairs of one day where the pool's `text` (a path) holds the row's `word` in any case.
+    Both sides keep their columns; the join is by day."""
+    return rows.join(pool, day).where((F.char_length(word) > 0) & F.contains(F.lower(text), F.lower(word)))
+
+
 def _inner_word(title: Column) -> Column:
     """The longest word of a title that is neither its first nor its last one: a whole word of every text that holds the
     title. Null where there is none."""

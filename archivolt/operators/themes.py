@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from archivolt.functions.text import lookup
 from archivolt.operators.marts import ranked
 
 
+#: Other names under which a place is asked for.
+PLACE_ALIASES = {
+    "United Kingdom": "Great Britain", "UK": "Great Britain", "Britain": "Great Britain", "Czechia": "Czech Republic",
+    "Côte d'Ivoire": "Ivory Coast", "Cote d Ivoire": "Ivory Coast", "DRC": "Democratic Republic of Congo", "USA": "United States",
+    "U.S.": "United States",
+}
+
+
+def canonical_place(place: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The place that a request means: what its name is an alias of, or the name itself."""
+    return F.coalesce(lookup(place, PLACE_ALIASES if aliases is None else aliases), place)
+
+
 def place_tags(rows: DataFrame, tags: DataFrame, place: str = "place", year: str = "yr", tag: str = "subject") -> DataFrame:
     """Records by place, tag and year."""
     return tags.join(rows.select("article_id", place, year), "article_id").groupBy(place, tag, year).agg(F.count(F.lit(1)).alias("n"))
@@ -42,7 +56,7 @@ def themes(
     scored = found.join(totals, place).join(frequency, tag).crossJoin(corpus)
     pct = 100 * F.col("n") / F.col("total")
     named = F.col(tag).isin(list(events)) if events else F.lit(False)
-    dated = F.col(tag).rlike(r"\((?:19|20)\d\d\)$")
+    dated = F.col(tag).rlike(r"\b(?:19|20)\d{2}\b(?!\s*[-–])") | F.col(tag).rlike(r"\b(?:199\d|20\d\d)\s*[-–]\s*[\d)]")  # a year, or years
     kept = scored.withColumns({
         "pct": pct,
         "score": (F.col("n") / F.col("total")) / (F.col("freq") / F.col("corpus")),

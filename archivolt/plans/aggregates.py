@@ -123,14 +123,11 @@ SELECT author, n_articles, n_shared, n_zero, avg_words, "primary",
    OR (n_articles >= 5 AND "primary" = '1-URGENT')) AND n_solo < 20 AS likely_multimedia
 FROM mart JOIN tops USING (author)"""))
 def multimedia_flag(spark, sf):
-    """The library's rule with the stand-in's own limits, which the tables can reach."""
+    """The library's rule with limits that the tables can reach."""
     credits = _credits(spark, sf)
     both = M.author_mart(credits, brief="P").join(M.primary_secondary(credits, "author", "section"), "author")
-    n = F.col("n_articles")
-    shared, zero = F.col("n_shared") / n, F.col("n_zero") / n
-    flag = ((n >= 5) & (shared >= 0.75) & (zero >= 0.05)) | ((n >= 20) & (zero >= 0.95))
-    flag |= ((n >= 5) & (shared >= 0.9) & (F.col("avg_words") < 700)) | ((n >= 5) & (F.col("primary") == "1-URGENT"))
-    return both.select("author", n, "n_shared", "n_zero", "avg_words", "primary", (flag & (F.col("n_solo") < 20)).alias("likely_multimedia"))
+    out = M.likely_multimedia(both, zero=0.05, few_words=700, audio=("1-URGENT",))
+    return out.select("author", "n_articles", "n_shared", "n_zero", "avg_words", "primary", "likely_multimedia")
 
 
 @query(sql("author record", _CREDITS + f""",

@@ -193,25 +193,58 @@ def nearest_cycle_rewrite(spark, sf):
     return records(spark, sf).select("article_id", X.nearest_cycle(tag, F.col("yr"), ["Convention"], [1992, 1996, 2000, 2004]).alias("tag"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS s FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN s || ' of the (DC)' WHEN s = 'Red Widget' THEN 'Widgets' ELSE s END AS subject FROM t""")
 def titlecase_normalise(spark, sf):
-    """Tags in capitals to title case, with a merge; the fixture of the tests has the cases."""
-    return read(spark, sf, "part", "p_partkey", "p_name").select("p_partkey", X.normalise_subject(F.upper("p_name"), {"Red Widget": "Widgets"}).alias("subject"))
+    """Tags in capitals to title case, with a merge, an old tag that is dropped, and an abbreviation."""
+    k = F.col("p_partkey")
+    tag = F.when(k % 10 == 0, "old_tag").when(k % 10 == 1, F.concat(F.upper("p_name"), F.lit(" OF THE (DC)"))).otherwise(F.upper("p_name"))
+    return read(spark, sf, "part", "p_partkey", "p_name").select(k, X.normalise_subject(tag, {"Red Widget": "Widgets"}).alias("subject"))
 
 
-@query()
+_BYLINES = (  # the text of a byline ("#": the supplier's number) and its people
+    ("By A.o. Scott# and Photographs Jane Roe/Agency, special to it", "A. O. Scott#; Jane Roe"),
+    ("By Ann Lee#, As Told To Bob Ray", "Ann Lee#; Bob Ray"),
+    ("By Ann Lee# and J Edgar Poe", "Ann Lee#; J Edgar Poe"),
+    ("Mia Mills#: Written With Al Fox", "Mia Mills#"),
+    ("This article was reported and written by Ann Lee#, Bo Day, and Cy Fox", "Ann Lee#; Bo Day; Cy Fox"),
+    ("From Wire Reports", ""),
+    ("By Ann Lee# (XYZ COMPILED BY STAFF) and Bo Day With", "Ann Lee#; Bo Day"),
+    ("and Y NEWMAN", "Andy Newman"),
+)
+
+
+def _byline_case(side: int) -> str:
+    return f"CASE s_suppkey % {len(_BYLINES)} " + " ".join(f"WHEN {i} THEN '{b[side]}'" for i, b in enumerate(_BYLINES)) + " END"
+
+
+@query(f"""SELECT s_suppkey, replace({_byline_case(1)}, '#', CAST(s_suppkey AS VARCHAR)) AS people FROM supplier""")
 def byline_parse(spark, sf):
-    names = read(spark, sf, "supplier", "s_suppkey").select(
-        "s_suppkey", F.concat(F.lit("By A.o. Scott"), F.col("s_suppkey").cast("string"), F.lit(" and Photographs Jane Roe/Agency, special to it")).alias("original")
-    )
+    """The people of eight kinds of bylines."""
+    k = F.col("s_suppkey")
+    kinds = F.array(*(F.lit(b[0]) for b in _BYLINES))
+    original = F.replace(F.element_at(kinds, (k % len(_BYLINES) + 1).cast("int")), F.lit("#"), k.cast("string"))
     none = F.lit(None).cast("array<struct<firstname:string,middlename:string,lastname:string>>")
-    people = N.byline_people("original", none)
-    return names.select("s_suppkey", F.array_join(F.transform(people, lambda p: p["fullname"]), "; ").alias("people"))
+    people = F.transform(N.byline_people(original, none), lambda p: p["fullname"])
+    return read(spark, sf, "supplier", "s_suppkey").select("s_suppkey", F.array_join(people, "; ").alias("people"))
+
+
+_SLUGGED = (  # a name ("#": the customer's number) and its page
+    ("Michael S. Schmidt#", "michael-s-schmidt#"), ("C.J. Chivers#", "c-j-chivers#"), ("Zoë O'Reilly# Jr.", "zoe-o-reilly#"), ("Dell'Antonia# KJ", "dellantonia#-kj"), ("José  Núñez-Pérez#, III", "jose-nunez-perez#"),
+)
+
+
+def _slug_case(side: int) -> str:
+    quoted = (b[side].replace("'", "''") for b in _SLUGGED)
+    return f"CASE c_custkey % {len(_SLUGGED)} " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(quoted)) + " END"
 
 
-@query("""SELECT c_mktsegment AS segment, lower(regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9 -]', ' ', 'g'), '[ -]+', '-', 'g')) AS slug FROM customer""")
+@query(f"""SELECT c_custkey, replace({_slug_case(1)}, '#', CAST(c_custkey AS VARCHAR)) AS slug FROM customer""")
 def name_slugs(spark, sf):
-    return read(spark, sf, "customer", "c_name", "c_mktsegment").select(F.col("c_mktsegment").alias("segment"), X.slug_of("c_name").alias("slug"))
+    """Page names of five kinds of names: initials, an O', an apostrophe, accents and generations."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*(F.lit(b[0]) for b in _SLUGGED)), (k % len(_SLUGGED) + 1).cast("int"))
+    return read(spark, sf, "customer", "c_custkey").select(k, X.slug_of(F.replace(name, F.lit("#"), k.cast("string"))).alias("slug"))
 
 
 @query("""SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) END::INT AS n_words FROM documents""")

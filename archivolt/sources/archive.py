@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivolt.sources.shared import delete, exists, listed
+
 #: The nested record as it is delivered; what a file lacks is null.
 RECORD = """pub_date STRING, headline STRUCT<main: STRING, print_headline: STRING, kicker: STRING>,
 byline STRUCT<original: STRING, person: ARRAY<STRUCT<firstname: STRING, middlename: STRING, lastname: STRING>>>,
@@ -84,6 +86,42 @@ def write_by_year(df: DataFrame, path: str, year: str = "yr", fmt: str = "parque
     by_year.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options).partitionBy(year).format(fmt).save(path)
 
 
+def read_overrides(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of hand-made overrides: CSV with a header (a spreadsheet saved as text) or Parquet, in the columns of `schema`.
+    Rows without any value are left out, as spreadsheets end with such."""
+    if path.rstrip("/").endswith((".csv", ".csv.gz", ".tsv")):
+        reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        rows = reader.option("sep", "\t" if path.endswith(".tsv") else ",").schema(schema).csv(path)
+    else:
+        rows = spark.read.schema(schema).parquet(path)
+    return rows.na.drop("all")
+
+
+def write_if_changed(df: DataFrame, path: str, fmt: str = "parquet", **options) -> bool:
+    """Writes `df` unless the table at `path` was written from the same rows; says whether it wrote. Rows are compared by
+    their number and two sums of hashes, which stand beside the table and don't depend on their order."""
+    row = F.xxhash64(*df.columns)
+    again = F.xxhash64(F.lit("again"), *df.columns)
+    marks = [F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31))), F.bit_xor(again), F.sum(F.pmod(again, F.lit(1 << 31)))]
+    digest = F.concat_ws(" ", F.lit(df.schema.simpleString()), *(F.coalesce(m, F.lit(0)).cast("string") for m in marks))
+    spark, mark = df.sparkSession, f"{path.rstrip('/')}.digest"
+    now = df.agg(digest.alias("value"))
+    found = now.first().value
+    if exists(spark, path) and exists(spark, mark) and spark.read.text(mark).first().value == found:
+        return False
+    df.write.mode("overwrite").format(fmt).options(**options).save(path)
+    spark.createDataFrame([(found,)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+    return True
+
+
+def remove_stale(spark: SparkSession, folder: str, keep: list[str]) -> list[str]:
+    """Deletes the tables (and their digests) in `folder` whose names aren't in `keep`; gives the names."""
+    names = [n for n in listed(spark, folder) if n.removesuffix(".digest") not in set(keep)]
+    for name in names:
+        delete(spark, f"{folder.rstrip('/')}/{name}")
+    return sorted(names)
+
+
 def round_trips(df: DataFrame, again: DataFrame) -> bool:
     """Whether two frames hold the same rows, repeats included."""
     columns = df.columns

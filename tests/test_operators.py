@@ -139,3 +139,39 @@ def test_year_of_file(spark):
     paths = [("file:///a/2018/records_2019.json",), ("b/2020_05.json",), ("none.json",)]
     got = [r.y for r in spark.createDataFrame(paths, "p string").select(A.year_of_file("p").alias("y")).collect()]
     assert got == [2019, 2020, None]
+
+
+def test_tables_are_written_once_and_stale_ones_go(spark, tmp_path):
+    df, path = spark.range(5).withColumn("x", F.lit("a")), f"file://{tmp_path}/marts/one"
+    assert [A.write_if_changed(df, path), A.write_if_changed(df.orderBy(F.desc("id")), path), A.write_if_changed(df.limit(4), path)] == [True, False, True]
+    assert A.write_if_changed(df, f"file://{tmp_path}/marts/two")
+    assert A.remove_stale(spark, f"file://{tmp_path}/marts", ["two"]) == ["one", "one.digest"]
+    assert sorted(p.name for p in (tmp_path / "marts").iterdir() if not p.name.startswith(".")) == ["two", "two.digest"]
+
+
+def test_best_match(spark):
+    day = dt.date(2024, 1, 10)
+    items = [(1, day, ["alpha", "beta"], "the long title here"), (2, day, ["gamma"], ""), (3, day, ["delta"], "ab cd ef"), (4, day, ["alpha"], "two words")]
+    pool = [
+        (10, day, ["alpha", "beta", "x", "y", "z"], "nothing"), (11, dt.date(2024, 1, 12), [], "see the long title here now"), (12, day, ["gamma"], "g"),
+        (13, dt.date(2024, 1, 14), ["delta"], "ab cd ef"), (14, day, ["alpha"] + [f"w{k}" for k in range(20)], "in two words"),
+    ]
+    schema = "k int, day date, words array<string>, title string"
+    frames = (spark.createDataFrame(r, schema).withColumnRenamed("k", n) for r, n in ((items, "item"), (pool, "partner")))
+    got = {(r.item, r.partner, r.offset, r.inside) for r in J.best_match(*frames).collect()}
+    assert got == {(1, 11, 2, True), (4, 14, 0, True)}
+
+
+def test_chains_cross_pieces_of_time(spark):
+    times = [0, 10, 20, 29, 31, 45, 46, 100, 129, 131]  # days; pieces of 30
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1) + dt.timedelta(days=t), t) for t in times], "k int, ts timestamp, t int")
+    gap = F.col("__now") - F.col("__before") > F.expr("interval 12 days")
+    got = {r.t: r.chain for r in J.chains(df, "k", F.col("ts"), gap, "t").collect()}
+    assert got == {0: 1, 10: 1, 20: 1, 29: 1, 31: 1, 45: 2, 46: 2, 100: 3, 129: 4, 131: 4}
+
+
+def test_year_tags_are_events(spark):
+    counts = spark.createDataFrame([("p", t, y, 5) for t in ("Vote (2004)", "War 2003 - 2011", "plain") for y in (2000, 2001, 2002)], "place string, subject string, yr int, n long")
+    rows = spark.createDataFrame([("p", k) for k in range(20)], "place string, article_id int")
+    found = T.themes(counts, rows, counts.groupBy("subject").agg(F.lit(1).alias("freq")), spark.range(1).select(F.lit(20).alias("corpus")))
+    assert {r.subject: r.is_event for r in found.collect()} == {"Vote (2004)": True, "War 2003 - 2011": True, "plain": False}
