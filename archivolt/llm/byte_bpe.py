@@ -32,7 +32,7 @@ _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 #: Bytes of text that one block holds; its distinct words are the corpus of one merge replay.
 BLOCK = 4 << 20
 #: Words that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 @cache
@@ -221,7 +221,7 @@ class Codec:
         return [known[w] for w in words]
 
     def _by_library(self, words: list[bytes]) -> list[list[int]]:
-        coded = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        coded = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [c.ids for c in coded]  # a pre-token by itself is one pre-token
 
     def encode(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
