@@ -28,16 +28,26 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
 
 
+#: Line hashes of the whole table that one bucket of a run is for.
+BUCKET_ROWS = 1_000_000
+
+
 @contextmanager
-def _in_order(spark: SparkSession) -> Iterator[None]:
-    """Scans of sorted buckets of one file each tell the planner their order, so merge joins don't sort them again."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _by_bucket(spark: SparkSession, buckets: int):
+    """While runs are written and joined: aggregates deal their rows by the runs' buckets, and scans of sorted buckets of one
+    file each tell the planner their order, so merge joins don't sort them again."""
+    return _settings(spark, **{"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"})
 
 
 class LineRuns:
@@ -48,9 +58,8 @@ class LineRuns:
     `fan_in` - 1 runs for each of log(batches) levels. Runs never share a hash.
     """
 
-    def __init__(self, spark: SparkSession, fan_in: int = 2):
-        self.spark, self.fan_in = spark, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, fan_in: int = 2, buckets: int = 8):
+        self.spark, self.fan_in, self.buckets = spark, fan_in, buckets
         self.levels: list[list[DataFrame]] = []
         self.tables: dict[int, tuple[str, str]] = {}
 
@@ -108,8 +117,9 @@ def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_cha
     spark = docs.sparkSession
     lines = stored(line_hashes(docs, min_chars).where("doc_id IS NOT NULL"), "line-hashes")
     edges = [None, *(_cuts(lines, n_batches) if n_batches > 1 else []), None]
-    runs, found = LineRuns(spark, fan_in), []
-    with _in_order(spark):
+    buckets = min(100_000, max(8, lines.count() // BUCKET_ROWS))  # 100,000 is Spark's own limit
+    runs, found = LineRuns(spark, fan_in, buckets), []
+    with _by_bucket(spark, buckets):
         for k, (low, high) in enumerate(zip(edges, edges[1:])):
             batch = lines
             if low is not None:

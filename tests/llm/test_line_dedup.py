@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from archivolt.llm.line_dedup import OP7_SQL, LineRuns, _in_order, drop_repeated_lines, op7_line_dedup
+from archivolt.llm.line_dedup import OP7_SQL, LineRuns, _by_bucket, drop_repeated_lines, op7_line_dedup
 from tests.llm.test_pipeline import brute_lines
 
 
@@ -51,7 +51,7 @@ def test_runs_stay_sorted_and_merge_without_exchange(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        with _in_order(spark):
+        with _by_bucket(spark, runs.buckets):
             anti = a.join(b, ["h1", "h2"], "left_anti")
             plan = anti._jdf.queryExecution().executedPlan().toString()
             assert anti.count() == 1000 and "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
