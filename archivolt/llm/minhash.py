@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from archivolt.llm.common import stored, texts
-from archivolt.llm.simhash import components
+from archivolt.llm.components import components
 
 #: A pair of similarity s meets in some band with probability 1 - (1 - s**ROWS)**BANDS: 0.9994 at 0.8.
 BANDS, ROWS = 40, 8
@@ -97,16 +97,31 @@ def _ring(placed: DataFrame, turn: int) -> DataFrame:
     return pairs.select(*_pair("p.l.node", "p.r.node")).distinct()
 
 
-def _crossed(placed: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): all pairs that share a band and no label, without those whose sizes alone keep them under `least`."""
-    sides = placed.groupBy("key", "label").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
-    several = sides.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    open_ = sides.join(several, "key", "left_semi")
-    other = open_.select("key", F.col("label").alias("label_b"), F.col("nodes").alias("nodes_b"))
-    met = open_.join(other, "key").where("label < label_b").select(F.explode("nodes").alias("x"), "nodes_b")
-    pairs = met.select("x", F.explode("nodes_b").alias("y"))
-    low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    return pairs.where(low * least.denominator >= high * least.numerator).select(*_pair("x.node", "y.node")).distinct()
+def _open(placed: DataFrame) -> DataFrame:
+    """The entries of bands that hold several labels."""
+    bands_ = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return placed.join(bands_, "key", "left_semi")
+
+
+def _crossed(open_: DataFrame, grams: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): all pairs that share a band and no label and that can be of similarity `least`.
+
+    A shingle that no other open text has is shared with nobody, so a text shares at most its `held` other ones. Texts that
+    hold too few for any partner leave before pairs are made, and the join itself leaves out pairs whose sizes and held
+    shingles keep them under `least`. Both bounds are exact; in a cloud of near copies they take out the texts with many
+    changes of their own, which else would meet all others.
+    """
+    top, whole = least.numerator, least.denominator
+    own = grams.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.explode("grams").alias("gram"))
+    common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    held = own.join(common, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    held = stored(held, "near-held")
+    entries = open_.join(held, "node").where(F.col("held") * whole >= F.col("size") * top).select("key", "label", "node", "size", "held")
+    x, y = (entries.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("label", "node", "size", "held"))) for k in "xy")
+    shared = F.least("held_x", "held_y")
+    fits = (shared * (whole + top) >= (F.col("size_x") + F.col("size_y")) * top) & (F.col("label_x") < F.col("label_y"))
+    pairs = x.join(y, (x.key == y.key) & fits)
+    return pairs.select(*_pair("node_x", "node_y")).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8") -> DataFrame:
@@ -116,8 +131,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start. Classes that share a band of their MinHash signatures are candidates. First each is compared with one other,
     the smallest class it shares a band with; while many pairs of a band are still open, with its neighbours in rings of
     changing order. So a cloud of near copies is joined without making its pairs. At last every pair of a band that is
-    not connected yet is compared, and no band is capped: what is lost are only pairs that meet in no
-    band. Wordless texts are one class. Null and repeated ids are as in `near_duplicates`.
+    not connected yet and that can reach `least` is compared, and no band is capped: what is lost are only pairs that meet
+    in no band. Wordless texts are one class. Null and repeated ids are as in `near_duplicates`.
     """
     ratio = Fraction(least)
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
@@ -147,7 +162,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed = met.select("node", "size", "key").join(labels, "node")
         before, left, turn = left, _open_pairs(placed), turn + 1
     if left:
-        rest = _crossed(placed, ratio).join(tried, ["a", "b"], "left_anti")
+        rest = _crossed(_open(placed), grams, ratio).join(tried, ["a", "b"], "left_anti")
         labels = components(nodes, near.unionByName(stored(_verified(rest, grams, ratio), "near-pairs")))
     roots = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     known = labels.join(roots, "label").select("node", "component_id")

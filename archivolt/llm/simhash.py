@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from archivolt.llm.common import drop_stored, stored, table, texts
+from archivolt.llm.common import stored, table, texts
+from archivolt.llm.components import components
+from archivolt.llm.minhash import similar_groups
 
 #: Largest table bucket that probes are verified against one by one; larger ones take the whole-fingerprint balls.
 COLD_BUCKET = 64
@@ -49,17 +52,17 @@ def _bit_counts(digests: list[bytes]) -> np.ndarray:
     return np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_py()) for t in batch.column("body")]
+        prints = [fingerprint(t.as_py(), shingle) for t in batch.column("body")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every document."""
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = body.schema["doc_id"].dataType.simpleString()
-    return body.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    return body.mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp bigint")
 
 
 def _distance(a, b):
@@ -131,52 +134,25 @@ def links(prints: DataFrame) -> DataFrame:
     return verified.unionByName(stars.where((F.col("a") != F.col("b")) & (_distance("a", "b") <= 2)).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.pmod(mark, F.lit(1 << 31)))).first())
-
-
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label) where label is the smallest node reachable over `edges` (a, b).
-
-    Alternating large-star and small-star rounds, each written to the shared folder; every round is a shuffle by node
-    with partial aggregation, and the rounds needed grow with the logarithm of the longest path.
-    """
-    links_ = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    links_ = stored(links_, "links")
-    before = _state(links_)
-    for _ in range(max_rounds):
-        both = links_.unionByName(links_.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = stored(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = _state(small)
-        drop_stored(links_)
-        links_ = small
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # every root is the least of its star now
-    return nodes.join(links_.withColumnRenamed("u", "node"), "node", "left").select(
-        "node", F.coalesce("v", "node").alias("label")
-    )
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: str | None = None
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
+    With `similarity` (a decimal such as "0.8"), texts link at that Jaccard similarity of their sets of `shingle`-word
+    shingles or more, compared exactly, and no fingerprint is returned. Two texts of similarity 0.8 differ in 10 bits of 64
+    in the mean and often in 18, for which no small balls of segments are left that tell them from strangers; so this form
+    takes its candidates from MinHash bands (see `similar_groups`). The rest holds without it:
+
     Fingerprints link at two or fewer differing bits; component_id is the smallest doc_id reachable, itself included.
     Equal fingerprints are one class from the start, so copies of a text cost one row each and no pairs.
     A null or wordless text has fingerprint zero and is linked like any other. A null doc_id keeps its row; it is never
-    a component_id unless no other id is reachable. Rows that repeat a doc_id keep their own rows.
+    a component_id unless no other id is reachable. Rows that repeat a doc_id keep their own rows. An empty table gives an
+    empty one. A long text is hashed 65,536 shingles at a time.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    if similarity is not None:
+        return similar_groups(docs, id_col, text_col, shingle, similarity)
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     labels = components(classes.select(F.col("fp").alias("node")), links(classes.select("fp")))
     roots = labels.join(classes, labels.node == classes.fp).groupBy("label").agg(F.min("least").alias("component_id"))

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from archivolt.llm import simhash
-from archivolt.llm.simhash import components, fingerprint, links, near_duplicates, op1_simhash_near_dedup
+from archivolt.llm.components import components
+from archivolt.llm.simhash import fingerprint, links, near_duplicates, op1_simhash_near_dedup
 
 
 def brute_fingerprint(text):
