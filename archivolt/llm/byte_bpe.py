@@ -319,7 +319,8 @@ def round_trip(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_
     A block of documents is the corpus of a merge replay: its distinct words that the worker doesn't remember are merged
     together. A word's ids don't depend on the rest of the corpus, so blocks need no exchange, memory is bounded by the
     block (or the longest text) and a lost task is simply run again. Null and empty texts have no ids. Rows are
-    independent, so null and repeated ids pass through. `path`: a rank file or JSON vocabulary, local to each executor.
+    independent, so null and repeated ids pass through. An empty table gives an empty one. A long word without blanks is
+    merged by a queue, in time of about its length. `path`: a rank file or JSON vocabulary, local to each executor.
     """
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = body.schema["doc_id"].dataType.simpleString()

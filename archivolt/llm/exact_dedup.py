@@ -10,18 +10,20 @@ from archivolt.llm.common import BLANKS, stored, table, texts
 _KEY = ("digest", "check", "n_norm")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 32) -> DataFrame:
     """One row per document with the representative of its group of equal texts.
 
     Texts are equal when identical after deleting blanks; the copy with the most code points, then the smallest id,
     stays. Every input partition forms one sorted run of (SHA-256, XXH64, length) rows, written once to the shared
-    folder. Runs are then merged `fan_in` at a time in rounds: run r goes to run r // fan_in, and each round keeps one
-    row per key with the best identifier and the summed size. A merge needs all three parts of the key to agree. A hot
-    text is down to one row per run before the first exchange, and each merged run stays spread over all partitions by
-    its digest, so no task gathers a group or a whole run.
+    folder. Runs are then merged `fan_in` at a time in rounds, as many as the logarithm of their number to that base: run r
+    goes to run r // fan_in, whose rows are put in order by digest and read once in that order (a sort aggregate), which
+    keeps one row per key with the best identifier and the summed size. A merge needs all three parts of the key to agree;
+    texts aren't compared again. A hot text is down to one row per run before the first exchange, and each merged run stays
+    spread over all partitions by its digest, so no task gathers a group or a whole run.
 
     Null and empty texts (and blank ones) are one group. A null id ranks before any other. Rows that repeat an id are
-    counted in group_size; each of them has the same verdict. An empty table gives an empty result.
+    counted in group_size; each of them has the same verdict. An empty table gives an empty result. Of a long text only the
+    normalised copy and its digests are made, in one task's memory.
     Columns: doc_id, keep_id, group_size, kept, text_sha256.
     """
     norm = F.translate("text", BLANKS, "")

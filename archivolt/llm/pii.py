@@ -257,7 +257,8 @@ def detect(docs: DataFrame) -> DataFrame:
     base holds the valid matches of the four base patterns; spans has these and the candidates (secrets, bare numbers)
     that the classifier gives more than even odds. Two scans and one exchange of pattern counts; documents never move.
     A null or empty text has no spans. Rows are independent, so null or repeated ids don't matter. Columns named base
-    and spans are replaced.
+    and spans are replaced. An empty table gives an empty one. A long text is searched whole: every pattern takes time in
+    proportion to it, and sums over its matches are made in blocks.
     """
     return _detected(docs.drop("base", "spans")).withColumnsRenamed({"__base": "base", "__spans": "spans"})
 
@@ -287,8 +288,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_spans: all spans, with those that the classifier adds (secrets and bare numbers)."""
     found = detect(table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *(count(k) for k in BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
+        "doc_id", *(count(k) for k in BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

@@ -15,7 +15,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
     The model learns from at most `max_rows` labelled rows whose crc32(doc_id as text) mod 4 isn't 2. Scoring is one
     scan without any exchange: the flattened trees travel with the task. A null text is scored as an empty one; a null
     doc_id keeps its row and isn't held out. Labels that are null or whose document is missing teach nothing; without
-    labels every score is 0.5.
+    labels every score is 0.5. Repeated rows are scored alike. An empty table gives an empty one. A long text is measured
+    whole, in memory of a few times its size.
     """
     score = scorer(train(docs, labels, max_rows))
     return (

@@ -16,7 +16,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows:
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed,
     and the trees give at least `threshold`. The trees never score a document higher for more symbols, repeated lines,
     repeated words, shouting or bars. They learn from at most `max_rows` labelled rows. One scan, no exchange. A null
-    or empty text has no words and fails; without labels the base rules decide alone.
+    or empty text has no words and fails; without labels the base rules decide alone. Repeated rows are judged alike. An empty
+    table gives an empty one. A long text is measured whole, in memory of a few times its size.
     """
     sense = {FEATURES.index(name): -1 for name in DECREASING}
     score = scorer(train(docs, labels, max_rows, monotone=sense))

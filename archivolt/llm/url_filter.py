@@ -20,20 +20,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _HOST, 1))
 
 
-def list_keys(url: Column, max_segments: int | None = 2) -> Column:
-    """Array of {key, rank}: the host and its parent domains down to two labels, and its prefixes of path segments, of at
-    most `max_segments` (None: all)."""
+def list_keys(url: Column, max_segments: int | None = None) -> Column:
+    """Array of {key, rank}: the host and its parent domains down to two labels (a host of one label is a key itself), and its
+    prefixes of path segments, of at most `max_segments` (None: all)."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
-        F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
+        F.when(host != "", F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.array_join(F.slice(labels, i, n - i + 1), ".").alias("key"), (n - i + 1).alias("rank")),
     )
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
     deep = F.size(segments) if max_segments is None else F.least(F.size(segments), F.lit(max_segments))
     paths = F.transform(
-        F.when((deep >= 1) & (n >= 2), F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")),
+        F.when((deep >= 1) & (host != ""), F.sequence(F.lit(1), deep)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             F.concat_ws("/", host, F.array_join(F.slice(segments, 1, i), "/")).alias("key"), (i + _PATH_RANK).alias("rank")
         ),
@@ -59,10 +59,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     specific key that has one decides. Captures of one URL at one time are judged once and the verdict is joined back,
     so every row stays; the joins are equi-joins that adaptive execution can split at a hot domain, and nothing is
     broadcast on trust. A null or malformed URL and a null time get "none". Columns named like the results are replaced.
+    Repeated rows are judged alike. No captures give no rows; without entries every verdict is "none". A long URL has as many
+    keys as it has labels and segments, which grow with the square of its length.
     """
     rows = captures.drop("verdict", "list_key", "listed_since")
     asked = rows.select(F.col(url_col).alias("__url"), F.col(time_col).alias("__at")).where("__url IS NOT NULL AND __at IS NOT NULL")
-    keyed = asked.distinct().select("__url", "__at", F.explode(list_keys(F.col("__url"), None)).alias("k")).select("__url", "__at", "k.*")
+    keyed = asked.distinct().select("__url", "__at", F.explode(list_keys(F.col("__url"))).alias("k")).select("__url", "__at", "k.*")
     spans = validity(entries).withColumnRenamed("key", "list_key")
     holds = (F.col("key") == F.col("list_key")) & (F.col("since") <= F.col("__at"))
     holds &= F.col("until").isNull() | (F.col("__at") < F.col("until"))
@@ -87,7 +89,7 @@ def _number(text: Column, at: int, size: int) -> Column:
 def sample_list(pages: DataFrame) -> DataFrame:
     """A dated list over the pages' own keys (the tables have none): by the key's MD5, six in sixteen keys are blocked
     on some day of 2024, allowed again some weeks later, and half of those blocked once more."""
-    keys = pages.select(F.explode(list_keys(F.col("url"), 1)).alias("k")).select("k.key").distinct()
+    keys = pages.select(F.explode(list_keys(F.col("url"))).alias("k")).select("k.key").distinct()
     keys = keys.withColumn("m", F.md5("key")).where(_number(F.col("m"), 1, 1) < 6)
     first = _number(F.col("m"), 2, 4) % 366
     allowed = first + 20 + _number(F.col("m"), 6, 2)
@@ -116,12 +118,12 @@ WITH caps AS (
   FROM pages),
 parts AS (SELECT *, string_split(host, '.') AS labels FROM caps),
 keyed AS (
-  SELECT page_id, fetched, array_to_string(labels[i:], '.') AS key, len(labels) - i + 1 AS rank, i AS depth, 'd' AS kind
-  FROM parts, range(1, 12) r(i) WHERE i <= len(labels) - 1
+  SELECT page_id, fetched, array_to_string(labels[i:], '.') AS key, len(labels) - i + 1 AS rank
+  FROM (SELECT *, unnest(range(1, greatest(len(labels), 2))) AS i FROM parts WHERE host <> '')
   UNION ALL
-  SELECT page_id, fetched, host || '/' || array_to_string(segs[:i], '/'), 1000 + i, i, 'p'
-  FROM parts, range(1, 3) r(i) WHERE i <= len(segs) AND len(labels) >= 2),
-m AS (SELECT key, md5(key) AS m FROM (SELECT DISTINCT key FROM keyed WHERE kind = 'd' OR depth = 1)),
+  SELECT page_id, fetched, host || '/' || array_to_string(segs[:i], '/'), 1000 + i
+  FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM parts WHERE host <> '')),
+m AS (SELECT key, md5(key) AS m FROM (SELECT DISTINCT key FROM keyed)),
 n AS (
   SELECT key, CAST('0x' || m[1:1] AS INT) AS pick, CAST('0x' || m[2:5] AS INT) % 366 AS first,
          20 + CAST('0x' || m[6:7] AS INT) AS later, CAST('0x' || m[8:8] AS INT) % 2 AS odd FROM m),

@@ -57,6 +57,56 @@ def test_query_matches_brute_force(spark, sf_dir):
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k) for s in want) for k in PATTERNS]
 
 
+def brute_candidates(text):
+    """{feature: value} with start and end of the further candidates of a text, voted one by one."""
+    text = text or ""
+    taken = [tuple(map(int, s.split(":")[1:])) for s in brute(text)]
+    sign = lambda yes, no: 1 if yes else -1 if no else 0
+    out = []
+    for kind, pattern in (("secret", pii.SECRET), ("number", pii.NUMBER)):
+        last = 0
+        for m in re.finditer(pattern, text):
+            before, match, low = text[last : m.start()][-24:].lower(), m[0], m[0].lower()
+            last = m.end()
+            if kind == "number" and len(re.sub("[^0-9]", "", match)) < 9 or any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            if kind == "secret":
+                shape = sign(re.search("^(?:[0-9a-f]{24,}|[0-9A-F]{24,})$", match), re.search("^[0-9_-]+$", match))
+                known = sign(low.startswith(pii.SECRET_STARTS), False)
+            else:
+                shape = sign(
+                    re.search(r"^(?:[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$", match),
+                    re.search(r"^(?:[0-9]+\.[0-9]+|(?:19|20)[0-9]{2}[-. ][0-9]{1,2}[-. ][0-9]{1,2}.*)$", match),
+                )
+                known = sign(False, match.startswith(("19", "20", "0.")))
+            near = [re.search(r"(?:^|[^a-z])(?:" + "|".join(w) + r")[^a-z]*$", before) for w in (pii.ASKED, pii.OTHER)]
+            values = {"regex": shape, "gazetteer": known, "context": sign(*near), "kind": kind, "size": min(len(match) // 8, 5),
+                      "after_sign": bool(re.search("[=:][^a-z0-9]*$", before))}
+            out.append((m.start(), m.end(), values))
+    return out
+
+
+def test_added_spans_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model, added = pii.train(docs), 0
+    got = {r.doc_id: r for r in op5_pii(spark, sf_dir).collect()}
+    for r in docs.collect():
+        want = brute(r.text)
+        for start, end, values in brute_candidates(r.text):
+            if model["bias"] + sum(model[f].get(v, 0.0) for f, v in values.items()) > 0:
+                want.append(f"{values['kind']}:{start}:{end}")
+                added += 1
+        spans = got[r.doc_id].spans
+        assert sorted(filter(None, spans.split(","))) == sorted(want) and got[r.doc_id].n_spans == len(want)
+    assert added
+
+
+def test_long_texts(spark):
+    rows = [(1, "7" * 300_000), (2, "1.2.3.4 " * 20_000), (3, "x" * 400_000), (4, "a@b.cc " * 20_000)]
+    got = {r.doc_id: (r.n, r.first) for r in detect(spark.createDataFrame(rows, "doc_id bigint, text string")).selectExpr("doc_id", "size(base) AS n", "get(base, 0).end AS first").collect()}
+    assert got == {1: (0, None), 2: (20_000, 7), 3: (0, None), 4: (20_000, 6)}
+
+
 def test_prefix_sums_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(pii, "_BLOCK", 3)
     row = spark.range(1).select(pii._offsets(F.sequence(F.lit(1), F.lit(10)).cast("array<bigint>"))).first()

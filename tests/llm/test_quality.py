@@ -42,6 +42,48 @@ def test_long_texts_count_the_same(monkeypatch):
     assert repeat_words([b"a"] * 4) == 0
 
 
+def brute_features(text):
+    """The models' statistics, counted one by one."""
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, repeats, _ = brute_counts(text)
+    w, c = max(n, 1), max(chars, 1)
+    of = lambda marks: sum(x in marks for x in text)
+    return [
+        symbols / w, dup / max(len(lines), 1), repeats / w, sum(a == b for a, b in zip(words, words[1:])) / w, of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c,
+        of("!") / w, of("|") / w, len(set(words)) / w, c / w, of("0123456789") / c, of(".") / w, of(",") / w, float(np.log1p(n)),
+        n / max(len(lines), 1), of('"=') / w,
+    ]
+
+
+def walk(forest, row):
+    """The probability of one row, by a walk down every tree."""
+    total = forest.base
+    for at in forest.roots:
+        while forest.left[at] != at:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        total += forest.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_match_a_walk_of_every_tree(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: brute_features(r.text) for r in docs.collect()}
+    forest = statistics.train(docs, labels)
+    got = {r.doc_id: r.score for r in op9_quality_classifier(spark, sf_dir).collect()}
+    assert set(got) == set(rows) and all(abs(got[i] - walk(forest, x)) < 1e-9 for i, x in rows.items())
+    sense = {statistics.FEATURES.index(name): -1 for name in statistics.DECREASING}
+    forest = statistics.train(docs, labels, monotone=sense)
+    for r in op10_quality_rules(spark, sf_dir).collect():
+        assert r.kept == (not r.base_failed and bool(walk(forest, rows[r.doc_id]) >= 0.5))
+    for f, name in enumerate(statistics.FEATURES):
+        if name in statistics.DECREASING:  # more of it never makes a document better
+            for x in list(rows.values())[:40]:
+                more = [*x[:f], x[f] + 0.1, *x[f + 1 :]]
+                assert walk(forest, more) <= walk(forest, x) + 1e-12
+
+
 def test_held_out_accuracy(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
     got = op9_quality_classifier(spark, sf_dir).toPandas()
