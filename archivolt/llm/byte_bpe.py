@@ -9,10 +9,10 @@ import os
 import re
 import sys
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +32,7 @@ _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 #: Bytes of text that one block holds; its distinct words are the corpus of one merge replay.
 BLOCK = 4 << 20
 #: Words that a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 @cache
@@ -203,7 +203,7 @@ class Codec:
         self.replay = MergeReplay(ranks)
         self.library, self.added = library, added or {}
         self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}  # a word's ids as 32-bit integers, a third of a list's memory
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1 + len(self.added))
         for t, r in {**ranks, **self.added}.items():
             self.pieces[r] = t
@@ -211,18 +211,21 @@ class Codec:
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.offsets = np.cumsum(self.lengths) - self.lengths
 
-    def _words(self, words: list[bytes]) -> list[list[int]]:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         known = self.known
         new = [w for w in words if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = words
-        known.update(zip(new, self._by_library(new) if self.library else self.replay.encode(new)))
+        coded = self._by_library(new) if self.library else self.replay.encode(new)
+        known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, coded))
         return [known[w] for w in words]
 
-    def _by_library(self, words: list[bytes]) -> list[list[int]]:
-        coded = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [c.ids for c in coded]  # a pre-token by itself is one pre-token
+    def _by_library(self, words: list[bytes]) -> Iterator[list[int]]:
+        for i in range(0, len(words), 10_000):
+            part = [w.decode() for w in words[i : i + 10_000]]
+            for coded in self.library.encode_batch_fast(part, add_special_tokens=False):
+                yield coded.ids  # a pre-token by itself is one pre-token
 
     def encode(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)."""
@@ -260,8 +263,8 @@ class Codec:
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         each = self._words(coded.dictionary.to_pylist())
-        flat = np.fromiter(chain.from_iterable(each), np.int32)
-        lengths = np.fromiter(map(len, each), np.int64)
+        flat = np.frombuffer(b"".join(each), np.int32)
+        lengths = np.fromiter(map(len, each), np.int64) // 4
         place = coded.indices.to_numpy()
         count = lengths[place]
         total = np.append(0, np.cumsum(count))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from archivolt.llm.common import stored, texts
+from archivolt.llm.byte_bpe import blocks
+from archivolt.llm.common import drop_stored, stored, texts
 from archivolt.llm.components import components
 
 #: A pair of similarity s meets in some band with probability 1 - (1 - s**ROWS)**BANDS: 0.9994 at 0.8.
@@ -49,11 +50,15 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _classed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [words_of(t.as_py()) for t in batch.column("body")]
-        digests = pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-        grams = [shingles(w, size) for w in words]
-        keys, sizes = pa.array(map(bands, grams), pa.list_(pa.int64())), pa.array(map(len, grams), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, keys, sizes], ["doc_id", "node", "keys", "size"])
+        digests, keys, sizes = [], [], []
+        for body in batch.column("body"):  # one text's words at a time
+            words = words_of(body.as_py())
+            grams = shingles(words, size)
+            digests.append(xxh3_128_digest(b" ".join(words)))
+            keys.append(bands(grams))
+            sizes.append(len(grams))
+        columns = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys", "size"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +69,9 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(words_of(t.as_py()), size).view(np.int64) for t in batch.column("body")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "grams"])
+        for part in blocks(batch):
+            found = [shingles(words_of(t.as_py()), size).view(np.int64) for t in part.column("body")]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "grams"])
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, least: Fraction) -> DataFrame:
