@@ -286,3 +286,23 @@ def record_match_pool(spark, sf):
     rows = headlines(spark, sf).join(subjects, "article_id").withColumn("url", F.lit("/-/"))
     pool = J.match_pool(rows.withColumn("day", F.lit("2024-01-01").cast("date")), "article_id", "day", "headline", "url", "subjects")
     return pool.select(F.col("partner").alias("article_id"), "title", F.size("words").alias("n_words"))
+
+
+@query("""SELECT page_id, CAST(k AS INT) AS no, CASE k WHEN 0 THEN 'An article on Dec. 30 about page ' || page_id || ' misstated "The Title ' || page_id || '" in it.'
+    ELSE 'Because of an editing error, a caption on page ' || page_id || ' was wrong & late.' END AS text,
+  CASE WHEN k = 0 AND page_id % 2 = 0 THEN '/2024/01/02/x/' || page_id || '.html' END AS link, CASE k WHEN 0 THEN 'The Title ' || page_id END AS headline,
+  CASE k WHEN 0 THEN '2023-12-30' ELSE '2024-01-05' END AS refers_to FROM pages, range(2) r(k) WHERE k = 0 OR page_id % 3 <> 0""")
+def correction_page_items(spark, sf):
+    """Corrections of pages made up by the page's id: links, quoted headlines, dates, footers and paragraphs that are none."""
+    k = F.col("page_id")
+    text = k.cast("string")
+    link = F.when(k % 2 == 0, F.concat(F.lit('<a class="x" href="https://site/2024/01/02/x/'), text, F.lit('.html?a=1">it</a>'))).otherwise(F.lit("<a href='https://site/pageoneplus/c.html'>it</a>"))
+    html = F.concat(
+        F.lit("<script>var p='<p>An article here is a long enough paragraph</p>'</script><nav>x</nav><p>An article on Dec. 30 about page "), text,
+        F.lit(" misstated &quot;The Title "), text, F.lit("&quot; in "), link, F.lit(".</p><p>Short.</p><p>A paragraph of enough length that is no correction at all</p>"),
+        F.when(k % 3 != 0, F.concat(F.lit("<p class=c>Because of an editing error, a <b>caption</b> on page "), text, F.lit(" was wrong &amp; late.</p>"))).otherwise(""),
+        F.lit("<p>An item: Errors are corrected during the press run whenever possible.</p>"),
+    )
+    day = F.lit("2024-01-05").cast("date")
+    items = read(spark, sf, "pages", "page_id").select(k, F.posexplode(X.correction_items(html)).alias("no", "i")).select("page_id", "no", "i.*")
+    return items.withColumn("refers_to", D.reference_date(F.col("text"), day).cast("string"))
