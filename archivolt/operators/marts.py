@@ -173,9 +173,11 @@ def reaggregated(mart: DataFrame, credits: DataFrame, name: str, author: str = "
     return mart.where(F.col(author) != name).unionByName(own.select(mart.columns))
 
 
-def pair_counts(df: DataFrame, group: str, item: str) -> DataFrame:
+def pair_counts(df: DataFrame, group: str, item: str, only: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of different items within a group and the number of groups they share. The pairs of a group are
-    made by two explodes of its own small array (contributors or tags of one record), so no join shuffles the groups."""
+    made by two explodes of its own small array (contributors or tags of one record), so no join shuffles the groups.
+    only: (item), the items that count, as the authors who have a page."""
+    df = df.join(only.select(item).distinct(), item, "left_semi") if only is not None else df
     sets = df.groupBy(group).agg(F.collect_set(item).alias("__s"))
     pairs = sets.select("__s", F.explode("__s").alias(item)).select(item, F.explode("__s").alias("other"))
     return pairs.where(F.col(item) != F.col("other")).groupBy(item, "other").agg(F.count(F.lit(1)).alias("n"))

@@ -43,6 +43,17 @@ def fallback_join(rows: DataFrame, row_id: str, steps: list[DataFrame], order: l
     return rows.join(ranked(hits, [row_id], [F.asc("step"), *order], 1, "__r").drop("__r"), row_id, "left")
 
 
+def split_join(rows: DataFrame, splits: DataFrame, key: str, parts: str) -> DataFrame:
+    """One row into several: where `splits` (key, parts array<struct>) has the row's key, a row for each part, in which the
+    part's fields replace the row's columns of these names; other rows stay. `no` numbers a row's parts from 0."""
+    fields = [f.name for f in splits.schema[parts].dataType.elementType.fields]
+    own = F.array(F.struct(*(F.col(c).cast(t.dataType).alias(c) for c, t in zip(fields, splits.schema[parts].dataType.elementType.fields))))
+    several = splits.select(F.col(key).alias("__key"), F.col(parts).alias("__parts"))
+    joined = rows.join(several, F.col(key) == F.col("__key"), "left")
+    out = joined.select(*rows.columns, F.posexplode(F.coalesce("__parts", own)).alias("no", "__part"))
+    return out.select(*(F.col(f"__part.{c}").alias(c) if c in fields else F.col(c) for c in rows.columns), "no")
+
+
 def closure(pairs: DataFrame, key: str, value: str, hops: int = 3) -> DataFrame:
     """key -> value followed through up to `hops` links, so a chain of overrides is one lookup."""
     out = pairs.select(key, value)

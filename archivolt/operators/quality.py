@@ -15,6 +15,18 @@ def zero_rate(df: DataFrame, key: str, value: str, least: int = 50, rate: float
     return out.withColumn("rate", F.col("n_zero") / F.col("n")).where((F.col("n") >= least) & (F.col("rate") > rate))
 
 
+def rare(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Keys of at most `most` rows, which may be misspelt."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+
+
+def filled_rate(df: DataFrame, by: str, given: Column, found: Column) -> DataFrame:
+    """By group: the rows where `given` holds, and the share of them where `found` holds too (bylines that gave a person,
+    records that have a headline)."""
+    out = df.where(given).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(found).alias("n_found"))
+    return out.withColumn("rate", F.col("n_found") / F.col("n"))
+
+
 def unmapped(df: DataFrame, key: str, known: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent values that a mapping lacks."""
     lacking = df.join(known.select(key), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -23,6 +23,12 @@ def canonical_place(place: Column, aliases: dict[str, str] | None = None) -> Col
     return F.coalesce(lookup(place, PLACE_ALIASES if aliases is None else aliases), place)
 
 
+def clean_places(rows: DataFrame, place: str, stop: list[str] = (), merges: dict[str, str] | None = None) -> DataFrame:
+    """`rows` without the places of a stop list, and with places that are parts or old names of another under that name."""
+    kept = rows.where(~F.col(place).isin(list(stop))) if stop else rows
+    return kept.withColumn(place, F.coalesce(lookup(F.col(place), merges or {}), F.col(place)))
+
+
 def place_tags(rows: DataFrame, tags: DataFrame, place: str = "place", year: str = "yr", tag: str = "subject") -> DataFrame:
     """Records by place, tag and year."""
     return tags.join(rows.select("article_id", place, year), "article_id").groupBy(place, tag, year).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from archivolt.functions import dates as D
+from archivolt.functions import names as N
 from archivolt.functions import text as X
 from archivolt.operators import classify as C
 from archivolt.operators import marts as M
@@ -306,3 +307,58 @@ def correction_page_items(spark, sf):
     day = F.lit("2024-01-05").cast("date")
     items = read(spark, sf, "pages", "page_id").select(k, F.posexplode(X.correction_items(html)).alias("no", "i")).select("page_id", "no", "i.*")
     return items.withColumn("refers_to", D.reference_date(F.col("text"), day).cast("string"))
+
+
+@query("""SELECT p_partkey, p_name, p_size, CAST(0 AS INT) AS no FROM part WHERE p_partkey % 5 <> 0 UNION ALL
+SELECT p_partkey, CASE k WHEN 0 THEN 'first ' ELSE 'second ' END || p_name, CASE k WHEN 0 THEN 1 ELSE p_size END, CAST(k AS INT) FROM part, range(2) r(k) WHERE p_partkey % 5 = 0""")
+def split_table_join(spark, sf):
+    """Records of two people, split by a table of their parts; the others stay."""
+    rows = read(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    part = lambda word, size: F.struct(F.concat(F.lit(word), "p_name").alias("p_name"), size.alias("p_size"))
+    splits = rows.where("p_partkey % 5 = 0").select("p_partkey", F.array(part("first ", F.lit(1).cast(rows.schema["p_size"].dataType)), part("second ", F.col("p_size"))).alias("parts"))
+    return J.split_join(rows, splits, "p_partkey", "parts")
+
+
+@query(sql("author", """, c AS (SELECT author, count(*) AS n FROM author GROUP BY 1), k AS (SELECT author FROM c WHERE n >= (SELECT median(n) FROM c)),
+o AS (SELECT * FROM author WHERE author IN (SELECT author FROM k))
+SELECT a.author, b.author AS other, count(*) AS n FROM o a JOIN o b ON a.article_id = b.article_id AND a.author <> b.author GROUP BY ALL"""))
+def coauthors_exported(spark, sf):
+    """Co-authors among the authors who have a page of their own: here those of at least the median number of records."""
+    names = article_author(spark, sf)
+    counts = names.groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+    half = counts.agg(F.median("n").alias("m"))
+    return M.pair_counts(names, "article_id", "author", counts.crossJoin(half).where("n >= m"))
+
+
+@query(sql("article", """ SELECT CASE place WHEN 'NATION_2' THEN 'NATION_1' WHEN 'NATION_3' THEN 'NATION_1' ELSE place END AS place, count(*) AS n
+FROM article WHERE place NOT IN ('NATION_5', 'NATION_6') GROUP BY 1"""))
+def places_cleaned(spark, sf):
+    rows = T.clean_places(articles(spark, sf), "place", ["NATION_5", "NATION_6"], {"NATION_2": "NATION_1", "NATION_3": "NATION_1"})
+    return rows.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand, n FROM c WHERE n <= (SELECT CAST(floor(avg(n)) AS BIGINT) FROM c)""")
+def rare_keys(spark, sf):
+    rows = read(spark, sf, "part", "p_brand")
+    mean = rows.agg((F.count(F.lit(1)) / F.count_distinct("p_brand")).alias("m")).first().m
+    return Q.rare(rows, "p_brand", int(mean))
+
+
+@query("""SELECT c_mktsegment AS segment, count(*) AS n, count(*) FILTER (c_custkey % 4 < 2) AS n_found, count(*) FILTER (c_custkey % 4 < 2) / count(*) AS rate
+FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1""")
+def byline_parse_rate(spark, sf):
+    """The share of bylines that give a person: names, lists, wire reports; records without a byline don't count."""
+    k = F.col("c_custkey")
+    original = _pick(k, "By Ann Lee", "Ann Lee and Bo Day", "From Wire Reports", None)
+    none = F.lit(None).cast("array<struct<firstname:string,middlename:string,lastname:string>>")
+    rows = read(spark, sf, "customer", "c_custkey", "c_mktsegment").select(F.col("c_mktsegment").alias("segment"), original.alias("original"))
+    people = rows.withColumn("n", F.size(N.byline_people("original", none)))
+    return Q.filled_rate(people, "segment", F.col("original").isNotNull(), F.col("n") > 0)
+
+
+@query(sql("record", " SELECT yr, section, count(*) AS n FROM record WHERE yr IN (1995, 1997) GROUP BY ALL"))
+def year_folder_scan(spark, sf):
+    """Two years of a table that is kept in a folder for each year."""
+    path = new_folder(spark, "years")
+    A.write_by_year(records(spark, sf).select("yr", "section", "article_id"), path)
+    return A.read_years(spark, path, [1995, 1997]).groupBy(F.col("yr").cast("int").alias("yr"), "section").agg(F.count(F.lit(1)).alias("n"))

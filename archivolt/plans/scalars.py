@@ -70,8 +70,8 @@ def page_paragraph_items(spark, sf):
 def cache_slug(spark, sf):
     """URLs still to fetch: those without a valid cached page."""
     pages = read(spark, sf, "pages", "page_id", "url", "html")
-    cached = pages.where("page_id % 10 <> 3 AND length(html) > 5000").select(A.cache_key(F.col("url")).alias("cache_key"))
-    return pages.select("page_id", A.cache_key(F.col("url")).alias("cache_key")).join(cached, "cache_key", "left_anti").select("page_id", "cache_key")
+    cache = pages.where("page_id % 10 <> 3").select(A.cache_key(F.col("url")).alias("cache_key"), F.length("html").alias("size"))
+    return A.not_cached(pages.select("page_id", "url"), cache, "url").select("page_id", "cache_key")
 
 
 _MENTION = """SELECT event_id, CAST(ts AS DATE) AS day, (CASE event_id % 4 WHEN 0 THEN 'on ' WHEN 1 THEN 'last ' WHEN 2 THEN '' ELSE 'this ' END)

@@ -75,6 +75,18 @@ def cache_key(url: Column) -> Column:
     return F.left(F.md5(url), F.lit(16))
 
 
+def not_cached(wanted: DataFrame, cache: DataFrame, url: str, least: int = 5000) -> DataFrame:
+    """What is still to fetch, with its `cache_key`: the URLs whose page the cache (cache_key, size) lacks or holds in fewer
+    than `least` + 1 characters, as an error page. Run again after an interruption, it leaves out what has come since."""
+    good = cache.where(F.col("size") > least).select("cache_key").distinct()
+    return wanted.withColumn("cache_key", cache_key(F.col(url))).join(good, "cache_key", "left_anti")
+
+
+def read_years(spark: SparkSession, path: str, years: list[int], year: str = "yr") -> DataFrame:
+    """The given years of a table that `write_by_year` wrote: other years' folders aren't opened."""
+    return spark.read.parquet(path).where(F.col(year).isin(list(years)))
+
+
 def replace_slice(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`old` with the slices that `new` holds replaced by it."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
