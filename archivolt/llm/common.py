@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,50 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """As `stored`, as a table bucketed by `keys` and sorted in each bucket: joins by the keys leave it where it is. Rows that
+    come from an aggregate or join by the keys, in as many partitions, are dealt by bucket already and make a file each."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    _written[path] = spark
+    table_ = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(table_)
+    out = spark.table(table_)
+    out._stored_at, out._table = path, table_
+    return out
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def by_bucket(spark: SparkSession, buckets: int) -> Iterator[int]:
+    """While bucketed tables are written and joined: aggregates deal their rows by the buckets, and scans of sorted buckets of
+    one file each tell the planner their order, so merge joins don't sort them again. Gives the number of buckets, which is
+    the session's own where that can't be set."""
+    with settings(spark, **{"spark.sql.shuffle.partitions": str(buckets), **IN_ORDER}):
+        yield int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Scans of sorted buckets of one file each tell the planner their order.
+IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Deletes a table that `stored` gave and that no later plan reads."""
+    """Deletes a table that `stored` or `stored_in_buckets` gave and that no later plan reads."""
     path = df._stored_at
+    if hasattr(df, "_table"):
+        df.sparkSession.sql(f"DROP TABLE {df._table}")
     delete(_written.pop(path), path)
 
 

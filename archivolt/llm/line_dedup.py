@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -11,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archivolt.llm.common import BLANKS, ascii_lower, stored, table, texts
-from archivolt.sources.shared import delete, new_folder
+from archivolt.llm.common import BLANKS, ascii_lower, by_bucket, drop_stored, stored, stored_in_buckets, table, texts
 
 _HASH = ("h1", "h2")
 
@@ -32,24 +29,6 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 BUCKET_ROWS = 1_000_000
 
 
-@contextmanager
-def _settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def _by_bucket(spark: SparkSession, buckets: int):
-    """While runs are written and joined: aggregates deal their rows by the runs' buckets, and scans of sorted buckets of one
-    file each tell the planner their order, so merge joins don't sort them again."""
-    return _settings(spark, **{"spark.sql.shuffle.partitions": str(buckets), "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"})
-
-
 class LineRuns:
     """Levels of sorted runs (hash, owner): tables in the shared folder, bucketed by hash and sorted in each bucket, so that
     joins between them and with a batch merge bucket by bucket without any exchange.
@@ -61,21 +40,9 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fan_in: int = 2, buckets: int = 8):
         self.spark, self.fan_in, self.buckets = spark, fan_in, buckets
         self.levels: list[list[DataFrame]] = []
-        self.tables: dict[int, tuple[str, str]] = {}
 
     def write(self, rows: DataFrame, name: str) -> DataFrame:
-        """`rows` as a sorted run. Rows that come from an aggregate or join by hash are dealt by bucket already."""
-        path = new_folder(self.spark, name)
-        table_ = path.rsplit("/", 1)[1].replace("-", "_")
-        rows.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).option("compression", "zstd").saveAsTable(table_)
-        out = self.spark.table(table_)
-        self.tables[id(out)] = table_, path
-        return out
-
-    def drop(self, run: DataFrame) -> None:
-        table_, path = self.tables.pop(id(run))
-        self.spark.sql(f"DROP TABLE {table_}")
-        delete(self.spark, path)
+        return stored_in_buckets(rows, name, _HASH, self.buckets)
 
     def all(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -88,7 +55,7 @@ class LineRuns:
             runs, self.levels[level] = self.levels[level], []
             merged = self.write(reduce(_merge, (r.select(*_HASH, "owner") for r in runs)), f"line-run-l{level + 1}")
             for old in runs:
-                self.drop(old)
+                drop_stored(old)
             self.add(merged, level + 1)
 
 
@@ -118,8 +85,9 @@ def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_cha
     lines = stored(line_hashes(docs, min_chars).where("doc_id IS NOT NULL"), "line-hashes")
     edges = [None, *(_cuts(lines, n_batches) if n_batches > 1 else []), None]
     buckets = min(100_000, max(8, lines.count() // BUCKET_ROWS))  # 100,000 is Spark's own limit
-    runs, found = LineRuns(spark, fan_in, buckets), []
-    with _by_bucket(spark, buckets):
+    found = []
+    with by_bucket(spark, buckets) as buckets:
+        runs = LineRuns(spark, fan_in, buckets)
         for k, (low, high) in enumerate(zip(edges, edges[1:])):
             batch = lines
             if low is not None:
@@ -137,9 +105,9 @@ def repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, min_cha
             if k < len(edges) - 2:
                 runs.add(runs.write(new.select(*_HASH, "owner"), "line-run-l0") if known else own)
             if known or k == len(edges) - 2:
-                runs.drop(own)
+                drop_stored(own)
     for run in runs.all():
-        runs.drop(run)
+        drop_stored(run)
     return reduce(DataFrame.union, found)
 
 

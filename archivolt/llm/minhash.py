@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from archivolt.llm.byte_bpe import blocks
-from archivolt.llm.common import drop_stored, stored, texts
+from archivolt.llm.common import IN_ORDER, by_bucket, drop_stored, settings, stored, stored_in_buckets, texts
 from archivolt.llm.components import components
 
 #: A pair of similarity s meets in some band with probability 1 - (1 - s**ROWS)**BANDS: 0.9994 at 0.8.
 BANDS, ROWS = 40, 8
 #: With more open pairs than so many an entry of a band, members are compared around a ring first.
 LINEAR = 4
+#: Texts whose shingles one bucket holds.
+BUCKET_NODES = 10_000
 _BLOCK = 4096
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,11 +77,16 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, least: Fraction) -> DataFrame:
-    """Of (a, b) those whose Jaccard similarity is at least `least`, compared in whole numbers."""
+    """Of (a, b) those whose Jaccard similarity is at least `least`, compared in whole numbers. The shingles are bucketed by
+    node, so they stay where they are and the pairs come to them. What is known of b is a plain table: many pairs can have
+    one b, and a join of two shuffles can be split there."""
     left, right = (grams.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    others = stored(right.join(pairs.select("b").distinct(), "b"), "near-others")
+    both = pairs.join(left, "a").join(others, "b")
     shared, total = F.size(F.array_intersect("ga", "gb")).cast("long"), (F.size("ga") + F.size("gb")).cast("long")
-    return both.where(shared * (least.denominator + least.numerator) >= total * least.numerator).select("a", "b")
+    found = stored(both.where(shared * (least.denominator + least.numerator) >= total * least.numerator).select("a", "b"), "near-pairs")
+    drop_stored(others)
+    return found
 
 
 def _pair(x: str, y: str) -> list:
@@ -122,12 +129,14 @@ def _crossed(open_: DataFrame, grams: DataFrame, least: Fraction) -> DataFrame:
     common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     held = own.join(common, "gram").groupBy("node").agg(F.count(F.lit(1)).alias("held"))
     held = stored(held, "near-held")
-    entries = open_.join(held, "node").where(F.col("held") * whole >= F.col("size") * top).select("key", "label", "node", "size", "held")
-    x, y = (entries.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("label", "node", "size", "held"))) for k in "xy")
+    entries = open_.join(held, "node").where(F.col("held") * whole >= F.col("size") * top)
+    own_keys = entries.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a few of its bands
+    entries = entries.join(own_keys, "node")
+    x, y = (entries.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("label", "node", "size", "held", "keys"))) for k in "xy")
     shared = F.least("held_x", "held_y")
     fits = (shared * (whole + top) >= (F.col("size_x") + F.col("size_y")) * top) & (F.col("label_x") < F.col("label_y"))
-    pairs = x.join(y, (x.key == y.key) & fits)
-    return pairs.select(*_pair("node_x", "node_y")).distinct()
+    fits &= x.key == F.array_min(F.array_intersect("keys_x", "keys_y"))  # in the first band they share, so once
+    return x.join(y, (x.key == y.key) & fits).select(*_pair("node_x", "node_y"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8") -> DataFrame:
@@ -149,27 +158,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = classes.select("node", "size", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
     met = stored(entries.join(centres, "key"), "near-bands")
-    wanted = met.select("node").distinct()
+    wanted = stored(met.select("node").distinct(), "near-wanted")
+    buckets = min(100_000, max(16, wanted.count() // BUCKET_NODES))
     texts_ = body.select("body").mapInArrow(_bodies, "node binary, body binary").join(wanted, "node", "left_semi")
     one = texts_.groupBy("node").agg(F.first("body").alias("body"))
-    grams = stored(one.mapInArrow(partial(_shingled, size=shingle), "node binary, grams array<bigint>"), "near-shingles")
-    nodes = classes.select("node")
+    made = one.mapInArrow(partial(_shingled, size=shingle), "node binary, grams array<bigint>")
+    with by_bucket(body.sparkSession, buckets) as buckets:
+        grams = stored_in_buckets(made, "near-shingles", ("node",), buckets)
+    with settings(body.sparkSession, **IN_ORDER):
+        labels = _labels(classes.select("node"), met, grams, ratio)
+    drop_stored(grams)
+    roots = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
+    known = labels.join(roots, "label").select("node", "component_id")
+    return rows.select("doc_id", "node").join(known, "node", "left").select("doc_id", "component_id")
+
+
+def _labels(nodes: DataFrame, met: DataFrame, grams: DataFrame, ratio: Fraction) -> DataFrame:
+    """(node, label) of all nodes; met: (node, size, key, centre), the bands that several nodes share."""
     tried = stored(met.where("node <> centre").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")), "near-tried")
-    near = stored(_verified(tried, grams, ratio), "near-pairs")
+    near = _verified(tried, grams, ratio)
     labels = stored(components(nodes, near), "near-labels")
     placed = met.select("node", "size", "key").join(labels, "node")
     before, left = None, _open_pairs(placed)
     turn, entries_n = 0, met.count()
     while left > LINEAR * entries_n and (before is None or left <= before / 2):
         ring = stored(_ring(placed, turn).join(tried, ["a", "b"], "left_anti"), "near-ring")
-        near = near.unionByName(stored(_verified(ring, grams, ratio), "near-pairs"))
+        near = near.unionByName(_verified(ring, grams, ratio))
         tried = tried.unionByName(ring)
         labels = stored(components(nodes, near), "near-labels")
         placed = met.select("node", "size", "key").join(labels, "node")
         before, left, turn = left, _open_pairs(placed), turn + 1
     if left:
-        rest = _crossed(_open(placed), grams, ratio).join(tried, ["a", "b"], "left_anti")
-        labels = components(nodes, near.unionByName(stored(_verified(rest, grams, ratio), "near-pairs")))
-    roots = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
-    known = labels.join(roots, "label").select("node", "component_id")
-    return rows.select("doc_id", "node").join(known, "node", "left").select("doc_id", "component_id")
+        rest = stored(_crossed(_open(placed), grams, ratio).join(tried, ["a", "b"], "left_anti"), "near-rest")
+        labels = components(nodes, near.unionByName(_verified(rest, grams, ratio)))
+    return stored(labels, "near-labels")

@@ -4,7 +4,8 @@ import os
 import duckdb
 import pytest
 
-from archivolt.llm.line_dedup import OP7_SQL, LineRuns, _by_bucket, drop_repeated_lines, op7_line_dedup
+from archivolt.llm.common import by_bucket, drop_stored
+from archivolt.llm.line_dedup import OP7_SQL, LineRuns, drop_repeated_lines, op7_line_dedup
 from tests.llm.test_pipeline import brute_lines
 
 
@@ -51,7 +52,7 @@ def test_runs_stay_sorted_and_merge_without_exchange(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        with _by_bucket(spark, runs.buckets):
+        with by_bucket(spark, runs.buckets):
             anti = a.join(b, ["h1", "h2"], "left_anti")
             plan = anti._jdf.queryExecution().executedPlan().toString()
             assert anti.count() == 1000 and "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
@@ -61,4 +62,4 @@ def test_runs_stay_sorted_and_merge_without_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     (merged,) = runs.all()
     assert sorted(r.owner for r in merged.collect()) == list(range(2000))
-    runs.drop(merged)
+    drop_stored(merged)
