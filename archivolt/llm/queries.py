@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from archivolt.llm.byte_bpe import op8_byte_bpe
 from archivolt.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from archivolt.llm.fill_middle import op13_fill_in_middle
 from archivolt.llm.line_dedup import OP7_SQL, op7_line_dedup
 from archivolt.llm.packing import op4_packing
 from archivolt.llm.pii import op5_pii
@@ -15,7 +16,7 @@ from archivolt.llm.url_filter import OP3_SQL, op3_url_filter
 
 _QUERIES = (
     op1_simhash_near_dedup, op2_suffix_array_dedup, op3_url_filter, op4_packing, op5_pii, op6_exact_dedup, op7_line_dedup,
-    op8_byte_bpe, op9_quality_classifier, op10_quality_rules,
+    op8_byte_bpe, op9_quality_classifier, op10_quality_rules, op13_fill_in_middle,
 )
 
 
