@@ -13,11 +13,12 @@ from archivolt.llm.quality_rules import op10_quality_rules
 from archivolt.llm.schema_rewrite import op12_drifted_schema_rewrite
 from archivolt.llm.simhash import op1_simhash_near_dedup
 from archivolt.llm.suffix_dedup import op2_suffix_array_dedup
+from archivolt.llm.toxicity import op11_toxicity
 from archivolt.llm.url_filter import OP3_SQL, op3_url_filter
 
 _QUERIES = (
     op1_simhash_near_dedup, op2_suffix_array_dedup, op3_url_filter, op4_packing, op5_pii, op6_exact_dedup, op7_line_dedup,
-    op8_byte_bpe, op9_quality_classifier, op10_quality_rules, op12_drifted_schema_rewrite,
+    op8_byte_bpe, op9_quality_classifier, op10_quality_rules, op11_toxicity, op12_drifted_schema_rewrite,
     op13_fill_in_middle,
 )
 
