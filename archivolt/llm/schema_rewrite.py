@@ -174,7 +174,8 @@ def rewrite(files: DataFrame, folder: str, fields: list[Field], rows: int = BATC
     """
     spark = files.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paths = files.select("path").where(F.col("path").isNotNull()).distinct().repartition(n, "path")
+    # dealt by number before the paths are made distinct: an exchange of distinct() itself could be merged into one task
+    paths = files.select("path").where(F.col("path").isNotNull()).repartition(n, "path").distinct()
     kinds = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for f in _DONE.split(", ")])
     done = stored(paths.mapInArrow(_each_path(lambda path: rewrite_file(path, folder, fields, rows), kinds), _DONE), "rewritten")
 
