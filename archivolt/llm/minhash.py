@@ -139,6 +139,13 @@ def _crossed(open_: DataFrame, grams: DataFrame, least: Fraction) -> DataFrame:
     return x.join(y, (x.key == y.key) & fits).select(*_pair("node_x", "node_y"))
 
 
+def _without_keys(table: DataFrame, *columns: str) -> DataFrame:
+    """A table in the place of one whose signatures are read no more."""
+    out = stored(table.select(*columns), "near-ids")
+    drop_stored(table)
+    return out
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8") -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id reachable over pairs of similarity `least`.
 
@@ -158,6 +165,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = classes.select("node", "size", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
     met = stored(entries.join(centres, "key"), "near-bands")
+    rows, classes = _without_keys(rows, "doc_id", "node"), _without_keys(classes, "node", "least")
     wanted = stored(met.select("node").distinct(), "near-wanted")
     buckets = min(100_000, max(16, wanted.count() // BUCKET_NODES))
     texts_ = body.select("body").mapInArrow(_bodies, "node binary, body binary").join(wanted, "node", "left_semi")
@@ -167,7 +175,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         grams = stored_in_buckets(made, "near-shingles", ("node",), buckets)
     with settings(body.sparkSession, **IN_ORDER):
         labels = _labels(classes.select("node"), met, grams, ratio)
-    drop_stored(grams)
+    for done in (grams, met, wanted):
+        drop_stored(done)
     roots = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     known = labels.join(roots, "label").select("node", "component_id")
     return rows.select("doc_id", "node").join(known, "node", "left").select("doc_id", "component_id")
