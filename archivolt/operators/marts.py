@@ -200,6 +200,21 @@ def distinct_by(df: DataFrame, by: list[str], item: str, least: int = 1) -> Data
     return out.where(F.col("n_distinct") >= least)
 
 
+def distinct_sketches(df: DataFrame, by: list[str], item: str, precision: int = 14) -> DataFrame:
+    """By group a sketch of its distinct items (HyperLogLog, 2 to the `precision` registers), to be stored and merged for any
+    coarser groups. Null items don't count."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(item, F.lit(precision)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The number of distinct items by coarser groups of stored sketches, which never meets the items again: (by, estimate, low,
+    high), with bounds of three standard errors of a merged sketch of 2 to the 14 registers."""
+    n = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    out = sketches.groupBy(*by).agg(n.alias("estimate"))
+    error = F.col("estimate") * (3 * 1.04 / 2**7)
+    return out.withColumns({"low": F.floor(F.col("estimate") - error).cast("long"), "high": F.ceil(F.col("estimate") + error).cast("long")})
+
+
 def distinct_trends(df: DataFrame, key: str, year: str, item: str, years: int = 3, peak: int = 0) -> DataFrame:
     """Distinct items by key and year, of keys with at least `years` years of which one has at least `peak` items."""
     counts = distinct_by(df, [key, year], item)

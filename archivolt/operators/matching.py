@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archivolt.operators.marts import ranked
+from archivolt.sources.shared import written
 
 
 def band_join(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int) -> DataFrame:
@@ -20,15 +21,6 @@ def band_join(left: DataFrame, right: DataFrame, left_date: str, right_date: str
     return keys.join(right, F.col("__day") == F.col(right_date)).drop("__day")
 
 
-def prefix_join(left: DataFrame, right: DataFrame, key: str, left_text: str, right_text: str, least: int) -> DataFrame:
-    """Pairs with the same `key` whose texts agree on the shorter one, which has at least `least` characters. The first
-    `least` characters are part of the equi-join, so only texts that share them are compared."""
-    a = left.where(F.char_length(left_text) >= least).withColumn("__p", F.left(left_text, F.lit(least)))
-    b = right.where(F.char_length(right_text) >= least).withColumn("__p", F.left(right_text, F.lit(least)))
-    both = a.join(b, [key, "__p"]).drop("__p")
-    return both.where(F.col(right_text).startswith(F.col(left_text)) | F.col(left_text).startswith(F.col(right_text)))
-
-
 def patch(rows: DataFrame, patches: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
     """`rows` with columns replaced where the last patch of their key has a value."""
     last = ranked(patches, [key], order, 1, "__r").select(key, *(F.col(c).alias(f"__{c}") for c in columns))
@@ -204,37 +196,82 @@ def _inner_word(title: Column) -> Column:
     return F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
 
 
-def best_match(items: DataFrame, pool: DataFrame, days: int = 3, least_title: int = 6, least_shared: int = 2) -> DataFrame:
-    """Each item's best partner at most `days` days away: (item, partner, offset, inside, n, score).
+def _inside(items: DataFrame, pool: DataFrame, days: int, least_title: int) -> DataFrame:
+    """(item, partner, offset) where the partner's title holds the item's. Titles meet by day and the longest inner word of
+    the item's title, and only pairs that have it in common are read in full; an item whose title has no inner word is read
+    against all titles of its days."""
+    near = F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("offset")
+    asked = items.where(F.char_length("title") >= least_title).select("item", near, "day", _inner_word(F.col("title")).alias("word"))
+    asked = asked.withColumn("day", F.date_add("day", F.col("offset")))
+    in_titles = F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")
+    met = asked.where("word IS NOT NULL").join(pool.select("partner", "day", in_titles), ["day", "word"])
+    met = met.select("item", "partner", "offset").unionByName(
+        asked.where("word IS NULL").join(pool.select("partner", "day"), "day").select("item", "partner", "offset")
+    )
+    whole = met.join(items.select("item", "title"), "item").join(pool.select("partner", F.col("title").alias("text")), "partner")
+    return whole.where(F.col("text").contains(F.col("title"))).select("item", "partner", "offset")
+
 
-    items: (item, day, words, title), pool: (partner, day, words, title); words: arrays of distinct words. A partner whose
-    title holds the item's whole title, of at least `least_title` characters, comes first, with score 1. Then comes the
-    highest score, which is the n shared words over the partner's number of words, held to 4 to 8; then the least offset
-    and the least partner. The best one is accepted if a title is inside, n is at least `least_shared`, or the score is 1.
+def word_candidates(items: DataFrame, pool: DataFrame, days: int = 3, first: int = 6) -> DataFrame:
+    """(item, partner, offset, n, score) of partners that can be an item's best by shared words; written, as it is read again.
 
-    Words meet by day and word, as rows without texts, of which only counts are gathered. Titles meet by day and the longest
-    inner word of the item's title; only pairs that have it in common are read in full. An item whose title has no inner
-    word is read against all titles of its days.
+    An inverted index of the pool's words is probed by each item's words from the rarest on (by the number of partners that
+    have them). 1. The `first` rarest words give partners whose words are compared whole; the best score among them is a
+    bound. 2. A partner of `size` words (held to 4 to 8) that reaches the bound shares t = bound * size words or more, so it
+    has one of all but the t - 1 commonest words of the item: only those are probed, and of a word's partners only those
+    whose size allows it. A partner that shares one word matters only if it has at most four words, as only then its score
+    isn't under that of two shared words.
     """
     near = F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("offset")
-    asked = items.select("item", near, "day", "words", "title").withColumn("day", F.date_add("day", F.col("offset")))
-    words = asked.select("item", "offset", "day", F.explode("words").alias("word"))
+    pool = written(pool.select("partner", "day", "words"), "pool-words")  # words may come of whole texts, and are read four times
     size = F.least(F.greatest(F.size("words"), F.lit(4)), F.lit(8)).alias("size")
-    known = pool.select("partner", "day", size, F.explode("words").alias("word"))
-    shared = words.join(known, ["day", "word"]).groupBy("item", "partner", "offset").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
-    shared = shared.select("item", "partner", "offset", F.lit(False).alias("inside"), "n", (F.col("n") / F.col("size")).alias("score"))
+    words = items.select("item", "day", F.explode("words").alias("word"))
+    posted = pool.select("partner", "day", F.size("words").alias("own"), size, F.explode("words").alias("word"))
+    posted = written(posted.join(words.select("word").distinct(), "word", "left_semi"), "postings")
+    often = posted.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    words = words.join(often, "word")  # others are nobody's
+    by_item = W.partitionBy("item")
+    words = words.withColumn("rank", F.row_number().over(by_item.orderBy("often", "word"))).withColumn("m", F.count(F.lit(1)).over(by_item))
+    words = written(words, "ranked-words")
+    hashes = lambda df, *keys: df.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias(f"w_{keys[0]}"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.select("*", near).withColumn("day", F.date_add("day", F.col("offset")))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(hashes(items, "item"), "item").join(hashes(pool, "partner", "day"), ["partner", "day"])
+        n = F.size(F.array_intersect("w_item", "w_partner")).cast("long")
+        size = F.least(F.greatest(F.size("w_partner"), F.lit(4)), F.lit(8))
+        return both.select("item", "partner", "day", "offset", n.alias("n"), (n / size).alias("score"))
+
+    pairs = spread(words.where(F.col("rank") <= first)).join(posted, ["day", "word"]).select("item", "partner", "day", "offset").distinct()
+    tried = written(compared(pairs), "tried-partners")
+    bounds = tried.groupBy("item").agg(F.max("score").alias("bound"))
+    words = words.join(bounds, "item", "left").na.fill(0.0, ["bound"])
+    shares = lambda size, least: F.greatest(F.ceil(F.col("bound") * size - F.lit(1e-9)), least)
+    words = words.where((F.col("rank") > first) & (F.col("rank") <= F.col("m") - shares(F.lit(4), F.lit(1)) + 1))
+    enough = shares(F.col("size"), F.when(F.col("own") <= 4, 1).otherwise(2))
+    fits = (F.col("rank") <= F.col("m") - enough + 1) & (F.col("own") >= enough)
+    more = spread(words).join(posted, ["day", "word"]).where(fits).select("item", "partner", "day", "offset").distinct()
+    more = more.join(tried.select("item", "partner", "day"), ["item", "partner", "day"], "left_anti")
+    return written(tried.unionByName(compared(more)).drop("day"), "word-partners")
 
-    titled = asked.where(F.char_length("title") >= least_title).select("item", "offset", "day", _inner_word(F.col("title")).alias("word"))
-    in_titles = F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")
-    met = titled.where("word IS NOT NULL").join(pool.select("partner", "day", in_titles), ["day", "word"])
-    met = met.select("item", "partner", "offset").unionByName(
-        titled.where("word IS NULL").join(pool.select("partner", "day"), "day").select("item", "partner", "offset")
-    )
-    whole = met.join(items.select("item", "title"), "item").join(pool.select("partner", F.col("title").alias("text")), "partner")
-    inside = whole.where(F.col("text").contains(F.col("title"))).select(
-        "item", "partner", "offset", F.lit(True).alias("inside"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("score")
-    )
-    order = F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(-F.col("score")), "offset", "partner")
-    best = F.min_by(F.struct("partner", "offset", "inside", "n", "score"), order)
-    out = shared.unionByName(inside).groupBy("item").agg(best.alias("b")).select("item", "b.*")
-    return out.where(F.col("inside") | (F.col("n") >= least_shared) | (F.col("score") == 1))
+
+def best_match(items: DataFrame, pool: DataFrame, days: int = 3, least_title: int = 6, least_shared: int = 2) -> DataFrame:
+    """Each item's best partner at most `days` days away: (item, partner, offset, inside, n, score).
+
+    items: (item, day, words, title), pool: (partner, day, words, title); words: arrays of distinct words; an item and a
+    partner have one row each. A partner whose title holds the item's whole title, of at least `least_title` characters, comes
+    first, with score 1. Then comes the highest score, which is the n shared words over the partner's number of words, held
+    to 4 to 8; then the least offset and the least partner. The best one is accepted if a title is inside, n is at least
+    `least_shared`, or the score is 1. Words are looked for only for items without a title inside (see `word_candidates`).
+    """
+    inside = _inside(items, pool, days, least_title).groupBy("item").agg(F.min(F.struct("offset", "partner")).alias("b"))
+    inside = written(inside.select("item", "b.partner", "b.offset", F.lit(True).alias("inside"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("score")), "titles-inside")
+    rest = written(items.join(inside, "item", "left_anti"), "untitled-items")
+    if rest.isEmpty():
+        return inside
+    shared = word_candidates(rest, pool, days)
+    best = F.min_by(F.struct("partner", "offset", "n", "score"), F.struct(-F.col("score"), "offset", "partner"))
+    out = shared.where("n > 0").groupBy("item").agg(best.alias("b")).select("item", "b.partner", "b.offset", F.lit(False).alias("inside"), "b.n", "b.score")
+    return inside.unionByName(out.where((F.col("n") >= least_shared) | (F.col("score") == 1)))

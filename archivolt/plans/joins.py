@@ -8,6 +8,7 @@ from archivolt.functions import text as X
 from archivolt.operators import marts as M
 from archivolt.operators import matching as J
 from archivolt.operators.marts import ranked
+from archivolt.operators.prefixes import prefix_relatives
 from archivolt.plans.views import article_author, article_subject, articles, headlines, read, records, sql
 
 QUERIES, ORACLES = {}, {}
@@ -99,7 +100,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE off WHEN 0
 SELECT doc_id, original, CAST(off AS INT) AS year_offset FROM r WHERE rn = 1""")
 def prefix_year_match(spark, sf):
     """A republished text with its original: one is the other's prefix, within a year; the same year first, then the one
-    before. Of each distinct text and year the first document is enough, so copies meet as one."""
+    before. Of each distinct text and year the first document is enough, and texts meet as sorted neighbours, not as pairs."""
     docs = read(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.lower(F.trim("text")).alias("t"), (2000 + F.col("doc_id") % 3).cast("int").alias("yr")
     )
@@ -108,37 +109,40 @@ def prefix_year_match(spark, sf):
     texts = docs.groupBy("t").agg(F.collect_set("yr").alias("years"))  # at most as many as there are years
     asked = texts.select("t", F.explode("years").alias("yr")).withColumn("off", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     asked = asked.withColumn("key_year", F.col("yr") + F.col("off"))
-    others = firsts.select(F.col("t").alias("u"), F.col("yr").alias("key_year"), "original")
-    pairs = J.prefix_join(asked, others, "key_year", "t", "u", 40)
+    others = firsts.select("t", F.col("yr").alias("key_year"), "original")
+    pairs = asked.join(prefix_relatives(asked.select("key_year", "t"), others, "key_year", "t", "original", 40), ["key_year", "t"])
     rank = F.when(F.col("off") == 0, 0).when(F.col("off") == -1, 1).otherwise(2)
-    best = pairs.groupBy("t", "yr", "off").agg(F.min("original").alias("original"))
-    choices = best.groupBy("t", "yr").agg(F.sort_array(F.collect_list(F.struct(rank.alias("o"), "original", F.col("off").alias("year_offset")))).alias("c"))
+    choices = pairs.groupBy("t", "yr").agg(F.sort_array(F.collect_list(F.struct(rank.alias("o"), "original", F.col("off").alias("year_offset")))).alias("c"))
     found = docs.join(choices, ["t", "yr"]).withColumn("b", F.get(F.filter("c", lambda x: x["original"] < F.col("doc_id")), F.lit(0)))
     return found.where("b IS NOT NULL").select("doc_id", "b.original", "b.year_offset")
 
 
-@query("""WITH u AS (SELECT page_id % 50 AS k, max(page_id) AS page_id FROM pages GROUP BY 1),
+@query("""WITH u AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1),
 i AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS k FROM events)
-SELECT event_id, page_id FROM i JOIN u ON i.k = u.k""")
+SELECT event_id, o_orderkey FROM i JOIN u ON i.k = u.o_custkey""")
 def inline_key_match(spark, sf):
-    """An equi-join on a key whose right side keeps its last record; null keys never match."""
-    last = read(spark, sf, "pages", "page_id").groupBy((F.col("page_id") % 50).alias("k")).agg(F.max("page_id").alias("page_id"))
+    """Events with their user's last order: an equi-join whose right side keeps one record of each key; null keys never match."""
+    orders = read(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    last = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
     items = read(spark, sf, "events", "event_id", "user_id").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("k"))
-    return items.join(last, "k").select("event_id", "page_id")
+    return items.join(last, "k").select("event_id", "o_orderkey")
 
 
 @query("""WITH b AS (SELECT date_trunc('month', min(o_orderdate)) a, date_trunc('month', max(o_orderdate)) z FROM orders),
 m AS (SELECT CAST(x AS DATE) AS month, z FROM b, generate_series(a, z, INTERVAL 1 MONTH) t(x)),
-have AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders WHERE o_orderkey % 400 = 0)
+have AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+  GROUP BY 1 HAVING 100 * count(n) >= 98 * count(*))
 SELECT strftime(month, '%Y-%m') AS month, month >= CAST(z - INTERVAL 2 MONTH AS DATE) AS refetch FROM m
 WHERE month NOT IN (SELECT month FROM have) OR month >= CAST(z - INTERVAL 2 MONTH AS DATE)""")
 def anti_missing_months(spark, sf):
-    """Months to fetch: those not there, and the last three always."""
+    """Months to fetch: those of whose orders over one in fifty has no lines yet, and the last three always."""
     from archivolt.sources.archive import months_to_fetch
 
     orders = read(spark, sf, "orders", "o_orderkey", "o_orderdate")
     month = F.trunc("o_orderdate", "month").alias("month")
-    return months_to_fetch(orders.select(month), orders.where("o_orderkey % 400 = 0").select(month))
+    lines = read(spark, sf, "lineitem", "l_orderkey").distinct()
+    counted = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(month).agg(F.count(F.lit(1)).alias("n"), F.count("l_orderkey").alias("there"))
+    return months_to_fetch(orders.select(month), counted.where("100 * there >= 98 * n").select("month"))
 
 
 @query("""WITH p AS (SELECT ps_key AS c_custkey, arg_max(seg, seq) FILTER (seg IS NOT NULL) AS seg FROM (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.sources.shared import delete, exists, listed
+from archivolt.sources.shared import delete, exists, listed, rename
 
 #: The nested record as it is delivered; what a file lacks is null.
 RECORD = """pub_date STRING, headline STRUCT<main: STRING, print_headline: STRING, kicker: STRING>,
@@ -126,6 +129,23 @@ def write_if_changed(df: DataFrame, path: str, fmt: str = "parquet", **options)
     return True
 
 
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column], holds: dict[str, Callable[[dict], bool]], fmt: str = "parquet", **options) -> dict:
+    """Writes `df` to `path` if what is observed of it holds, and gives the metrics. They are aggregates (name -> column) that
+    are gathered as the rows pass to the writer, so the table isn't read twice; `holds`: expectations of them by name. The
+    table is written beside its place, which it takes only then: a table that breaks an expectation leaves the old one."""
+    spark, seen = df.sparkSession, Observation()
+    stage = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.observe(seen, *(c.alias(k) for k, c in metrics.items())).write.format(fmt).options(**options).save(stage)
+    found = dict(seen.get)
+    broken = [name for name, test in holds.items() if not test(found)]
+    if broken:
+        delete(spark, stage)
+        raise ValueError(f"{', '.join(broken)}: {found}")
+    delete(spark, path)
+    rename(spark, stage, path)
+    return found
+
+
 def remove_stale(spark: SparkSession, folder: str, keep: list[str]) -> list[str]:
     """Deletes the tables (and their digests) in `folder` whose names aren't in `keep`; gives the names."""
     names = [n for n in listed(spark, folder) if n.removesuffix(".digest") not in set(keep)]

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -42,6 +42,12 @@ def delete(spark: SparkSession, folder: str) -> None:
     system.delete(where, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    system, where = _at(spark, old)
+    if not system.rename(where, _at(spark, new)[1]):
+        raise OSError(f"{old} can't take the place of {new}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, where = _at(spark, path)
     return system.exists(where)
@@ -51,3 +57,25 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder; none where it doesn't exist."""
     system, where = _at(spark, folder)
     return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: later jobs don't compute it again, and lost executors take nothing along.
+    The table goes at the end of the process, or by `release`."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    _written[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Deletes the tables that `written` wrote in this process."""
+    while _written:
+        path, spark = _written.popitem()
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)

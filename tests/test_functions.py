@@ -67,7 +67,7 @@ def test_obituary_names(spark):
     for headline, want in (
         ("Killed at 71, Ayman al-Zawahri Led a Life of Secrecy", "Ayman al-Zawahri"),
         ("A Man of Many Words, David Shulman Dies at 91", "David Shulman"), ("Joe Moakley of Massachusetts Dies at 74", "Joe Moakley"),
-        ("Jane Roe, Painter, Dies at 80", "Jane Roe"),
+        ("Jane Roe, Painter, Dies at 80", "Jane Roe"), ("Former Giants Linebacker Brad Van Pelt Dies at 57", "Brad Van Pelt"),
     ):
         assert one(spark, X.person_in_headline("h"), h=headline) == want
     assert one(spark, X.person_in_slug("h"), h="jim-fassel-giants-dead") == "Jim Fassel"
@@ -102,10 +102,17 @@ def test_dates(spark):
 
 
 def test_slugs(spark):
-    for name, want in (("Michael S. Schmidt", "michael-s-schmidt"), ("C.J. Chivers", "c-j-chivers"), ("Zoë O'Reilly Jr.", "zoe-o-reilly")):
+    for name, want in (("Michael S. Schmidt", "michael-s-schmidt"), ("C.J. Chivers", "c-j-chivers"), ("Zoë O'Reilly Jr.", "zoe-o-reilly"), ("Łukasz Šimić", "ukasz-simic"), ("Bjørn Ōno", "bjrn-ono")):
         assert one(spark, X.slug_of("n"), n=name) == want
 
 
+def test_abbreviations(spark):
+    restored = X.restore_abbreviations(F.col("t"))
+    for text, want in (("About Us", "About US"), ("Parks-Nyc", "Parks-NYC"), ("Capitol (Washington, Dc)", "Capitol (Washington, DC)"), ("Us Dcx, Ny.", "Us Dcx, Ny."), ("Ny-Nj Ct", "Ny-NJ CT")):
+        assert one(spark, restored, t=text) == want
+    assert one(spark, X.normalise_subject("t"), t="PARKS-NYC AND US") == "Parks-NYC and US"
+
+
 def test_pages_and_bios(spark):
     html = "<script>var t='</p>'</script><p>One &amp; two<p class=x>Three <b>four</b></p><div></div>"
     assert one(spark, X.paragraphs("h"), h=html) == ["One & two", "Three four"]
