@@ -8,7 +8,7 @@ from archivolt.functions import text as X
 from archivolt.operators import marts as M
 from archivolt.operators import matching as J
 from archivolt.operators.marts import ranked
-from archivolt.operators.prefixes import prefix_relatives
+from archivolt.operators.prefixes import digest_of, prefix_relatives
 from archivolt.plans.views import article_author, article_subject, articles, headlines, read, records, sql
 
 QUERIES, ORACLES = {}, {}
@@ -102,19 +102,21 @@ def prefix_year_match(spark, sf):
     """A republished text with its original: one is the other's prefix, within a year; the same year first, then the one
     before. Of each distinct text and year the first document is enough, and texts meet as sorted neighbours, not as pairs."""
     docs = read(spark, sf, "documents", "doc_id", "text").select(
-        "doc_id", F.lower(F.trim("text")).alias("t"), (2000 + F.col("doc_id") % 3).cast("int").alias("yr")
+        "doc_id", F.lower(F.trim("text")).alias("text"), (2000 + F.col("doc_id") % 3).cast("int").alias("yr")
     )
-    docs = docs.where(F.char_length("t") >= 40)
-    firsts = docs.groupBy("t", "yr").agg(F.min("doc_id").alias("original"))
-    texts = docs.groupBy("t").agg(F.collect_set("yr").alias("years"))  # at most as many as there are years
-    asked = texts.select("t", F.explode("years").alias("yr")).withColumn("off", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    asked = asked.withColumn("key_year", F.col("yr") + F.col("off"))
-    others = firsts.select("t", F.col("yr").alias("key_year"), "original")
-    pairs = asked.join(prefix_relatives(asked.select("key_year", "t"), others, "key_year", "t", "original", 40), ["key_year", "t"])
-    rank = F.when(F.col("off") == 0, 0).when(F.col("off") == -1, 1).otherwise(2)
-    choices = pairs.groupBy("t", "yr").agg(F.sort_array(F.collect_list(F.struct(rank.alias("o"), "original", F.col("off").alias("year_offset")))).alias("c"))
-    found = docs.join(choices, ["t", "yr"]).withColumn("b", F.get(F.filter("c", lambda x: x["original"] < F.col("doc_id")), F.lit(0)))
-    return found.where("b IS NOT NULL").select("doc_id", "b.original", "b.year_offset")
+    docs = docs.where(F.char_length("text") >= 40).withColumn("digest", digest_of("text"))
+    firsts = docs.groupBy("digest", "yr").agg(F.min("doc_id").alias("first"))
+    years = firsts.groupBy("digest").agg(  # at most as many as there are years
+        F.collect_list(F.struct(F.col("yr").alias("group"), F.col("first").alias("value"))).alias("known"),
+        F.array_distinct(F.flatten(F.collect_list(F.array(F.col("yr") - 1, F.col("yr"), F.col("yr") + 1)))).alias("asked"),
+    )
+    texts = docs.groupBy("digest").agg(F.first("text").alias("text")).join(years, "digest")
+    relatives = prefix_relatives(texts.select("text", "known", "asked"))
+    asked = docs.select("doc_id", "digest", "yr", F.explode(F.array(*map(F.lit, (0, -1, 1)))).alias("year_offset"))
+    found = asked.withColumn("group", (F.col("yr") + F.col("year_offset")).cast("long")).join(relatives, ["digest", "group"]).where("value < doc_id")
+    rank = F.when(F.col("year_offset") == 0, 0).when(F.col("year_offset") == -1, 1).otherwise(2)
+    best = found.groupBy("doc_id").agg(F.min_by(F.struct("value", "year_offset"), rank).alias("b"))
+    return best.select("doc_id", F.col("b.value").alias("original"), "b.year_offset")
 
 
 @query("""WITH u AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1),
