@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from archivolt.sources.shared import settings
+
 #: The state store that timers need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Parts that a slice's rows are dealt to, so that a slice with very many rows is no single task's.
@@ -71,24 +72,13 @@ def closing_days(events: DataFrame, time: str, arrived: str, spread: Column, lat
     return kept.select(F.to_date("slice").alias("slice"), "kind", "n")
 
 
-@contextmanager
-def _rocks(spark: SparkSession) -> Iterator[None]:
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def resume(stream: DataFrame, out: str, checkpoint: str) -> list[dict]:
     """Runs a stream from its checkpoint over what has come since, each batch into a folder of `out` that running it again
     replaces. Gives the progress of the run's batches."""
     def put(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
 
-    with _rocks(stream.sparkSession):
+    with settings(stream.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKS}):
         query = stream.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    return [p if isinstance(p, dict) else p.jsonValue if hasattr(p, "jsonValue") else p for p in query.recentProgress]
+    return query.recentProgress
