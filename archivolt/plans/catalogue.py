@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from archivolt.plans import aggregates, classes, increments, joins, resolution, scalars
+from archivolt.plans import aggregates, arrivals, classes, increments, joins, resolution, scalars
 
-_MODULES = (aggregates, joins, scalars, classes, resolution, increments)
+_MODULES = (aggregates, joins, scalars, classes, resolution, increments, arrivals)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: text for m in _MODULES for name, text in m.ORACLES.items() if text}

@@ -77,12 +77,17 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 _written: dict[str, SparkSession] = {}
 
 
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Has a folder go at the end of the process, or by `release`."""
+    _written[path] = spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: later jobs don't compute it again, and lost executors take nothing along.
     The table goes at the end of the process, or by `release`."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    _written[path] = spark
+    keep_until_release(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
