@@ -67,9 +67,22 @@ def test_obituary_names(spark):
     for headline, want in (
         ("Killed at 71, Ayman al-Zawahri Led a Life of Secrecy", "Ayman al-Zawahri"),
         ("A Man of Many Words, David Shulman Dies at 91", "David Shulman"), ("Joe Moakley of Massachusetts Dies at 74", "Joe Moakley"),
+        ("Choreographer, Sophie Maslow, Dies at 95", "Sophie Maslow"), ("Ann Poe, Wife of a Mayor, Dies at 70", "Ann Poe"),
+        ("Old Force Dies at 50", None), ("From 1992: Jane Roe Is Dead at 90", "Jane Roe"), ("Overlooked No More: Ann Poe, Painter", "Ann Poe"),
+        ("Long May She Reign: Jane Roe Dies at 80", "Jane Roe"), ("‘Slim’: Ann Poe Dies at 66", "Ann Poe"), ("Russia's Jane Roe Dies at 71", "Jane Roe"),
+        ("Late Rev. Dr. Jane Roe Dies at 80", "Jane Roe"), ("", None),
         ("Jane Roe, Painter, Dies at 80", "Jane Roe"), ("Former Giants Linebacker Brad Van Pelt Dies at 57", "Brad Van Pelt"),
     ):
         assert one(spark, X.person_in_headline("h"), h=headline) == want
+    nothing = spark.createDataFrame([(None,)], "h string")
+    assert tuple(nothing.select(X.person_in_headline("h"), X.person_in_headline("h", F.lit(True)), X.person_in_abstract("h")).first()) == (None,) * 3
+    portrait = X.person_in_headline("h", F.lit(True))
+    assert one(spark, portrait, h="Ann Lee Poe: A Man of Boats") == "Ann Lee Poe"
+    assert one(spark, portrait, h="Ann Poe, Painter, Dies at 80") == "Ann Poe"
+    assert one(spark, X.person_in_abstract("h"), h="Rev. Jane Roe, 81, a minister") == "Jane Roe"
+    assert one(spark, X.person_in_abstract("h"), h="Former Leader, 81, a minister") is None
+    assert one(spark, X.person_in_abstract("h"), h="a minister, 81") is None
+    assert one(spark, X.state_of("h"), h="Erie (PA)") == one(spark, X.state_of("h"), h="Erie (Pa)") == "Pennsylvania"
     assert one(spark, X.person_in_slug("h"), h="jim-fassel-giants-dead") == "Jim Fassel"
     assert one(spark, X.person_in_slug("h"), h="01mancuso") is None
 
