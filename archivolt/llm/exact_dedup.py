@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.common import BLANKS, stored, table, texts
+from archivolt.llm.common import BLANKS, by_bucket, drop_stored, stored, stored_in_buckets, table, texts
 
 _KEY = ("digest", "check", "n_norm")
+#: Texts of the whole table that one bucket of a run is for.
+BUCKET_ROWS = 1_000_000
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 32) -> DataFrame:
+def merge_pair(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sorted runs as one: a full merge join, which keeps of each key the best identifier and the summed size."""
+    there = b.select(*_KEY, F.col("best").alias("__best"), F.col("group_size").alias("__size"))
+    sizes = F.coalesce("group_size", F.lit(0)) + F.coalesce("__size", F.lit(0))
+    return a.join(there, list(_KEY), "full").select(*_KEY, F.least("best", "__best").alias("best"), sizes.alias("group_size"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_runs: int = 8) -> DataFrame:
     """One row per document with the representative of its group of equal texts.
 
     Texts are equal when identical after deleting blanks; the copy with the most code points, then the smallest id,
-    stays. Every input partition forms one sorted run of (SHA-256, XXH64, length) rows, written once to the shared
-    folder. Runs are then merged `fan_in` at a time in rounds, as many as the logarithm of their number to that base: run r
-    goes to run r // fan_in, whose rows are put in order by digest and read once in that order (a sort aggregate), which
-    keeps one row per key with the best identifier and the summed size. A merge needs all three parts of the key to agree;
-    texts aren't compared again. A hot text is down to one row per run before the first exchange, and each merged run stays
-    spread over all partitions by its digest, so no task gathers a group or a whole run.
+    stays. The input's partitions are dealt over `n_runs` runs of (SHA-256, XXH64, length, best identifier, size), each a
+    table in the shared folder that is bucketed by its key and sorted in each bucket. Runs are merged two by two in
+    binomial rounds, run r with run r + 1, r + 2, r + 4: merge joins, bucket by bucket, which neither exchange nor sort
+    rows and keep one row a key with the best identifier and the summed size. A merge needs all three parts of the key to
+    agree; texts aren't compared again. A hot text is down to one row a task before the one exchange that deals a run into
+    its buckets, and the last join, of all rows with the merged run, can be split at it.
 
     Null and empty texts (and blank ones) are one group. A null id ranks before any other. Rows that repeat an id are
     counted in group_size; each of them has the same verdict. An empty table gives an empty result. Of a long text only the
@@ -27,7 +36,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Columns: doc_id, keep_id, group_size, kept, text_sha256.
     """
     norm = F.translate("text", BLANKS, "")
-    runs = (
+    digests = (
         texts(docs, id_col, text_col)
         .withColumn("norm", norm)
         .select(
@@ -36,23 +45,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.xxhash64("norm").alias("check"),
             F.octet_length("norm").alias("n_norm"),
             F.char_length("text").alias("n_chars"),
-            F.spark_partition_id().alias("run"),
+            (F.spark_partition_id() % n_runs).alias("run"),  # a task writes to one run, so to one file
         )
-        .sortWithinPartitions("digest")
     )
-    runs = stored(runs, "digest-runs")
+    digests = stored(digests, "digests", partition_by="run")
+    spark = docs.sparkSession
     best = F.min(F.struct((-F.col("n_chars")).alias("rank"), F.col("doc_id").alias("doc_id")))
-    merged = runs.groupBy("run", *_KEY).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    left = (runs.agg(F.max("run")).first()[0] or 0) + 1
-    while left > 1:
-        left = -(-left // fan_in)
-        merged = (
-            merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *_KEY)
-            .agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
-        )
-    winners = merged.select(*_KEY, F.col("best.doc_id").alias("keep_id"), "group_size")
-    return runs.join(winners, list(_KEY), "left").select(
+    buckets = min(100_000, max(8, digests.count() // BUCKET_ROWS))  # 100,000 is Spark's own limit
+    with by_bucket(spark, buckets) as buckets:
+        runs = []
+        for k in range(n_runs):
+            rows = digests.where(F.col("run") == k).groupBy(*_KEY).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+            runs.append(stored_in_buckets(rows, "digest-run", _KEY, buckets))
+        while len(runs) > 1:
+            pairs = [runs[k : k + 2] for k in range(0, len(runs), 2)]
+            runs = [stored_in_buckets(merge_pair(*p), "digest-run", _KEY, buckets) if len(p) == 2 else p[0] for p in pairs]
+            for old in (run for p in pairs if len(p) == 2 for run in p):
+                drop_stored(old)
+    winners = runs[0].select(*_KEY, F.col("best.doc_id").alias("keep_id"), "group_size")
+    # a plain table: a join that shares the buckets' partitions could not be split at a hot text
+    winners = stored(winners, "digest-winners")
+    drop_stored(runs[0])
+    return digests.join(winners, list(_KEY), "left").select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import duckdb
 
-from archivolt.llm.exact_dedup import OP6_SQL, exact_duplicates, op6_exact_dedup
+from archivolt.llm.common import by_bucket, drop_stored, stored_in_buckets
+from archivolt.llm.exact_dedup import _KEY, OP6_SQL, exact_duplicates, merge_pair, op6_exact_dedup
 
 
 def brute(rows):
@@ -22,8 +23,8 @@ def brute(rows):
 def test_matches_brute_force_over_many_runs(spark):
     rows = [(i, t) for i, t in enumerate(["a b", "ab", "a  b", None, "", " \n", "é", "É", "a b", "ab\x0b\x0c", "x" * 50_000, "ab", "\xa0ab"] * 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for parts, fan_in in ((1, 8), (13, 2), (13, 3)):
-        got = exact_duplicates(docs.repartition(parts), fan_in=fan_in).collect()
+    for parts, n_runs in ((1, 8), (13, 8), (13, 3), (5, 1)):
+        got = exact_duplicates(docs.repartition(parts), n_runs=n_runs).collect()
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == brute(rows)
 
 
@@ -36,6 +37,24 @@ def test_query_matches_sql(spark, sf_dir):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(con.execute(OP6_SQL).fetchall())
 
 
+def test_merging_two_runs_neither_exchanges_nor_sorts(spark):
+    def run(low, high):
+        rows = spark.range(low, high).selectExpr(
+            "unhex(sha2(string(id), 256)) AS digest", "id AS check", "1 AS n_norm", "struct(-1 AS rank, id + 1000 AS doc_id) AS best", "2L AS group_size"
+        )
+        return stored_in_buckets(rows.repartition(buckets, *_KEY), "digest-run", _KEY, buckets)
+
+    with by_bucket(spark, 8) as buckets:
+        a, b = run(0, 60), run(40, 100)
+        merged = merge_pair(a, b)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        got = {r.check: (r.best.doc_id, r.group_size) for r in merged.collect()}
+    assert got == {k: (k + 1000, 4 if 40 <= k < 60 else 2) for k in range(100)}
+    for run_ in (a, b):
+        drop_stored(run_)
+
+
 def test_edges(spark):
     rows = [(7, "t", 1), (7, "t", 2), (None, "t", 3), (3, "u", 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, group_size int")
