@@ -26,7 +26,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays. The input's partitions are dealt over `n_runs` runs of (SHA-256, XXH64, length, best identifier, size), each a
     table in the shared folder that is bucketed by its key and sorted in each bucket. Runs are merged two by two in
     binomial rounds, run r with run r + 1, r + 2, r + 4: merge joins, bucket by bucket, which neither exchange nor sort
-    rows and keep one row a key with the best identifier and the summed size. A merge needs all three parts of the key to
+    rows and keep one row a key with the best identifier and the summed size (Spark's writer puts each bucket in order once
+    more as it writes it). A merge needs all three parts of the key to
     agree; texts aren't compared again. A hot text is down to one row a task before the one exchange that deals a run into
     its buckets, and the last join, of all rows with the merged run, can be split at it.
 

@@ -16,18 +16,16 @@ from archivolt.llm.byte_bpe import blocks
 from archivolt.llm.common import drop_stored, stored, table, texts
 
 LENGTH = 400
-#: Bytes of the shorter strings that make a passage, and the words that a stretch of them has at least.
-PASSAGE, PASSAGE_WORDS = 300, 50
 #: Bytes of the grams whose least hash picks the anchors of a window.
-GRAM = 150
+GRAM = 200
 #: Bytes of text whose anchors are found together; about a hundred bytes of memory each.
 BLOCK = 1 << 20
 #: Entries that a sorted run is made of before it is sent.
 RUN = 20_000
 #: Merged entries that are compared together; a gram's entries are never parted.
 CHUNK = 5_000
-#: Distinct contexts of one gram from which its group is split by what stands next to the gram.
-HOT_GROUP = 5_000
+#: Entries that a bucket is for: one Python call holds a bucket's runs, at most about 650 bytes an entry.
+BUCKET_ENTRIES = 20_000
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -67,7 +65,7 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, gram hashes) of the anchors: the grams of least hash in some window of `length` bytes of one document.
 
     Whether a place is an anchor for a window depends on the window's bytes alone, so equal windows have their anchors
@@ -109,9 +107,8 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 # A run is sorted by key: the suffix at an anchor, at most LENGTH bytes of it. Each entry carries the reversed bytes before
-# the anchor, the hashes of its gram and its context (its address for the answer) and whether that context stands in two
-# places or more.
-Entry = tuple[bytes, bytes, int, int, bool]
+# the anchor and the hashes of its gram and its context (its address for the answer).
+Entry = tuple[bytes, bytes, int, int]
 
 
 def front_code(entries: list[Entry]) -> bytes:
@@ -124,7 +121,7 @@ def front_code(entries: list[Entry]) -> bytes:
     head = np.array([len(entries)], "<u4")
     columns = (
         np.array(shared, "<u2"), np.array([len(r) for r in rests], "<u2"), np.array([len(e[1]) for e in entries], "<u2"),
-        np.array([e[2] for e in entries], "<i8"), np.array([e[3] for e in entries], "<i8"), np.array([e[4] for e in entries], "u1"),
+        np.array([e[2] for e in entries], "<i8"), np.array([e[3] for e in entries], "<i8"),
     )
     return b"".join([head.tobytes(), *(c.tobytes() for c in columns), *rests, *(e[1] for e in entries)])
 
@@ -133,13 +130,13 @@ def decode_run(blob: bytes) -> Iterator[tuple[int, Entry]]:
     """(prefix shared with the entry before, entry) of a run in order."""
     n = int(np.frombuffer(blob, "<u4", 1)[0])
     at, columns = 4, []
-    for kind in ("<u2", "<u2", "<u2", "<i8", "<i8", "u1"):
+    for kind in ("<u2", "<u2", "<u2", "<i8", "<i8"):
         columns.append(np.frombuffer(blob, kind, n, at))
         at += columns[-1].nbytes
     left_at, key = at + int(columns[1].sum()), b""
-    for h, size, left, gram, context, many in zip(*(c.tolist() for c in columns)):
+    for h, size, left, gram, context in zip(*(c.tolist() for c in columns)):
         key = key[:h] + blob[at : at + size]
-        yield h, (key, blob[left_at : left_at + left], gram, context, bool(many))
+        yield h, (key, blob[left_at : left_at + left], gram, context)
         at, left_at = at + size, left_at + left
 
 
@@ -207,7 +204,8 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
     elsewhere too; -2 where there is none, -1 where all do.
 
     The shared prefixes cut the merged order into classes of equal bytes from the anchor on, for any number of bytes; a sort
-    by the bytes before it gives the same for those. For each split of a window, contexts in one class on both sides share it.
+    by the bytes before it gives the same for those. Entries with equal bytes on both sides share all windows, and one of
+    them stands for the rest. For each split of a window, contexts in one class on both sides share it.
     """
     m, around = len(part), length - gram
     least, most = np.full(m, -2), np.full(m, -2)
@@ -216,14 +214,21 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
     after = np.array([len(e[0]) for _, e in part]) - gram
     left = [e[1][:around] for _, e in part]
     before = np.array([len(x) for x in left])
-    many = np.array([e[4] for _, e in part], bool)
+    # entries with one key stand in a row, in any order of the bytes before it
+    keys = np.cumsum(np.append(True, (prefix[1:] < after[1:]) | (after[1:] != after[:-1])))
+    firsts: dict[tuple[int, bytes], int] = {}
+    first_of = np.array([firsts.setdefault(sides, i) for i, sides in enumerate(zip(keys.tolist(), left))])
+    copies = np.bincount(first_of, minlength=m)
+    many = copies[first_of] > 1
     most[many & (np.minimum(before, around) + np.minimum(after, around) >= around)] = -1
+    # an entry that a former one stands for has that one's key, so the entry after it shares no less without it
+    alone = first_of == np.arange(m)
     group = np.cumsum(prefix < 0)
-    size, single = np.bincount(group), np.bincount(group, ~many)
-    open_ = np.flatnonzero((size[group] > 1) & (single[group] > 0))  # others have nobody to share with, or no need to
+    size, single = np.bincount(group, alone), np.bincount(group, ~many)
+    open_ = np.flatnonzero(alone & (size[group] > 1) & (single[group] > 0))  # others have nobody to share with, or no need to
     if not len(open_):
         return least, most
-    # within open groups the prefix to the entry before is untouched, as whole groups stay or go
+    # within open groups the prefix to the entry before is untouched: whole groups stay or go, and what goes of others are copies
     prefix, after, before, many, group = prefix[open_], after[open_], before[open_], many[open_], group[open_]
     wide = np.array([int(g).to_bytes(8, "big") + left[i] for g, i in zip(group, open_)], f"S{around + 8}")
     order = np.argsort(before, kind="stable")
@@ -249,7 +254,7 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
     return least, most
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     around = length - gram
     for batch in batches:
         for part in blocks(batch, size=BLOCK):
@@ -257,7 +262,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, pass
             edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
             raw = memoryview(body.buffers()[2] or b"")[edges[0] : edges[-1]]
             ends = edges[1:] - edges[0]
-            places, grams = anchors(np.frombuffer(raw, np.uint8), ends, passage, gram)
+            places, grams = anchors(np.frombuffer(raw, np.uint8), ends, length, gram)
             doc = np.searchsorted(ends, places, "right")
             begin = (np.append(0, ends[:-1]))[doc]
             low, high = np.maximum(begin, places - around), np.minimum(ends[doc], places + length)
@@ -275,8 +280,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, pass
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    around, least = length - gram, passage - gram
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    around = length - gram
     waiting: list[tuple[int, Entry]] = []
 
     def send() -> Iterator[pa.RecordBatch]:
@@ -294,9 +299,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: in
                 a, g = mark["place"], mark["gram"]
                 key = text[a : a + length]
                 before = text[max(0, a - around) : a][::-1]
-                entry = (key, before, g, mark["context"], mark["n"] > 1)
+                entry = (key, before, g, mark["context"])
                 if mark["hot"]:  # a window has half of what surrounds the gram on one of its sides
-                    sides = key[: gram + least // 2], b"<" + before[: least - least // 2]
+                    sides = key[: gram + around // 2], b"<" + before[: around - around // 2]
                     waiting.extend((b, entry) for b in {xxhash.xxh3_64_intdigest(x, g % 2**64) % buckets for x in sides})
                 else:
                     waiting.append((g % buckets, entry))
@@ -306,25 +311,29 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: in
         yield from send()
 
 
-_FOUND = "gram bigint, context bigint, least int, most int, passage_least int, passage_most int"
+_FOUND = "gram bigint, context bigint, least int, most int"
 
 
-def _merged(pdf: pd.DataFrame, length: int, gram: int, passage: int) -> pd.DataFrame:
-    """The answer for each context of a bucket: the windows of `length` and of `passage` bytes that it shares."""
+def _merged(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
+    """The answer for each context of a bucket: the windows of `length` bytes that it shares."""
     columns: list[list[np.ndarray]] = []
     for part in in_groups(merge_runs([decode_run(r) for r in pdf.run]), gram):
-        whole = *shared_windows(part, gram, length), *shared_windows(part, gram, passage)
-        some = np.flatnonzero((whole[1] > -2) | (whole[3] > -2))
+        whole = shared_windows(part, gram, length)
+        some = np.flatnonzero(whole[1] > -2)
         address = (np.array([e[k] for _, e in part], np.int64)[some] for k in (2, 3))
         columns.append([*address, *(w[some] for w in whole)])
     names = [c.split()[0] for c in _FOUND.split(", ")]
     return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*columns))} if columns else {n: [] for n in names})
 
 
-def _covered(size: int, place: np.ndarray, least: np.ndarray, most: np.ndarray, length: int, gram: int) -> list[int]:
-    """The edges (start, end, start, ...) of the stretches that windows of `length` bytes around the anchors cover."""
-    some = most > -2
-    place, least, most = place[some], least[some], most[some]
+_SPAN = ("place", "least", "most")
+
+
+def _covered(size: int, marks: pa.Scalar, length: int, gram: int) -> list[int]:
+    """The edges (start, end, start, ...) of the stretches that windows of `length` bytes around a text's anchors cover."""
+    if not marks.is_valid or not len(marks):
+        return []
+    place, least, most = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in _SPAN)
     low = np.where(most < 0, np.maximum(place - (length - gram), 0), place - most)
     high = np.where(most < 0, np.minimum(place + length, size), place - least + length)
     change = np.zeros(size + 1, np.int64)
@@ -333,61 +342,51 @@ def _covered(size: int, place: np.ndarray, least: np.ndarray, most: np.ndarray,
     return np.flatnonzero(np.diff(np.cumsum(change)[:-1] > 0, prepend=False, append=False)).tolist()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int, passage: int, words: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for body, marks in zip(batch.column("body"), batch.column("spans")):
-            text, ends, n_words = body.as_py(), [], 0
-            if marks.is_valid and len(marks):
-                place, *ranges = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in _SPAN)
-                ends = _covered(len(text), place, *ranges[:2], length, gram)
-                near = _covered(len(text), place, *ranges[2:], passage, gram)
-                counts = [len(text[a:b].split()) for a, b in zip(near[::2], near[1::2])]
-                n_words = sum(n for n in counts if n >= words)
+            text = body.as_py()
+            ends = _covered(len(text), marks, length, gram)
             keep = b"".join(text[a:b] for a, b in zip([0, *ends[1::2]], [*ends[::2], len(text)]))
-            out.append((len(text), len(text) - len(keep), len(ends) // 2, n_words, keep))
-        *numbers, kept = zip(*out) if out else ((),) * 5
+            out.append((len(text), len(text) - len(keep), len(ends) // 2, keep))
+        *numbers, kept = zip(*out) if out else ((),) * 4
         columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept"])
-
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-_SPAN = ("place", "least", "most", "passage_least", "passage_most")
 
+def _passage_words(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = []
+        for body, marks in zip(batch.column("body"), batch.column("spans")):
+            text = body.as_py()
+            ends = _covered(len(text), marks, length, gram)
+            counts.append([n for n in (len(text[a:b].split()) for a, b in zip(ends[::2], ends[1::2])) if n >= words])
+        columns = [batch.column("doc_id"), pa.array(map(len, counts), pa.int64()), pa.array(map(sum, counts), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_passages", "n_passage_words"])
 
-def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, n_passage_words, kept) of every document; kept: the UTF-8 bytes that are left.
 
-    A byte goes if some `length`-byte string of the input that covers it also starts anywhere else, in the same
-    document or another; matches never cross documents. n_passage_words tells of shorter repeats, which stay: the words in
-    stretches of at least `words` words that `passage`-byte strings cover which also start elsewhere
-    (gram < passage <= length; a passage of 50 words often has fewer than 400 bytes).
+def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, split_over: int) -> DataFrame:
+    """(doc_id, body, spans) of every document: at which anchors which windows of `length` bytes start anywhere else too.
 
     1. Anchors: a window's least gram hash picks the same place in equal windows, so the suffixes at anchors are enough.
        Their rows hold no text, only the hashes of the gram and of the context (all that windows around it can reach).
-    2. Grams that stand in one place are dropped. Of each context of the others one representative remains, with the
-       number of its places, so copies don't multiply before they are sent.
+    2. Grams that stand in one place are dropped. Of each context of the others one representative remains, or two where
+       it stands in more than one place, so copies don't multiply before they are sent.
     3. Representatives fetch their text by document. Each task sorts its suffixes by their bytes into front-coded runs,
-       which are exchanged by gram; a gram with over HOT_GROUP contexts is split by the bytes on either side that any of
-       its windows must share at least on one side.
+       which are exchanged by gram, to as many buckets as keep each at about BUCKET_ENTRIES. A gram with over `split_over`
+       contexts is split by the bytes on either side that any of its windows must share at least on one side. That sends
+       each of its entries twice, so it isn't done for all grams: nearly all have a few contexts.
     4. A loser tree merges the runs without comparing a known prefix again, and gives the entries a gram at a time; the
        shared prefixes, with a sort of the bytes before the anchor, give the windows of each context that stand elsewhere.
-       All that is removed comes from these answers.
+       That copies are copies is seen there too, in the bytes of two representatives.
     5. The answers go back to all places of their contexts by hash joins that adaptive execution can split.
-
-    A context's representative stands for those with 128 equal hash bits; different contexts are compared by bytes. A null
-    text is empty. Rows that repeat an id and text count as places of their own (so a long repeated row goes whole); null
-    ids pass through. An empty table gives an empty one. A long text is read in one piece: about a hundred bytes of a
-    Python worker's memory for each of its bytes.
     """
     rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     rows = rows.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("row"), F.octet_length("body").alias("n_bytes"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
     found = stored(
-        rows.where(F.col("n_bytes") >= passage).select("body", "row", "n_bytes").mapInArrow(
-            lambda b: _anchor_rows(b, length, gram, passage), "row bigint, n_bytes int, place int, gram bigint, context bigint"
+        rows.where(F.col("n_bytes") >= length).select("body", "row", "n_bytes").mapInArrow(
+            lambda b: _anchor_rows(b, length, gram), "row bigint, n_bytes int, place int, gram bigint, context bigint"
         ),
         "anchors",
     )
@@ -397,27 +396,61 @@ def remove_repeats(
     again = stored(found.join(grams, "gram"), "repeated-anchors")
     drop_stored(found)
     drop_stored(grams)
-    kinds = again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "n_bytes", "place")).alias("at"))
+    at = F.struct("row", "n_bytes", "place")
+    kinds = again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"), F.max(at).alias("other"))
     kinds = stored(kinds, "contexts")
-    sizes = kinds.groupBy("gram").agg((F.count(F.lit(1)) > HOT_GROUP).alias("hot"))
-    mark = F.struct("at.place", "gram", "context", "n", "hot")
-    marks = kinds.join(sizes, "gram").groupBy("at.row", "at.n_bytes").agg(F.collect_list(mark).alias("marks"))
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.join(marks, ["row", "n_bytes"]).mapInArrow(
-        lambda b: _runs(b, length, gram, passage, buckets), "bucket int, run binary"
-    )
-    windows = runs.groupBy("bucket").applyInPandas(lambda pdf: _merged(pdf, length, gram, passage), _FOUND)
-    least = (F.min(F.when(F.col(c) > -2, F.col(c))).alias(c) for c in ("least", "passage_least"))
-    windows = windows.groupBy("gram", "context").agg(*least, *(F.max(c).alias(c) for c in ("most", "passage_most")))
-    spans = again.join(windows.fillna(-2), ["gram", "context"])
+    buckets = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * kinds.count() // BUCKET_ENTRIES)
+    sizes = kinds.groupBy("gram").agg((F.count(F.lit(1)) > split_over).alias("hot"))
+    places = F.when(F.col("n") > 1, F.array("at", "other")).otherwise(F.array("at"))
+    sent = kinds.join(sizes, "gram").select("gram", "context", "hot", F.explode(places).alias("at"))
+    mark = F.struct("at.place", "gram", "context", "hot")
+    marks = sent.groupBy("at.row", "at.n_bytes").agg(F.collect_list(mark).alias("marks"))
+    runs = rows.join(marks, ["row", "n_bytes"]).mapInArrow(lambda b: _runs(b, length, gram, buckets), "bucket int, run binary")
+    windows = runs.groupBy("bucket").applyInPandas(lambda pdf: _merged(pdf, length, gram), _FOUND)
+    least = F.min(F.when(F.col("most") >= 0, F.col("least")))
+    windows = windows.groupBy("gram", "context").agg(least.alias("least"), F.min("most").alias("all"), F.max("most").alias("most"))
+    most = F.when(F.col("all") < 0, -1).otherwise(F.col("most"))
+    windows = windows.select("gram", "context", F.coalesce("least", F.lit(-2)).alias("least"), most.alias("most"))
+    spans = again.join(windows, ["gram", "context"])
     by_doc = spans.groupBy("row", "n_bytes").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
-    return rows.join(by_doc, ["row", "n_bytes"], "left").select("doc_id", "body", "spans").mapInArrow(
-        lambda b: _cut(b, length, gram, passage, words),
-        f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, n_passage_words bigint, kept binary",
+    return rows.join(by_doc, ["row", "n_bytes"], "left").select("doc_id", "body", "spans")
+
+
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", split_over: int = 5_000
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept: the UTF-8 bytes that are left.
+
+    A byte goes if some `length`-byte string of the input that covers it also starts anywhere else, in the same
+    document or another; matches never cross documents (gram < length). See `_repeats` for the way.
+
+    All that is removed comes from the merge. The representatives of a context stand for those with 128 equal hash bits;
+    different contexts, and the two representatives of one, are compared by bytes. A null text is empty. Rows that repeat an
+    id and text count as places of their own (so a long repeated row goes whole); null ids pass through. An empty table
+    gives an empty one. A long text is read in one piece: about a hundred bytes of a Python worker's memory for each of its
+    bytes. `split_over` changes what is sent where, never the result.
+    """
+    found = _repeats(docs, length, gram, id_col, text_col, split_over)
+    id_type = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(
+        lambda b: _cut(b, length, gram), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    )
+
+
+def repeated_passages(
+    docs: DataFrame, length: int = 300, gram: int = 150, words: int = 50, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_passages, n_passage_words) of every document: its stretches of at least `words` words that `length`-byte
+    strings cover which also start elsewhere. Many passages of 50 words have fewer than 400 bytes, so `remove_repeats`
+    leaves them; a passage of fewer than `length` bytes isn't found. Nulls, empty texts, repeats and empty tables as there."""
+    found = _repeats(docs, length, gram, id_col, text_col, 5_000)
+    id_type = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(
+        lambda b: _passage_words(b, length, gram, words), f"doc_id {id_type}, n_passages bigint, n_passage_words bigint"
     )
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns, and n_passage_words: the words in repeated passages of 50 words and 300 bytes or more."""
+    """The contract's columns."""
     out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

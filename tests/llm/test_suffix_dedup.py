@@ -7,29 +7,22 @@ import pandas as pd
 import pytest
 
 from archivolt.llm import suffix_dedup
-from archivolt.llm.suffix_dedup import anchors, decode_run, front_code, merge_runs, op2_suffix_array_dedup, remove_repeats
+from archivolt.llm.suffix_dedup import anchors, decode_run, front_code, merge_runs, op2_suffix_array_dedup, remove_repeats, repeated_passages
 
 
-def brute(texts, length, passage, words):
-    """[(n_bytes, n_removed, n_spans, n_passage_words, kept)] by counting every window."""
+def brute(texts, length):
+    """[(n_bytes, n_removed, n_spans, kept, stretches)] by counting every window."""
     bodies = [(t or "").encode() for t in texts]
-
-    def covered(size):
-        count = Counter(b[i : i + size] for b in bodies for i in range(len(b) - size + 1))
-        for b in bodies:
-            gone = np.zeros(len(b) + 1, bool)
-            for i in range(len(b) - size + 1):
-                if count[b[i : i + size]] > 1:
-                    gone[i : i + size] = True
-            yield gone[: len(b)]
-
+    count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
-    for b, gone, near in zip(bodies, covered(length), covered(passage)):
+    for b in bodies:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = True
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        edges = np.flatnonzero(np.diff(near, prepend=False, append=False)).tolist()
-        n_words = [len(b[x:y].split()) for x, y in zip(edges[::2], edges[1::2])]
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        out.append((len(b), len(b) - len(kept), spans, sum(n for n in n_words if n >= words), kept))
+        edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
+        out.append((len(b), len(b) - len(kept), len(edges) // 2, kept, [b[x:y] for x, y in zip(edges[::2], edges[1::2])]))
     return out
 
 
@@ -49,27 +42,47 @@ def made(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 5000), (2, 1)])
-def test_matches_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_GROUP", hot)
+@pytest.mark.parametrize(("seed", "split_over", "entries"), [(1, 5000, 20_000), (2, 1, 20_000), (3, 5000, 3)])
+def test_matches_brute_force(spark, monkeypatch, seed, split_over, entries):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", entries)
     texts = made(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: (*r[1:5], bytes(r.kept)) for r in remove_repeats(docs, 20, 6, 12, 2).collect()}
-    assert got == dict(enumerate(brute(texts, 20, 12, 2)))
+    got = {r.doc_id: (*r[1:4], bytes(r.kept)) for r in remove_repeats(docs, 20, 6, split_over=split_over).collect()}
+    assert got == {i: w[:4] for i, w in enumerate(brute(texts, 20))}
+
+
+def test_passages_match_brute_force(spark):
+    texts = made(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in repeated_passages(docs, 12, 6, 2).collect()}
+    counts = [[n for n in (len(x.split()) for x in w[4]) if n >= 2] for w in brute(texts, 12)]
+    assert got == {i: (len(c), sum(c)) for i, c in enumerate(counts)}
 
 
 def test_query_matches_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    want = brute([r.text for r in rows], 400, 300, 50)
-    got = {r.doc_id: (*r[1:4], r.n_passage_words, r.kept_sha256) for r in op2_suffix_array_dedup(spark, sf_dir).collect()}
-    assert got == {r.doc_id: (*w[:4], hashlib.sha256(w[4]).hexdigest()) for r, w in zip(rows, want)}
+    want = brute([r.text for r in rows], 400)
+    got = {r.doc_id: (*r[1:4], r.kept_sha256) for r in op2_suffix_array_dedup(spark, sf_dir).collect()}
+    assert got == {r.doc_id: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, want)}
 
 
 def test_everything_removed_comes_from_the_merged_runs(spark, monkeypatch):
+    """Copies too: two places of a context meet in the merge, and their bytes decide."""
     docs = spark.createDataFrame([(k, "passage " * 20) for k in range(3)], "doc_id bigint, text string")
-    assert {r.n_removed for r in remove_repeats(docs, 20, 6, 12, 2).collect()} == {160}
+    assert {r.n_removed for r in remove_repeats(docs, 20, 6).collect()} == {160}
     monkeypatch.setattr(suffix_dedup, "_merged", lambda pdf, *sizes: pd.DataFrame({c.split()[0]: [] for c in suffix_dedup._FOUND.split(", ")}))
-    assert {r.n_removed for r in remove_repeats(docs, 20, 6, 12, 2).collect()} == {0}
+    assert {r.n_removed for r in remove_repeats(docs, 20, 6).collect()} == {0}
+
+
+def test_one_of_many_copies_stands_for_the_rest():
+    word = lambda n, seed: bytes(random.Random(seed).choices(b"ab", k=n))
+    same = (b"gram" + word(8, 1), word(8, 2), 7, 0)
+    half = (b"gram" + word(8, 1), b"z" * 8, 7, 1)
+    other = (b"tram" + word(8, 1), word(8, 2), 8, 2)
+    merged = list(merge_runs([decode_run(front_code(sorted(r))) for r in ([same, half], [same], [same, other])]))
+    least, most = suffix_dedup.shared_windows(merged, 4, 12)
+    found = {(e[3], lo, hi) for (_, e), lo, hi in zip(merged, least.tolist(), most.tolist())}
+    assert found == {(0, -2, -1), (1, 0, 0), (2, -2, -2)}
 
 
 def test_a_passage_of_fifty_words_under_the_length_is_reported_and_stays(spark):
@@ -79,8 +92,9 @@ def test_a_passage_of_fifty_words_under_the_length_is_reported_and_stays(spark):
     rows = [(1, f"{text(40)} {passage} {text(30)}"), (2, f"{text(10)} {passage}"), (3, text(90))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert 300 < len(passage) < 400
-    got = {r.doc_id: (r.n_removed, r.n_passage_words >= 60) for r in remove_repeats(docs).collect()}
-    assert got == {1: (0, True), 2: (0, True), 3: (0, False)}
+    assert {r.n_removed for r in remove_repeats(docs).collect()} == {0}
+    got = {r.doc_id: (r.n_passages, r.n_passage_words >= 60) for r in repeated_passages(docs).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (0, False)}
 
 
 def test_anchors_fall_alike_in_equal_windows():
@@ -98,7 +112,7 @@ def test_anchors_fall_alike_in_equal_windows():
 
 def test_loser_tree_merges_front_coded_runs():
     rng = random.Random(4)
-    entries = [(bytes(8) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))), b"x" * rng.randint(0, 3), -i, i, i % 2 == 0) for i in range(300)]
+    entries = [(bytes(8) + bytes(rng.choices(b"ab", k=rng.randint(0, 12))), b"x" * rng.randint(0, 3), -i, i) for i in range(300)]
     for k in (1, 3, 8):
         runs = [sorted(entries[i::k]) for i in range(k)]
         coded = [front_code(r) for r in runs]
@@ -113,7 +127,7 @@ def test_loser_tree_merges_front_coded_runs():
 def test_chunks_never_part_a_gram():
     rng = random.Random(6)
     keys = sorted(bytes(rng.choices(b"ab", k=12)) for _ in range(200))
-    entries = [(k, bytes(rng.choices(b"ab", k=rng.randint(0, 8))), 0, i, False) for i, k in enumerate(keys)]
+    entries = [(k, bytes(rng.choices(b"ab", k=rng.randint(0, 8))), 0, i) for i, k in enumerate(keys)]
     merged = list(merge_runs([decode_run(front_code(entries[i::5])) for i in range(5)]))
     whole = list(suffix_dedup.in_groups(iter(merged), 4, 10**6))
     parts = list(suffix_dedup.in_groups(iter(merged), 4, 3))
@@ -130,4 +144,6 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept int")
     got = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in remove_repeats(docs).collect())
     assert got == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 1000, 1), (3, 1000, 1)]
-    assert remove_repeats(docs.limit(0)).collect() == []
+    assert remove_repeats(docs.limit(0)).collect() == [] and repeated_passages(docs.limit(0)).collect() == []
+    got = sorted((r.doc_id or 0, r.n_passages) for r in repeated_passages(docs, words=1).collect())
+    assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
