@@ -400,9 +400,10 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     kinds = again.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"), F.max(at).alias("other"))
     kinds = stored(kinds, "contexts")
     buckets = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * kinds.count() // BUCKET_ENTRIES)
-    sizes = kinds.groupBy("gram").agg((F.count(F.lit(1)) > split_over).alias("hot"))
+    hot = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_over)
+    hot = stored(hot.select("gram", F.lit(True).alias("hot")), "hot-grams")
     places = F.when(F.col("n") > 1, F.array("at", "other")).otherwise(F.array("at"))
-    sent = kinds.join(sizes, "gram").select("gram", "context", "hot", F.explode(places).alias("at"))
+    sent = kinds.join(hot, "gram", "left").select("gram", "context", F.coalesce("hot", F.lit(False)).alias("hot"), F.explode(places).alias("at"))
     mark = F.struct("at.place", "gram", "context", "hot")
     marks = sent.groupBy("at.row", "at.n_bytes").agg(F.collect_list(mark).alias("marks"))
     runs = rows.join(marks, ["row", "n_bytes"]).mapInArrow(lambda b: _runs(b, length, gram, buckets), "bucket int, run binary")
@@ -411,6 +412,9 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     windows = windows.groupBy("gram", "context").agg(least.alias("least"), F.min("most").alias("all"), F.max("most").alias("most"))
     most = F.when(F.col("all") < 0, -1).otherwise(F.col("most"))
     windows = windows.select("gram", "context", F.coalesce("least", F.lit(-2)).alias("least"), most.alias("most"))
+    windows = stored(windows, "shared-windows")  # as of the grams: a context with very many places can be split then
+    drop_stored(kinds)
+    drop_stored(hot)
     spans = again.join(windows, ["gram", "context"])
     by_doc = spans.groupBy("row", "n_bytes").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
     return rows.join(by_doc, ["row", "n_bytes"], "left").select("doc_id", "body", "spans")
