@@ -130,7 +130,8 @@ def drop_repeated_lines(docs: DataFrame, n_batches: int = 4, fan_in: int = 2, mi
     loses all its lines but those in the smallest doc_id that holds it. The other lines stay, joined by a newline.
     A null text counts as one empty line and comes back empty. A document with a null doc_id keeps all lines and is no
     owner. Rows that repeat a doc_id are parts of one document: none loses a line to another. Ids are of any type that has
-    an order. All other columns are passed through. An empty table gives an empty one. A long text is split in one piece,
+    an order. All other columns are passed through, but columns named
+    n_lines or n_dropped, which are replaced. An empty table gives an empty one. A long text is split in one piece,
     in memory of a few times its size.
     """
     drops = (

@@ -16,8 +16,6 @@ from archivolt.llm.common import stored, table, texts
 from archivolt.llm.components import components
 from archivolt.llm.minhash import similar_groups
 
-#: Largest table bucket that probes are verified against one by one; larger ones take the whole-fingerprint balls.
-COLD_BUCKET = 64
 _HALF = 32
 _LOW = (1 << _HALF) - 1
 
@@ -99,19 +97,23 @@ def _keyed(prints: DataFrame, values) -> DataFrame:
     return prints.select("fp", F.explode(both).alias("p")).select("fp", "p.seg", F.explode("p.values").alias("value"))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, bucket_limit: int = 64) -> DataFrame:
     """(a, b) links over distinct fingerprints `fp`, enough to connect all that differ in at most two bits.
 
     Two such fingerprints differ in at most one bit in their high or their low half. Each half is a table of buckets;
     every fingerprint enumerates the half's one-bit Hamming ball, fetches the bucket of each value and verifies the full
-    distance. Where a bucket holds more than COLD_BUCKET fingerprints (a cloud of near copies that share a half),
+    distance. Where a bucket holds more than `bucket_limit` fingerprints (a cloud of near copies that share a half),
     comparing its members would be quadratic: the fingerprints in or next to such a bucket are instead keyed by their
     ball over both halves, 65 whole values each. Two fingerprints are within two bits exactly if those balls meet, at
     most 65 fingerprints share a value, and linking each to the smallest one there keeps all connections.
+
+    The limit changes how pairs are found, never which documents connect. At 64 a fingerprint meets at most as many others
+    in a bucket as its whole-value ball has keys, from where on the balls are the cheaper way; balls for all
+    would make 65 keys where probing makes about 17 a half and fetches few matches.
     """
     entries = _keyed(prints, lambda fp, seg: F.array(_segment(fp, seg)))
     sizes = entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n"))
-    hot = stored(sizes.where(F.col("n") > COLD_BUCKET).select("seg", "value"), "hot-buckets")
+    hot = stored(sizes.where(F.col("n") > bucket_limit).select("seg", "value"), "hot-buckets")
     cold = entries.join(hot, ["seg", "value"], "left_anti").withColumnRenamed("fp", "b")
     verified = (
         _keyed(prints, _probes)

@@ -1,9 +1,9 @@
 import itertools
 
 import numpy as np
+import pytest
 import xxhash
 
-from archivolt.llm import simhash
 from archivolt.llm.components import components
 from archivolt.llm.simhash import fingerprint, links, near_duplicates, op1_simhash_near_dedup
 
@@ -50,8 +50,8 @@ def test_query_matches_brute_force(spark, sf_dir):
     }
 
 
-def test_links_with_hot_buckets_keep_components(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COLD_BUCKET", 3)
+@pytest.mark.parametrize("bucket_limit", [0, 3, 64])
+def test_links_keep_components_at_any_bucket_limit(spark, bucket_limit):
     rng = np.random.default_rng(5)
     centres = [int(x) for x in rng.integers(0, 2**62, 6)]
     prints = {}
@@ -62,7 +62,7 @@ def test_links_with_hot_buckets_keep_components(spark, monkeypatch):
         prints[n] = value
     signed = {v - (1 << 64 if v >> 63 else 0) for v in prints.values()}
     nodes = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-    got = components(nodes.withColumnRenamed("fp", "node"), links(nodes)).collect()
+    got = components(nodes.withColumnRenamed("fp", "node"), links(nodes, bucket_limit)).collect()
     label = {r.node % 2**64: r.label for r in got}
     want = brute_components(prints)
     for a, b in itertools.combinations(prints, 2):
