@@ -273,7 +273,7 @@ def fallback_contained(spark, sf):
     rows = read(spark, sf, "customer", "c_custkey").select(k, (k % 30).alias("day"), F.when(k % 2 == 0, "Example").otherwise("zzz").alias("word"))
     pages = read(spark, sf, "pages", "page_id", "url").select(F.col("page_id").alias("hit"), (F.col("page_id") % 30).alias("day"), "url")
     own = rows.join(pages, F.col("c_custkey") == F.col("hit")).select("c_custkey", "hit")
-    held = J.contained_step(rows, pages, "day", "word", "url").groupBy("c_custkey").agg(F.min("hit").alias("hit"))
+    held = J.contained_step(rows, pages, "day", "word", "url", "hit").select("c_custkey", "hit")
     return J.fallback_join(rows.select("c_custkey"), "c_custkey", [own, held], [F.asc("hit")]).select("c_custkey", F.coalesce("hit", F.lit(-1)).alias("hit"))
 
 

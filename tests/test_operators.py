@@ -50,6 +50,13 @@ def test_person_prefixes(spark):
     assert rows(J.person_prefixes(spark.createDataFrame(totals, "name string, n int, seq int"))) == [("Doe, Jo", "Doe, Jo Q")]
 
 
+def test_contained_step_gives_each_row_one_hit_without_pairs(spark):
+    pool = spark.createDataFrame([(5, 1, "/a/Example"), (3, 1, "/b/eXAMPLES"), (9, 2, "/c/xa"), (8, 2, None), (1, None, "/example")], "hit bigint, d int, url string")
+    asked = [(1, 1, "example"), (2, 1, "EXAMPLES"), (3, 2, "A"), (4, 2, "example"), (5, 1, ""), (6, 2, None), (7, None, "example"), (1, 1, "example")]
+    held = J.contained_step(spark.createDataFrame(asked, "r int, d int, word string"), pool, "d", "word", "url", "hit")
+    assert rows(held.select("r", "word", "hit")) == [(1, "example", 3), (1, "example", 3), (2, "EXAMPLES", 3), (3, "A", 9)]
+
+
 def test_duplicates_by_ratio(spark):
     df = [("h", 1, 900, "aa"), ("h", 1, 1000, "a"), ("g", 1, 899, "a"), ("g", 1, 1000, "b"), ("", 1, 5, "a"), ("", 1, 5, "b"), ("z", 1, 0, "a"), ("z", 1, 0, "b")]
     got = J.duplicates(spark.createDataFrame(df, "h string, d int, n int, u string"), ["h", "d"], "n", "u", "u")
