@@ -11,6 +11,16 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+#: Rows of a table that one task holds at a time, where rows are dealt by article.
+ROWS_A_TASK = 250_000
+
+
+def tasks(df: DataFrame, rows: int | None = None) -> int:
+    """Partitions that follow the table, so that a task's rows don't grow with it. Left to itself Spark merges partitions until
+    there are as many as cores, and joins, windows and sets by article then hold all of their rows in one task."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (rows or ROWS_A_TASK)))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records: section, material, words, place and region of the customer."""
     orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -41,21 +51,21 @@ def _record() -> list:
 
 def article_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealt by article before duplicates go, so that what follows by article (windows, joins, pairs) needs no exchange."""
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey")
     return (
-        read(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey")
-        .join(read(spark, sf_dir, "supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(read(spark, sf_dir, "supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.col("l_orderkey").alias("article_id"), F.col("s_name").alias("author"))
-        .repartition("article_id")
+        .repartition(tasks(lines), "article_id")
         .distinct()
     )
 
 
 def article_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
     return (
-        read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
-        .join(read(spark, sf_dir, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(read(spark, sf_dir, "part", "p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("l_orderkey").alias("article_id"), F.col("p_name").alias("subject"))
-        .repartition("article_id")
+        .repartition(tasks(lines), "article_id")
         .distinct()
     )
 
