@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import partial
 
@@ -50,17 +50,18 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array([xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
-def _classed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _classed(batches: Iterator[pa.RecordBatch], size: int, fingerprint: Callable[[bytes, int], int] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, keys, sizes = [], [], []
+        digests, keys, sizes, prints = [], [], [], []
         for body in batch.column("body"):  # one text's words at a time
             words = words_of(body.as_py())
             grams = shingles(words, size)
             digests.append(xxh3_128_digest(b" ".join(words)))
             keys.append(bands(grams))
             sizes.append(len(grams))
-        columns = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys", "size"])
+            prints.append(fingerprint(body.as_py(), size) if fingerprint else None)
+        columns = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys", "size", "fp"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +147,28 @@ def _without_keys(table: DataFrame, *columns: str) -> DataFrame:
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8") -> DataFrame:
+def _proposed(classes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) that fingerprints propose: each class with the least one of its fingerprint, and the least ones of linked
+    fingerprints with each other. So a fingerprint that many texts share makes no pairs among them."""
+    heads = stored(classes.where("size > 0").groupBy("fp").agg(F.min("node").alias("head")), "near-fingerprints")
+    own = classes.where("size > 0").join(heads, "fp").where("node <> head").select(*_pair("node", "head"))
+    met = links(heads.select("fp"))
+    for side in "ab":
+        met = met.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")), side)
+    pairs = stored(own.unionByName(met.select(*_pair("head_a", "head_b"))).distinct(), "near-proposed")
+    drop_stored(heads)
+    return pairs
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8",
+    fingerprint: Callable[[bytes, int], int] | None = None, links: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row per document: doc_id and component_id, the smallest doc_id reachable over pairs of similarity `least`.
 
+    fingerprint(text, shingle) and links(fingerprints `fp`) -> (a, b): where they are given, the pairs whose fingerprints
+    are linked or equal are the first candidates, decided by their similarity like all others.
+
     Similarity is the Jaccard similarity of the sets of word shingles. Texts of the same words are one class from the
     start. Classes that share a band of their MinHash signatures are candidates. First each is compared with one other,
     the smallest class it shares a band with; while many pairs of a band are still open, with its neighbours in rings of
@@ -159,14 +179,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ratio = Fraction(least)
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = body.schema["doc_id"].dataType.simpleString()
-    made = body.mapInArrow(partial(_classed, size=shingle), f"doc_id {kind}, node binary, keys array<bigint>, size bigint")
+    classed = partial(_classed, size=shingle, fingerprint=fingerprint)
+    made = body.mapInArrow(classed, f"doc_id {kind}, node binary, keys array<bigint>, size bigint, fp bigint")
     rows = stored(made, "near-rows")
-    classes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size")), "near-classes")
+    classes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("fp").alias("fp")), "near-classes")
+    proposed = _proposed(classes.select("node", "size", "fp"), links) if fingerprint else None
     entries = classes.select("node", "size", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
     met = stored(entries.join(centres, "key"), "near-bands")
     rows, classes = _without_keys(rows, "doc_id", "node"), _without_keys(classes, "node", "least")
-    wanted = stored(met.select("node").distinct(), "near-wanted")
+    wanted = met.select("node")
+    for side in "ab" if proposed is not None else "":
+        wanted = wanted.unionByName(proposed.select(F.col(side).alias("node")))
+    wanted = stored(wanted.distinct(), "near-wanted")
     buckets = min(100_000, max(16, wanted.count() // BUCKET_NODES))
     texts_ = body.select("body").mapInArrow(_bodies, "node binary, body binary").join(wanted, "node", "left_semi")
     one = texts_.groupBy("node").agg(F.first("body").alias("body"))
@@ -174,17 +199,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with by_bucket(body.sparkSession, buckets) as buckets:
         grams = stored_in_buckets(made, "near-shingles", ("node",), buckets)
     with settings(body.sparkSession, **IN_ORDER):
-        labels = _labels(classes.select("node"), met, grams, ratio)
-    for done in (grams, met, wanted):
+        labels = _labels(classes.select("node"), met, grams, ratio, proposed)
+    for done in (grams, met, wanted, *([] if proposed is None else [proposed])):
         drop_stored(done)
     roots = labels.join(classes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     known = labels.join(roots, "label").select("node", "component_id")
     return rows.select("doc_id", "node").join(known, "node", "left").select("doc_id", "component_id")
 
 
-def _labels(nodes: DataFrame, met: DataFrame, grams: DataFrame, ratio: Fraction) -> DataFrame:
-    """(node, label) of all nodes; met: (node, size, key, centre), the bands that several nodes share."""
-    tried = stored(met.where("node <> centre").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")), "near-tried")
+def _labels(nodes: DataFrame, met: DataFrame, grams: DataFrame, ratio: Fraction, proposed: DataFrame | None) -> DataFrame:
+    """(node, label) of all nodes; met: (node, size, key, centre), the bands that several nodes share; proposed: (a, b), pairs to
+    be compared whether or not they share a band."""
+    tried = met.where("node <> centre").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
+    tried = stored(tried if proposed is None else tried.unionByName(proposed).distinct(), "near-tried")
     near = _verified(tried, grams, ratio)
     labels = stored(components(nodes, near), "near-labels")
     placed = met.select("node", "size", "key").join(labels, "node")

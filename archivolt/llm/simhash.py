@@ -142,9 +142,10 @@ def near_duplicates(
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
     With `similarity` (a decimal such as "0.8"), texts link at that Jaccard similarity of their sets of `shingle`-word
-    shingles or more, compared exactly, and no fingerprint is returned. Two texts of similarity 0.8 differ in 10 bits of 64
-    in the mean and often in 18, for which no small balls of segments are left that tell them from strangers; so this form
-    takes its candidates from MinHash bands (see `similar_groups`). The rest holds without it:
+    shingles or more, compared exactly, and no fingerprint is returned. The fingerprints' links are the first candidates. Two
+    texts of similarity 0.8 differ in 10 bits of 64 in the mean and often in 18, for which no small balls of segments are
+    left that tell them from strangers; so MinHash bands propose the pairs that fingerprints miss (see `similar_groups`).
+    The rest holds without it:
 
     Fingerprints link at two or fewer differing bits; component_id is the smallest doc_id reachable, itself included.
     Equal fingerprints are one class from the start, so copies of a text cost one row each and no pairs.
@@ -153,7 +154,7 @@ def near_duplicates(
     empty one. A long text is hashed 65,536 shingles at a time.
     """
     if similarity is not None:
-        return similar_groups(docs, id_col, text_col, shingle, similarity)
+        return similar_groups(docs, id_col, text_col, shingle, similarity, fingerprint, links)
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     labels = components(classes.select(F.col("fp").alias("node")), links(classes.select("fp")))

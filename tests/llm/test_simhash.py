@@ -75,3 +75,18 @@ def test_edges(spark):
     got = sorted((r.doc_id or -1, r.component_id) for r in near_duplicates(docs).collect())
     assert got == [(-1, 4), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_fingerprints_propose_pairs_where_a_similarity_decides(spark):
+    """Equal and linked fingerprints are compared, by way of the least text of each."""
+    from archivolt.llm import minhash
+
+    base = " ".join(f"w{k % 977}x{k}" for k in range(3000))
+    docs = [(1, base), (2, base + " end"), (3, "something else that has nothing in common with it"), (4, base.upper()), (5, None), (6, " ")]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r.component_id for r in near_duplicates(rows, shingle=5, similarity="0.8").collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
+    fps = spark.createDataFrame([(minhash.xxh3_128_digest(bytes([k])), 9, fp) for k, fp in enumerate((0, 3, 3, 255))], "node binary, size bigint, fp bigint")
+    node = {bytes(r.node): k for k, r in enumerate(fps.collect())}
+    pairs = {frozenset((node[bytes(r.a)], node[bytes(r.b)])) for r in minhash._proposed(fps, links).collect()}
+    assert frozenset((1, 2)) in pairs and len(pairs) == 2 and any(0 in p for p in pairs) and not any(3 in p for p in pairs)
