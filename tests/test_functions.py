@@ -133,3 +133,14 @@ def test_pages_and_bios(spark):
     assert one(spark, X.quoted_headline(F.col("t")), t='An article "Some Words" had') == "Some Words"
     assert one(spark, X.labels(F.col("t"), X.CORRECTION_LABELS), t="Because of an editing error, a picture caption was") == ["photo_caption", "editing_error"]
     assert one(spark, X.token_bag("t"), t="Schlöndorff and this THEATER theater") == ["schlöndorff", "theater"]
+
+
+def test_gender_looks_for_each_sign_once(spark):
+    texts = ["Mrs. Roe met Mr. Poe and Ms. Day", "Duchess Ann", "a painter and his wife", "then she left", "Mx. Roe", "Mr roe", "xSir Al", "Dr. Ann", None, ""]
+    texts += ["survived by her children", "the widow of X", "his widow of X", "his  wife", "the father of one, she left and she her"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found = rows.select("k", X.gender_of("t").alias("g"))
+    got = [r.g and tuple(r.g) for r in found.orderBy("k").collect()]
+    want = [("F", "honorific"), ("F", "honorific"), ("M", "kinship"), ("F", "pronoun"), ("X", "honorific"), None, None, None, None, None]
+    assert got == [*want, ("F", "kinship"), None, *[("M", "kinship")] * 3]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
