@@ -361,10 +361,13 @@ WHERE author IN (SELECT author FROM w WHERE t > 30000) GROUP BY GROUPING SETS ((
 def denominators_semi(spark, sf):
     """Denominators by section, author and all, limited by a semi join to authors that the other table knows."""
     rows = article_author(spark, sf).join(records(spark, sf), "article_id")
-    known = rows.where("material = 'P'").groupBy("author").agg(F.sum("word_count").alias("t")).where("t > 30000")
-    kept = rows.join(known, "author", "left_semi")
+    # counted before the semi join and the sets, so that what moves by author are cells and not articles
+    words = F.sum(F.when(F.col("material") == "P", F.col("word_count"))).alias("t")
+    cells = rows.groupBy("section", "yr", "author").agg(F.count(F.lit(1)).alias("n"), words)
+    known = cells.groupBy("author").agg(F.sum("t").alias("t")).where("t > 30000")
+    kept = cells.join(known, "author", "left_semi")
     sets = kept.groupingSets([["section", "yr"], ["author", "yr"], ["yr"]], "section", "yr", "author")
-    return sets.agg(F.count(F.lit(1)).alias("n")).select("section", "yr", "author", "n")
+    return sets.agg(F.sum("n").alias("n")).select("section", "yr", "author", "n")
 
 
 @query("""SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
