@@ -12,7 +12,7 @@ import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -106,10 +106,13 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.single = [ranks[bytes([b])] for b in range(256)]
-        #: (left, right) -> rank of the merged token, for every way to split a token in two tokens
-        self.merged = {
-            (ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        }
+
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        """(left, right) -> rank of the merged token, for every way to split a token in two tokens. Made when it is first asked
+        for, which a codec that leaves new words to the library never does."""
+        ranks = self.ranks
+        return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
     def greedy(self, word: bytes) -> list[int]:
         """One word by the rule itself: always merge the leftmost pair of the least rank, found in a queue."""

@@ -21,6 +21,8 @@ END_ID = 1
 WINDOW = 2048
 #: Tokens of whole documents that are packed together. Only the last sequence of such a chunk can be short.
 CHUNK = 1 << 20
+#: Bytes of text that are encoded together; some twenty bytes of a worker's memory for each of them. The ids don't depend on it.
+ENCODED = 1 << 20
 #: Cost, in tokens of padding, of a cut after a sentence, of one inside a sentence, and of a sequence.
 SENTENCE_COST, TRUNCATION_COST, SEQUENCE_COST = 1.0, 24.0, 1.0
 #: A sentence longer than this many tokens may also be cut after each _GRID of them.
@@ -176,7 +178,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = codec(path, True), _Packer(TaskContext.get().partitionId(), path, window)
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, size=ENCODED):
                 packer.add(part.column("doc_id"), *own.encode(part.column("body")))
                 if packer.size >= CHUNK:
                     yield packer.flush()

@@ -2,8 +2,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from archivolt.llm import byte_bpe, packing
 from archivolt.llm.packing import SEQUENCE_COST, VOCABULARY, best_cuts, op4_packing, pack, split_tail
 
 
@@ -84,3 +86,18 @@ def test_edges(spark):
     assert [(r.doc_id, r.length) for r in got[:2]] == [(1, 1), (2, 1)]
     assert max(r.offset + r.length for r in got) <= 2048
     assert pack(docs.limit(0)).collect() == []
+
+
+def test_worker_holds_no_more_than_packing_needs():
+    """The library merges new words, so the table of merges isn't made; and what is encoded at once is bounded by ENCODED, which
+    changes no id."""
+    own = byte_bpe.codec.__wrapped__(VOCABULARY, True)
+    words = " ".join(f"w{k % 997}x{k}" for k in range(3000))
+    bodies = pa.array([f"{words} {n}".encode() for n in range(80)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), bodies], ["doc_id", "body"])
+    parts = list(byte_bpe.blocks(batch, size=packing.ENCODED))
+    assert len(parts) > 1 and all(p.num_rows == 1 or sum(map(len, p.column("body").to_pylist())) <= 1 << 20 for p in parts)
+    whole = own.encode(bodies)
+    pieces = [own.encode(p.column("body")) for p in parts]
+    assert all((np.concatenate(got) == want).all() for got, want in zip(zip(*pieces), whole))
+    assert "merged" not in vars(own.replay)
