@@ -10,7 +10,6 @@ import re
 import sys
 import unicodedata
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache, cached_property
 
@@ -33,13 +32,19 @@ _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
 BLOCK = 4 << 20
 #: Words that a Python worker remembers.
 REMEMBERED = 400_000
+#: Bytes of the longest word that takes part in a replay.
+LONG = 128
+#: Windows of ranks in which a replay reads its index.
+_WINDOWS = 128
+_NONE = np.int32((1 << 31) - 1)
 
 
 @cache
 def _classes() -> np.ndarray:
     """The class of each code point, as the pattern's \\p{L}, \\p{N} and \\s see it."""
     first = {"L": _LETTER, "N": _NUMBER}
-    out = np.fromiter((first.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)), np.uint8)
+    out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)  # planes from 4 on have neither letters nor numbers
+    out[:0x40000] = np.fromiter((first.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x40000)), np.uint8)
     out[_SPACES] = _SPACE
     return out
 
@@ -101,10 +106,11 @@ def word_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 class MergeReplay:
     """Merges replayed over a corpus of words: an inverted index leads from each token pair to its positions, the merges
-    are applied in rank order to all of them, and only the neighbours of a merged position enter the index anew."""
+    are applied in rank order to all of them, and only the neighbours of a merged position enter the index anew. Long words are
+    merged by themselves, with a queue."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.size = ranks, max(ranks.values(), default=-1) + 1
         self.single = [ranks[bytes([b])] for b in range(256)]
 
     @cached_property
@@ -135,67 +141,84 @@ class MergeReplay:
                     heapq.heappush(queue, (new, at))
         return [x for x in symbol if x >= 0]
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`merged` as ascending keys (left * size + right) and their ranks, and as a square of the ranks of any two bytes."""
+        size = self.size
+        keys = np.fromiter((a * size + b for a, b in self.merged), np.int64, len(self.merged))
+        order = np.argsort(keys)
+        bytes_ = np.full((256, 256), _NONE, np.int32)
+        for i, a in enumerate(self.single):
+            for j, b in enumerate(self.single):
+                bytes_[i, j] = self.merged.get((a, b), _NONE)
+        return keys[order], np.fromiter(self.merged.values(), np.int32, len(self.merged))[order], bytes_
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ranks, _ = self.pairs
+        if not len(keys):
+            return np.full(len(left), _NONE, np.int32)
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[at] == key) & (right >= 0), ranks[at], _NONE)
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        get, single = self.merged.get, self.single
-        symbol: list[int] = []
-        starts, owners = [], []
-        for w, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[w] = [whole]
-            else:
-                starts.append(len(symbol))
-                owners.append(w)
-                symbol.extend(map(single.__getitem__, word))
-                symbol.append(-1)  # never part of a pair
-        n = len(symbol)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i, rank in enumerate(map(get, zip(symbol, symbol[1:]))):
-            if rank is not None:
-                index.setdefault(rank, []).append(i)
-        queue = list(index)
-        heapq.heapify(queue)
-        redo = set()
-        while queue:
-            rank = heapq.heappop(queue)
-            places = index.pop(rank)
-            places.sort()
-            for i in places:
-                if symbol[i] < 0:
-                    continue
+        whole = [self.ranks.get(w) for w in words]
+        short = [w for w, r in zip(words, whole) if r is None and 0 < len(w) <= LONG]
+        replayed = iter(self._replayed(short))
+        return [[r] if r is not None else next(replayed) if 0 < len(w) <= LONG else self.greedy(w) for w, r in zip(words, whole)]
+
+    def _replayed(self, words: list[bytes]) -> list[list[int]]:
+        """The replay over words of bounded length, which makes the number of its steps independent of theirs.
+
+        The index is the positions in the order of their pairs' ranks. It is read in windows of ranks, and what a merge makes is
+        put with the window of its own rank. A step takes the least pair of each word in the window (of equal ones the first),
+        which is what the rule merges next there, and merges at all these positions at once; words don't meet, so no two touch.
+        """
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        stops = np.cumsum(sizes + 1) - 1  # never part of a pair
+        n = len(data)
+        symbol = np.array(self.single, np.int32)[data]
+        symbol[stops] = -1
+        rank = np.full(n, _NONE, np.int32)
+        rank[:-1] = self.pairs[2][data[:-1], data[1:]]
+        rank[stops] = rank[stops - 1] = _NONE
+        owner = np.repeat(np.arange(len(words)), sizes + 1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        index = np.flatnonzero(rank < _NONE)
+        index = index[np.argsort(rank[index], kind="stable")]
+        tops = np.append(np.unique(rank[index][np.linspace(0, len(index) - 1, _WINDOWS).astype(np.int64)]) if len(index) else [], _NONE)
+        cuts = np.append(0, np.searchsorted(rank[index], tops))
+        made: list[list[np.ndarray]] = [[] for _ in tops]
+        for k, top in enumerate(tops):
+            open_ = np.concatenate([index[cuts[k] : cuts[k + 1]], *made[k]])
+            made[k] = []
+            while len(open_ := np.unique(open_[rank[open_] < top])):
+                open_ = open_[np.argsort(owner[open_] << 32 | rank[open_], kind="stable")]
+                first = np.append(True, owner[open_[1:]] != owner[open_[:-1]])
+                i = open_[first]
                 j = after[i]
-                if get((symbol[i], symbol[j])) != rank:
-                    continue
-                symbol[i], symbol[j] = rank, -2
-                k = after[i] = after[j]
-                before[k] = i
-                for at, pair in ((before[i], None), (i, (rank, symbol[k]))):
-                    if pair is None:
-                        if at < 0:
-                            continue
-                        pair = (symbol[at], rank)
-                    new = get(pair)
-                    if new is not None:
-                        if new < rank:  # the rule would take this one first within its word
-                            redo.add(bisect_right(starts, i) - 1)
-                        if new in index:
-                            index[new].append(at)
-                        else:
-                            index[new] = [at]
-                            heapq.heappush(queue, new)
-        for s, (w, at) in enumerate(zip(owners, starts)):
-            if s in redo:
-                out[w] = self.greedy(words[w])
-                continue
-            ids = []
-            while symbol[at] >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out[w] = ids
-        return out
+                symbol[i], symbol[j] = rank[i], -2
+                rank[j] = _NONE
+                after[i] = after[j]
+                before[after[i]] = i
+                rank[i] = self._ranks_of(symbol[i], symbol[after[i]])
+                left = before[i]
+                left, right = left[left >= 0], i[left >= 0]
+                rank[left] = np.where(symbol[left] >= 0, self._ranks_of(symbol[left], symbol[right]), _NONE)
+                new = np.concatenate([i, left])
+                far = new[(rank[new] >= top) & (rank[new] < _NONE)]
+                slot = np.searchsorted(tops, rank[far], "right")
+                far, slot = far[np.argsort(slot, kind="stable")], np.sort(slot)
+                begins = np.flatnonzero(np.diff(slot, prepend=-1))
+                for at, part in zip(slot[begins], np.split(far, begins[1:])):
+                    made[at].append(part)
+                open_ = np.concatenate([open_[~first], new])
+        kept = symbol >= 0
+        ids, ends = symbol[kept].tolist(), np.cumsum(kept)[stops].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -207,6 +230,7 @@ class Codec:
         self.library, self.added = library, added or {}
         self.pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.known: dict[bytes, bytes] = {}  # a word's ids as 32-bit integers, a third of a list's memory
+        self.older: dict[bytes, bytes] = {}
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1 + len(self.added))
         for t, r in {**ranks, **self.added}.items():
             self.pieces[r] = t
@@ -215,20 +239,22 @@ class Codec:
         self.offsets = np.cumsum(self.lengths) - self.lengths
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
+        """The ids of each word. Half of what is remembered are the words met since the other half was full, which goes when
+        this one is full: words that still come are carried over."""
+        missing = [w for w in words if w not in self.known]
+        if len(self.known) + len(missing) > REMEMBERED // 2:
+            self.older, self.known, missing = self.known, {}, words
+        known, older = self.known, self.older
+        new = [w for w in missing if w not in older]
+        known.update((w, older[w]) for w in missing if w in older)
         coded = self._by_library(new) if self.library else self.replay.encode(new)
         known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, coded))
         return [known[w] for w in words]
 
     def _by_library(self, words: list[bytes]) -> Iterator[list[int]]:
-        for i in range(0, len(words), 10_000):
-            part = [w.decode() for w in words[i : i + 10_000]]
-            for coded in self.library.encode_batch_fast(part, add_special_tokens=False):
-                yield coded.ids  # a pre-token by itself is one pre-token
+        tokenize = self.library.model.tokenize  # a pre-token by itself goes to the library's merges at once
+        for word in words:
+            yield [token.id for token in tokenize(word.decode("latin-1").translate(_SHOWN))]
 
     def encode(self, bodies: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each)."""
@@ -291,6 +317,10 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The characters of `_printable` by byte.
+_SHOWN = {b: c for c, b in _printable().items()}
+
+
 @cache
 def codec(path: str, library: bool = False) -> Codec:
     """The codec of a rank file, or of a byte-level vocabulary in JSON, once per Python worker. library: new words of a JSON

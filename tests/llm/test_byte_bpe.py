@@ -61,6 +61,32 @@ def test_words_that_the_index_must_redo():
     assert replay.encode(words) == [replay.greedy(w) if w not in ranks else [ranks[w]] for w in words]
 
 
+def test_replay_is_the_rule_for_any_ranks():
+    """Random vocabularies, whose merges make pairs of lower and of equal rank, in any number of windows and with long words."""
+    rng = random.Random(5)
+    for _ in range(60):
+        tokens = {bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(rng.randint(0, 60))}
+        places = rng.sample(range(256, 256 + 4 * len(tokens)), len(tokens))
+        ranks = {bytes([b]): b for b in range(256)} | dict(zip(sorted(tokens), places))
+        words = [bytes(rng.choices(b"abc", k=rng.choice([1, 2, 3, 9, 40, byte_bpe.LONG, byte_bpe.LONG + 1, 300]))) for _ in range(60)] + [b"a" * 128, b"x"]
+        replay = byte_bpe.MergeReplay(ranks)
+        assert replay.encode(words) == [[ranks[w]] if w in ranks else replay.greedy(w) for w in words]
+    assert byte_bpe.MergeReplay(ranks).encode([]) == []
+
+
+def test_words_in_use_are_merged_once(monkeypatch):
+    """A full memory lets go of the words that no longer come, not of those in use."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 40)
+    own, asked = byte_bpe.Codec(codec(RANKS).replay.ranks), []
+    replayed = own.replay.encode
+    monkeypatch.setattr(own.replay, "encode", lambda words: asked.extend(words) or replayed(words))
+    for k in range(30):
+        text = "ever gofer quux " + " ".join(f"w{chr(97 + k % 26)}{j}" for j in "abcd")
+        own.encode(pa.array([text.encode()], pa.binary()))
+        assert len(own.known) + len(own.older) <= 40
+    assert asked.count(b" gofer") == asked.count(b" quux") == 1 and len(asked) > 100
+
+
 def test_small_blocks_and_memory(library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 50)
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 10)
