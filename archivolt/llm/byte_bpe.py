@@ -241,15 +241,20 @@ class Codec:
     def _words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word. Half of what is remembered are the words met since the other half was full, which goes when
         this one is full: words that still come are carried over."""
-        missing = [w for w in words if w not in self.known]
+        out = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
         if len(self.known) + len(missing) > REMEMBERED // 2:
-            self.older, self.known, missing = self.known, {}, words
-        known, older = self.known, self.older
-        new = [w for w in missing if w not in older]
-        known.update((w, older[w]) for w in missing if w in older)
-        coded = self._by_library(new) if self.library else self.replay.encode(new)
-        known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, coded))
-        return [known[w] for w in words]
+            self.older, self.known = self.known, {}
+            self.known.update((w, ids) for w, ids in zip(words, out) if ids is not None)
+        older = self.older.get
+        for k in missing:
+            out[k] = older(words[k])
+        new = [k for k in missing if out[k] is None]
+        asked = [words[k] for k in new]
+        for k, ids in zip(new, self._by_library(asked) if self.library else self.replay.encode(asked)):
+            out[k] = array("i", ids).tobytes()
+        self.known.update((words[k], out[k]) for k in missing)
+        return out
 
     def _by_library(self, words: list[bytes]) -> Iterator[list[int]]:
         tokenize = self.library.model.tokenize  # a pre-token by itself goes to the library's merges at once

@@ -22,6 +22,7 @@ WINDOW = 2048
 #: Tokens of whole documents that are packed together. Only the last sequence of such a chunk can be short.
 CHUNK = 1 << 20
 #: Bytes of text that are encoded together; some twenty bytes of a worker's memory for each of them. The ids don't depend on it.
+#: A larger block asks for fewer words: each distinct one once a block.
 ENCODED = 1 << 20
 #: Cost, in tokens of padding, of a cut after a sentence, of one inside a sentence, and of a sequence.
 SENTENCE_COST, TRUNCATION_COST, SEQUENCE_COST = 1.0, 24.0, 1.0
@@ -160,7 +161,9 @@ class _Packer:
         return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
-def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", encoded: int = ENCODED
+) -> DataFrame:
     """One row per piece: doc_id, start, length, tokens (binary, little-endian unsigned 32-bit ids), doc_tokens,
     sequence_id, offset.
 
@@ -170,7 +173,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col:
     the chunk (or the longest document), and a lost task gives the same rows again. sequence_id holds the partition in
     its high bits. A null or empty text is the one id END_ID. Null and repeated ids pass through; an empty table gives
     an empty result. `path`: a JSON vocabulary, local to each
-    executor.
+    executor. encoded: bytes of text that are encoded together.
     """
     body = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
     kind = body.schema["doc_id"].dataType.simpleString()
@@ -178,7 +181,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = codec(path, True), _Packer(TaskContext.get().partitionId(), path, window)
         for batch in batches:
-            for part in blocks(batch, size=ENCODED):
+            for part in blocks(batch, size=encoded):
                 packer.add(part.column("doc_id"), *own.encode(part.column("body")))
                 if packer.size >= CHUNK:
                     yield packer.flush()
@@ -190,7 +193,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, window: int = WINDOW, id_col:
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), encoded=4 * ENCODED)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -101,3 +101,31 @@ def test_worker_holds_no_more_than_packing_needs():
     pieces = [own.encode(p.column("body")) for p in parts]
     assert all((np.concatenate(got) == want).all() for got, want in zip(zip(*pieces), whole))
     assert "merged" not in vars(own.replay)
+
+
+def test_words_of_a_block_are_looked_up_once():
+    """A block's distinct words cost one look each, so op4 encodes more at once than the pipeline; the pieces are the same."""
+    own = byte_bpe.codec.__wrapped__(VOCABULARY, True)
+    looks = []
+
+    class Known(dict):
+        def get(self, word):
+            looks.append(word)
+            return super().get(word)
+
+        def __contains__(self, word):
+            looks.append(word)
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            looks.append(word)
+            return super().__getitem__(word)
+
+    own.known = Known()
+    own.encode(pa.array([b"one two three two", b"three two"], pa.binary()))
+    assert sorted(looks) == [b" three", b" two", b"one", b"three"]
+
+
+def test_pieces_are_the_same_for_any_block(spark):
+    docs = spark.createDataFrame([(k, f"row {k}, " * (k % 90)) for k in range(300)], "doc_id bigint, text string").coalesce(1)
+    assert pack(docs, encoded=500).collect() == pack(docs, encoded=4 << 20).collect()
