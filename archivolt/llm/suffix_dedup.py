@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.byte_bpe import blocks
-from archivolt.llm.common import drop_stored, stored, table, texts
+from archivolt.llm.common import BLANKS, IN_ORDER, drop_stored, settings, stored, stored_in_buckets, table, texts
 
 LENGTH = 400
+#: Words of the passages that are reported, whatever their bytes.
+WORDS = 50
+#: Words over so many bytes are compared by 128 hash bits instead.
+LONG_WORD = 64
 #: Bytes of the grams whose least hash picks the anchors of a window.
 GRAM = 200
-#: Bytes of text whose anchors are found together; about a hundred bytes of memory each.
-BLOCK = 1 << 20
+#: Bytes of text whose anchors are found together; about a hundred bytes of memory each. So few stay in a processor's cache.
+BLOCK = 1 << 18
 #: Entries that a sorted run is made of before it is sent.
 RUN = 20_000
 #: Merged entries that are compared together; a gram's entries are never parted.
 CHUNK = 5_000
 #: Entries that a bucket is for: one Python call holds a bucket's runs, at most about 650 bytes an entry.
 BUCKET_ENTRIES = 20_000
+_TO_SPACE = bytes.maketrans(BLANKS.encode(), b" " * len(BLANKS))
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -39,13 +44,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down), values
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of every `gram` bytes in turn, from prefix sums; never 0."""
-    size = 1 << max(len(data), 1 << 16).bit_length()
-    up, down, values = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[: len(sums) - gram]
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the values, each times the power of its place, and the powers that take a place's own off again."""
+    up, down, _ = _powers(1 << max(len(values), 1 << 16).bit_length())
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums, down
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -53,6 +60,18 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return (h ^ h >> np.uint64(32)) | np.uint64(1)
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of every `gram` elements in turn, from prefix sums; never 0. Elements are bytes, or hashes of words."""
+    sums, down = _sums(_powers(1)[2][data] if data.dtype == np.uint8 else data)
+    return _mixed((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word. at: where each begins and the last ends."""
+    sums, down = _sums(_powers(1)[2][data])
+    return _mixed((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]])
+
+
 def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     """op over x[i : i + width] for every i with a full window: prefixes and suffixes of blocks, two steps an element."""
     n = len(x) - width + 1
@@ -66,10 +85,10 @@ def _sliding(x: np.ndarray, width: int, op, fill: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, gram hashes) of the anchors: the grams of least hash in some window of `length` bytes of one document.
+    """(places, gram hashes) of the anchors: the grams of least hash in some window of `length` elements of one document.
 
-    Whether a place is an anchor for a window depends on the window's bytes alone, so equal windows have their anchors
-    at equal offsets, and every window of `length` bytes has one. ends: where each document ends.
+    Whether a place is an anchor for a window depends on the window alone, so equal windows have their anchors
+    at equal offsets, and every window of `length` elements has one. ends: where each document ends.
     """
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -106,8 +125,33 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n
 
 
-# A run is sorted by key: the suffix at an anchor, at most LENGTH bytes of it. Each entry carries the reversed bytes before
-# the anchor and the hashes of its gram and its context (its address for the answer).
+def _words(texts_: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes, where each word begins and the last ends, words up to each text's end) of texts, as their words with a space
+    behind each."""
+    data = np.frombuffer(b" ".join([*texts_, b""]).translate(_TO_SPACE), np.uint8)
+    blank = data == 32
+    end = blank.copy()
+    end[1:] &= ~blank[:-1]
+    end[:1] = False
+    ends = np.searchsorted(np.flatnonzero(end), np.cumsum([len(t) + 1 for t in texts_]))
+    data = data[~blank | end]
+    at = np.append(0, np.flatnonzero(data == 32) + 1)
+    raw = data.tobytes()
+    if len(at) > 1 and np.diff(at).max() > LONG_WORD + 1:  # no text has the byte 255
+        found = [w if len(w) <= LONG_WORD else b"\xff" + xxhash.xxh3_128_hexdigest(w).encode() for w in raw.split()]
+        raw = b" ".join([*found, b""])
+        at = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1)
+    return raw, at, ends
+
+
+def _backwards(text: bytes, words: bool) -> bytes:
+    """The bytes reversed; words have a space behind each here too."""
+    found = text[::-1]
+    return found[1:] + found[:1] if words else found
+
+
+# A run is sorted by key: the suffix at an anchor, at most `length` elements of it. Each entry carries the reversed bytes
+# before the anchor and the hashes of its gram and its context (its address for the answer).
 Entry = tuple[bytes, bytes, int, int]
 
 
@@ -187,8 +231,8 @@ def merge_runs(runs: list[Iterator[tuple[int, Entry]]]) -> Iterator[tuple[int, E
 
 
 def in_groups(merged: Iterator[tuple[int, Entry]], gram: int, chunk: int | None = None) -> Iterator[list[tuple[int, Entry]]]:
-    """The merged entries in lists of about `chunk`, cut only where the next entry has another gram. The shared prefixes tell
-    that without a look at the keys."""
+    """The merged entries in lists of about `chunk`, cut only where the next entry has another gram. The shared prefixes, in
+    elements, tell that without a look at the keys."""
     part: list[tuple[int, Entry]] = []
     for h, entry in merged:
         if h < gram and len(part) >= (chunk or CHUNK):
@@ -199,21 +243,23 @@ def in_groups(merged: Iterator[tuple[int, Entry]], gram: int, chunk: int | None
         yield part
 
 
-def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least, most) of each merged entry: the bytes before the gram in the windows of `length` bytes around it that stand
-    elsewhere too; -2 where there is none, -1 where all do.
+def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) of each merged entry: the elements before the gram in the windows of `length` elements around it that
+    stand elsewhere too; -2 where there is none, -1 where all do.
 
-    The shared prefixes cut the merged order into classes of equal bytes from the anchor on, for any number of bytes; a sort
+    The shared prefixes cut the merged order into classes of equal bytes from the anchor on, for any number of them; a sort
     by the bytes before it gives the same for those. Entries with equal bytes on both sides share all windows, and one of
-    them stands for the rest. For each split of a window, contexts in one class on both sides share it.
+    them stands for the rest. For each split of a window, contexts in one class on both sides share it. Elements are bytes,
+    or words with a space behind each: equal words are equal bytes, and spaces count them.
     """
     m, around = len(part), length - gram
     least, most = np.full(m, -2), np.full(m, -2)
     prefix = np.array([h for h, _ in part]) - gram
     prefix[0] = -1
-    after = np.array([len(e[0]) for _, e in part]) - gram
-    left = [e[1][:around] for _, e in part]
-    before = np.array([len(x) for x in left])
+    count = (lambda x: x.count(b" ")) if words else len
+    after = np.array([count(e[0]) for _, e in part]) - gram
+    left = [e[1] if words else e[1][:around] for _, e in part]
+    before = np.array([count(x) for x in left])
     # entries with one key stand in a row, in any order of the bytes before it
     keys = np.cumsum(np.append(True, (prefix[1:] < after[1:]) | (after[1:] != after[:-1])))
     firsts: dict[tuple[int, bytes], int] = {}
@@ -230,13 +276,16 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
         return least, most
     # within open groups the prefix to the entry before is untouched: whole groups stay or go, and what goes of others are copies
     prefix, after, before, many, group = prefix[open_], after[open_], before[open_], many[open_], group[open_]
-    wide = np.array([int(g).to_bytes(8, "big") + left[i] for g, i in zip(group, open_)], f"S{around + 8}")
+    width = max(8, *(len(left[i]) + 8 for i in open_))
+    wide = np.array([int(g).to_bytes(8, "big") + left[i] for g, i in zip(group, open_)], f"S{width}")
     order = np.argsort(before, kind="stable")
     order = order[np.argsort(wide[order], kind="stable")]
     k = len(open_)
-    rows = np.ascontiguousarray(wide[order]).view(np.uint8).reshape(k, around + 8)
+    rows = np.ascontiguousarray(wide[order]).view(np.uint8).reshape(k, width)
     differs = rows[1:] != rows[:-1]
-    first = np.where(differs.any(1), differs.argmax(1), around + 8) - 8
+    first = np.where(differs.any(1), differs.argmax(1), width) - 8
+    if words:
+        first = np.array([left[open_[o]].count(b" ", 0, f) if f >= 0 else -1 for o, f in zip(order, first)], first.dtype)
     same = np.append(-1, np.minimum(first, np.minimum(before[order][1:], before[order][:-1])))
     low, high = np.full(k, -2), np.full(k, -2)
     by_left = np.empty(k, np.int64)
@@ -246,7 +295,9 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
         fits = np.flatnonzero((before >= t) & (after >= around - t))
         at = fits[np.argsort(key[fits], kind="stable")]
         twin = key[at][1:] == key[at][:-1]
-        hit = np.union1d(at[1:][twin], at[:-1][twin])
+        shares = np.zeros(k, bool)
+        shares[at[1:][twin]] = shares[at[:-1][twin]] = True
+        hit = np.flatnonzero(shares)
         high[hit] = t
         low[hit] = np.where(low[hit] < 0, t, low[hit])
     some = ~many & (high >= 0)
@@ -254,22 +305,29 @@ def shared_windows(part: list[tuple[int, Entry]], gram: int, length: int) -> tup
     return least, most
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: bool) -> Iterator[pa.RecordBatch]:
     around = length - gram
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for part in blocks(batch, size=BLOCK):
             body = part.column("body")
-            edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-            raw = memoryview(body.buffers()[2] or b"")[edges[0] : edges[-1]]
-            ends = edges[1:] - edges[0]
-            places, grams = anchors(np.frombuffer(raw, np.uint8), ends, length, gram)
+            if words:
+                raw, at, ends = _words(body.to_pylist())
+                data = word_hashes(np.frombuffer(raw, np.uint8), at)
+                raw = memoryview(raw)
+            else:
+                edges = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
+                raw = memoryview(body.buffers()[2] or b"")[edges[0] : edges[-1]]
+                ends = edges[1:] - edges[0]
+                data = np.frombuffer(raw, np.uint8)
+            places, grams = anchors(data, ends, length, gram)
             doc = np.searchsorted(ends, places, "right")
             begin = (np.append(0, ends[:-1]))[doc]
             low, high = np.maximum(begin, places - around), np.minimum(ends[doc], places + length)
-            digest = xxhash.xxh3_64_intdigest
-            context = np.fromiter(
-                (digest(raw[a:b], p) for a, b, p in zip(low.tolist(), high.tolist(), (places - low).tolist())), np.uint64, len(places)
-            )
+            left = (places - low).tolist()
+            if words:
+                low, high = at[low], at[high]
+            context = np.fromiter((digest(raw[a:b], p) for a, b, p in zip(low.tolist(), high.tolist(), left)), np.uint64, len(places))
             columns = {
                 "row": part.column("row").take(pa.array(doc)),
                 "n_bytes": part.column("n_bytes").take(pa.array(doc)),
@@ -280,7 +338,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     around = length - gram
     waiting: list[tuple[int, Entry]] = []
 
@@ -294,14 +352,16 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: in
 
     for batch in batches:
         for body, marks in zip(batch.column("body"), batch.column("marks")):
-            text = body.as_py()
-            for mark in marks.as_py():
-                a, g = mark["place"], mark["gram"]
-                key = text[a : a + length]
-                before = text[max(0, a - around) : a][::-1]
-                entry = (key, before, g, mark["context"])
-                if mark["hot"]:  # a window has half of what surrounds the gram on one of its sides
-                    sides = key[: gram + around // 2], b"<" + before[: around - around // 2]
+            text, at, _ = _words([body.as_py()]) if words else (body.as_py(), None, None)
+            offset = at.__getitem__ if words else lambda place: place
+            last = len(at) - 1 if words else len(text)
+            place, *names = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("place", "gram", "context", "hot"))
+            low, here, high = (offset(x) for x in (np.maximum(place - around, 0), place, np.minimum(place + length, last)))
+            for a, g, context, hot, lo, mid, hi in zip(*(x.tolist() for x in (place, *names, low, here, high))):
+                entry = (text[mid:hi], _backwards(text[lo:mid], words), g, context)
+                if hot:  # a window has half of what surrounds the gram on one of its sides
+                    to, since = min(a + gram + around // 2, last), max(a - (around - around // 2), 0)
+                    sides = text[mid : offset(to)], b"<" + _backwards(text[offset(since) : mid], words)
                     waiting.extend((b, entry) for b in {xxhash.xxh3_64_intdigest(x, g % 2**64) % buckets for x in sides})
                 else:
                     waiting.append((g % buckets, entry))
@@ -314,11 +374,14 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: in
 _FOUND = "gram bigint, context bigint, least int, most int"
 
 
-def _merged(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
-    """The answer for each context of a bucket: the windows of `length` bytes that it shares."""
+def _merged(pdf: pd.DataFrame, length: int, gram: int, words: bool) -> pd.DataFrame:
+    """The answer for each context of a bucket: the windows of `length` elements that it shares."""
     columns: list[list[np.ndarray]] = []
-    for part in in_groups(merge_runs([decode_run(r) for r in pdf.run]), gram):
-        whole = shared_windows(part, gram, length)
+    merged = merge_runs([decode_run(r) for r in pdf.run])
+    if words:
+        merged = ((entry[0].count(b" ", 0, h), entry) for h, entry in merged)
+    for part in in_groups(merged, gram):
+        whole = shared_windows(part, gram, length, words)
         some = np.flatnonzero(whole[1] > -2)
         address = (np.array([e[k] for _, e in part], np.int64)[some] for k in (2, 3))
         columns.append([*address, *(w[some] for w in whole)])
@@ -326,11 +389,14 @@ def _merged(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*columns))} if columns else {n: [] for n in names})
 
 
+_ROW = ("row", "n_bytes")
 _SPAN = ("place", "least", "most")
+_NUMBERS = ("n_bytes", "n_removed", "n_spans")
+_PASSAGES = ("n_passages", "n_passage_words")
 
 
 def _covered(size: int, marks: pa.Scalar, length: int, gram: int) -> list[int]:
-    """The edges (start, end, start, ...) of the stretches that windows of `length` bytes around a text's anchors cover."""
+    """The edges (start, end, start, ...) of the stretches that windows of `length` elements around a text's anchors cover."""
     if not marks.is_valid or not len(marks):
         return []
     place, least, most = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in _SPAN)
@@ -342,17 +408,23 @@ def _covered(size: int, marks: pa.Scalar, length: int, gram: int) -> list[int]:
     return np.flatnonzero(np.diff(np.cumsum(change)[:-1] > 0, prepend=False, append=False)).tolist()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for body, marks in zip(batch.column("body"), batch.column("spans")):
+        for body, marks, passages in zip(*(batch.column(c) for c in ("body", "spans", "passages"))):
             text = body.as_py()
             ends = _covered(len(text), marks, length, gram)
             keep = b"".join(text[a:b] for a, b in zip([0, *ends[1::2]], [*ends[::2], len(text)]))
-            out.append((len(text), len(text) - len(keep), len(ends) // 2, keep))
-        *numbers, kept = zip(*out) if out else ((),) * 4
+            row = (len(text), len(text) - len(keep), len(ends) // 2)
+            if words:
+                some = passages.is_valid and len(passages) > 0
+                ends = _covered(len(text.split()), passages, words, _word_gram(words)) if some else []
+                row += (len(ends) // 2, sum(ends[1::2]) - sum(ends[::2]))
+            out.append((*row, keep))
+        names = [*_NUMBERS, *(_PASSAGES if words else ())]
+        *numbers, kept = zip(*out) if out else ((),) * (len(names) + 1)
         columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "kept"])
 
 
 def _passage_words(batches: Iterator[pa.RecordBatch], length: int, gram: int, words: int) -> Iterator[pa.RecordBatch]:
@@ -366,8 +438,23 @@ def _passage_words(batches: Iterator[pa.RecordBatch], length: int, gram: int, wo
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_passages", "n_passage_words"])
 
 
-def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, split_over: int) -> DataFrame:
-    """(doc_id, body, spans) of every document: at which anchors which windows of `length` bytes start anywhere else too.
+def _word_gram(words: int) -> int:
+    """Words of the grams that pick the anchors of windows of `words` words: an anchor about every 18 words for 50."""
+    return max(1, words // 3)
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, body, row, n_bytes) of every document, as a table bucketed by (row, n_bytes): whatever later meets the texts
+    comes to them, so they are moved once."""
+    rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
+    rows = rows.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("row"), F.octet_length("body").alias("n_bytes"))
+    buckets = min(100_000, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # 100,000 is Spark's own limit
+    return stored_in_buckets(rows.repartition(buckets, *_ROW), "texts", _ROW, buckets)
+
+
+def _repeats(rows: DataFrame, length: int, gram: int, words: bool, split_over: int) -> DataFrame:
+    """(row, n_bytes, place, least, most): at which anchors which windows of `length` elements (bytes, or words) start
+    anywhere else too. rows: as `_dealt` gives them.
 
     1. Anchors: a window's least gram hash picks the same place in equal windows, so the suffixes at anchors are enough.
        Their rows hold no text, only the hashes of the gram and of the context (all that windows around it can reach).
@@ -375,18 +462,17 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
        it stands in more than one place, so copies don't multiply before they are sent.
     3. Representatives fetch their text by document. Each task sorts its suffixes by their bytes into front-coded runs,
        which are exchanged by gram, to as many buckets as keep each at about BUCKET_ENTRIES. A gram with over `split_over`
-       contexts is split by the bytes on either side that any of its windows must share at least on one side. That sends
+       contexts is split by the elements on either side that any of its windows must share at least on one side. That sends
        each of its entries twice, so it isn't done for all grams: nearly all have a few contexts.
     4. A loser tree merges the runs without comparing a known prefix again, and gives the entries a gram at a time; the
        shared prefixes, with a sort of the bytes before the anchor, give the windows of each context that stand elsewhere.
        That copies are copies is seen there too, in the bytes of two representatives.
     5. The answers go back to all places of their contexts by hash joins that adaptive execution can split.
     """
-    rows = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("body"))
-    rows = rows.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("row"), F.octet_length("body").alias("n_bytes"))
+    least_bytes = 2 * length - 1 if words else length
     found = stored(
-        rows.where(F.col("n_bytes") >= length).select("body", "row", "n_bytes").mapInArrow(
-            lambda b: _anchor_rows(b, length, gram), "row bigint, n_bytes int, place int, gram bigint, context bigint"
+        rows.where(F.col("n_bytes") >= least_bytes).select("body", "row", "n_bytes").mapInArrow(
+            lambda b: _anchor_rows(b, length, gram, words), "row bigint, n_bytes int, place int, gram bigint, context bigint"
         ),
         "anchors",
     )
@@ -406,48 +492,69 @@ def _repeats(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str
     sent = kinds.join(hot, "gram", "left").select("gram", "context", F.coalesce("hot", F.lit(False)).alias("hot"), F.explode(places).alias("at"))
     mark = F.struct("at.place", "gram", "context", "hot")
     marks = sent.groupBy("at.row", "at.n_bytes").agg(F.collect_list(mark).alias("marks"))
-    runs = rows.join(marks, ["row", "n_bytes"]).mapInArrow(lambda b: _runs(b, length, gram, buckets), "bucket int, run binary")
-    windows = runs.groupBy("bucket").applyInPandas(lambda pdf: _merged(pdf, length, gram), _FOUND)
+    runs = rows.join(marks, list(_ROW)).mapInArrow(lambda b: _runs(b, length, gram, words, buckets), "bucket int, run binary")
+    windows = runs.groupBy("bucket").applyInPandas(lambda pdf: _merged(pdf, length, gram, words), _FOUND)
     least = F.min(F.when(F.col("most") >= 0, F.col("least")))
     windows = windows.groupBy("gram", "context").agg(least.alias("least"), F.min("most").alias("all"), F.max("most").alias("most"))
     most = F.when(F.col("all") < 0, -1).otherwise(F.col("most"))
     windows = windows.select("gram", "context", F.coalesce("least", F.lit(-2)).alias("least"), most.alias("most"))
-    windows = stored(windows, "shared-windows")  # as of the grams: a context with very many places can be split then
+    with settings(rows.sparkSession, **IN_ORDER):
+        windows = stored(windows, "shared-windows")  # as of the grams: a context with very many places can be split then
     drop_stored(kinds)
     drop_stored(hot)
-    spans = again.join(windows, ["gram", "context"])
-    by_doc = spans.groupBy("row", "n_bytes").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
-    return rows.join(by_doc, ["row", "n_bytes"], "left").select("doc_id", "body", "spans")
+    spans = stored(again.join(windows, ["gram", "context"]).select(*_ROW, *_SPAN), "spans")
+    drop_stored(again)
+    drop_stored(windows)
+    return spans
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame, passages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, body, spans, passages) of every document."""
+    both = spans.withColumn("passage", F.lit(False))
+    if passages is not None:
+        both = both.unionAll(passages.withColumn("passage", F.lit(True)))
+    listed = (F.collect_list(F.when(F.col("passage") == p, F.struct(*_SPAN))) for p in (False, True))
+    by_doc = both.groupBy(*_ROW).agg(*(c.alias(n) for c, n in zip(listed, ("spans", "passages"))))
+    return rows.join(by_doc, list(_ROW), "left").select("doc_id", "body", "spans", "passages")
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", split_over: int = 5_000
-) -> DataFrame:
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    split_over: int = 5_000, words: int | None = None,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept: the UTF-8 bytes that are left.
 
     A byte goes if some `length`-byte string of the input that covers it also starts anywhere else, in the same
     document or another; matches never cross documents (gram < length). See `_repeats` for the way.
 
+    With `words`, two columns stand before `kept`: n_passages and n_passage_words, a document's stretches, and their words
+    in all, that windows of so many words cover which also start anywhere else, whatever their bytes and the blanks between
+    words (exact but for words over LONG_WORD bytes, which are compared by 128 hash bits). They are found in the same way,
+    with words for bytes, and remove nothing: most passages of 50 words have fewer than 400 bytes.
+
     All that is removed comes from the merge. The representatives of a context stand for those with 128 equal hash bits;
     different contexts, and the two representatives of one, are compared by bytes. A null text is empty. Rows that repeat an
     id and text count as places of their own (so a long repeated row goes whole); null ids pass through. An empty table
     gives an empty one. A long text is read in one piece: about a hundred bytes of a Python worker's memory for each of its
     bytes. `split_over` changes what is sent where, never the result.
     """
-    found = _repeats(docs, length, gram, id_col, text_col, split_over)
+    rows = _dealt(docs, id_col, text_col)
+    spans = _repeats(rows, length, gram, False, split_over)
+    passages = _repeats(rows, words, _word_gram(words), True, split_over) if words else None
+    found = _with_spans(rows, spans, passages)
+    names = ", ".join(f"{n} bigint" for n in (*_NUMBERS, *(_PASSAGES if words else ())))
     id_type = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(
-        lambda b: _cut(b, length, gram), f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
+    return found.mapInArrow(lambda b: _cut(b, length, gram, words), f"doc_id {id_type}, {names}, kept binary")
 
 
 def repeated_passages(
     docs: DataFrame, length: int = 300, gram: int = 150, words: int = 50, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_passages, n_passage_words) of every document: its stretches of at least `words` words that `length`-byte
-    strings cover which also start elsewhere. Many passages of 50 words have fewer than 400 bytes, so `remove_repeats`
-    leaves them; a passage of fewer than `length` bytes isn't found. Nulls, empty texts, repeats and empty tables as there."""
-    found = _repeats(docs, length, gram, id_col, text_col, 5_000)
+    strings cover which also start elsewhere. A passage of fewer than `length` bytes isn't found; `remove_repeats` with
+    `words` finds passages by their words alone. Nulls, empty texts, repeats and empty tables as there."""
+    rows = _dealt(docs, id_col, text_col)
+    found = _with_spans(rows, _repeats(rows, length, gram, False, 5_000))
     id_type = found.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(
         lambda b: _passage_words(b, length, gram, words), f"doc_id {id_type}, n_passages bigint, n_passage_words bigint"
@@ -455,6 +562,6 @@ def repeated_passages(
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns."""
-    out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and the repeated passages of 50 words."""
+    out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), words=WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *_PASSAGES)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from archivolt.llm import suffix_dedup
+from archivolt.llm.common import settings
 from archivolt.llm.suffix_dedup import anchors, decode_run, front_code, merge_runs, op2_suffix_array_dedup, remove_repeats, repeated_passages
 
 
@@ -59,6 +60,46 @@ def test_passages_match_brute_force(spark):
     assert got == {i: (len(c), sum(c)) for i, c in enumerate(counts)}
 
 
+def brute_words(texts, words):
+    """[(n_passages, n_passage_words)] by counting every window of words."""
+    found = [(t or "").encode().split() for t in texts]
+    count = Counter(tuple(f[i : i + words]) for f in found for i in range(len(f) - words + 1))
+    out = []
+    for f in found:
+        gone = np.zeros(len(f), bool)
+        for i in range(len(f) - words + 1):
+            if count[tuple(f[i : i + words])] > 1:
+                gone[i : i + words] = True
+        out.append((int(np.diff(gone, prepend=False).astype(int)[gone].sum()), int(gone.sum())))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "words", "split_over", "entries", "long"), [(7, 9, 5000, 20_000, 64), (8, 6, 1, 20_000, 64), (9, 2, 5000, 3, 4)])
+def test_passages_of_words_match_brute_force(spark, monkeypatch, seed, words, split_over, entries, long):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", entries)
+    monkeypatch.setattr(suffix_dedup, "LONG_WORD", long)
+    rng = random.Random(seed)
+    texts = [*made(seed), "\x1f".join(["a b"] * 9), "word\t" * 40, *(" ".join(rng.choices(["a", "b", "ab", "é"], k=40)) for _ in range(12))]
+    texts += ["\n ".join(t.split(" ")) for t in texts[-4:]]  # other blanks between the same words
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = remove_repeats(docs, 20, 6, split_over=split_over, words=words).collect()
+    assert {r.doc_id: (*r[1:4], bytes(r.kept)) for r in rows} == {i: w[:4] for i, w in enumerate(brute(texts, 20))}
+    want = dict(enumerate(brute_words(texts, words)))
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows} == want and len(set(want.values())) > 5
+
+
+def test_query_tells_passages_of_fifty_words_from_the_rest(spark, tmp_path):
+    """Passages of fewer bytes than the contract's 400, and than any window of bytes that is looked for."""
+    rng = random.Random(11)
+    text = lambda n, size: " ".join("".join(rng.choices("abcdefgh", k=size)) for _ in range(n))
+    short, longer = text(51, 3), text(55, 5)
+    assert len(short) < 210 and 300 < len(longer) < 400
+    rows = [(1, f"{text(40, 5)} {short} {text(30, 5)}"), (2, f"{text(9, 4)} {short}"), (3, text(200, 5)), (4, longer), (5, f"{longer} {text(60, 5)}")]
+    spark.createDataFrame([*rows, (6, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_words) for r in op2_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1, 51), 2: (0, 1, 51), 3: (0, 0, 0), 4: (0, 1, 55), 5: (0, 1, 55), 6: (0, 0, 0)}
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = brute([r.text for r in rows], 400)
@@ -147,3 +188,10 @@ def test_edges(spark):
     assert remove_repeats(docs.limit(0)).collect() == [] and repeated_passages(docs.limit(0)).collect() == []
     got = sorted((r.doc_id or 0, r.n_passages) for r in repeated_passages(docs, words=1).collect())
     assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
+
+
+def test_texts_are_moved_once(spark):
+    docs = spark.createDataFrame([(k, "some words " * 60 + str(k)) for k in range(9)], "doc_id bigint, text string")
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # as for large tables
+        plan = remove_repeats(docs, 20, 6, words=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(row") == 1  # that of the answers
